@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.llm import chat, decontaminate, exact_dedup, language, license_scan, mixing, simhash, token_shards, url_filter
+from cairn.llm import chat, decontaminate, exact_dedup, language, license_scan, mixing, simhash, token_shards, toxicity, url_filter
 from cairn.sources.tables import table
 
 
@@ -16,6 +16,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.planted(table(spark, sf_dir, "conversations"))))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = toxicity.held_out(F.col("doc_id"))
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.score_documents(docs, machine)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -46,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op4_url_filter, op5_decontaminate, op6_simhash_dedup, op7_language_id, op8_token_shards, op9_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_toxicity, op4_url_filter, op5_decontaminate, op6_simhash_dedup, op7_language_id, op8_token_shards, op9_exact_dedup, op10_mixing)}
 SQL = {
     "op2_chat_format": chat.SQL,
     "op4_url_filter": url_filter.SQL,
