@@ -118,11 +118,12 @@ def training_order(docs: DataFrame, length: int = 1024, shard_rows: int = 4096,
     stride = 2 * length
     shards = -(-total // shard_rows)
     tasks = max(1, min(shards, partitions))
-    cut = done.join(first.select("part", "first"), "part").select(*carry, "n_tokens", "ids", (F.col("first") + F.col("before")).alias("index"), F.explode(F.expr("sequence(0L, n_seqs - 1)")).alias("seq_no"))
-    placed = cut.select(
-        slot(F.col("index") + F.col("seq_no")).alias("slot"), *carry, "seq_no",
-        F.least(F.col("n_tokens") - F.col("seq_no") * length, F.lit(length)).alias("n_tokens"),
-        F.expr(f"substring(ids, int(seq_no * {stride} + 1), {stride})").alias("tokens"),
+    # a document's ids are cut before they are exploded: a row then has its own sequence, not all of the document
+    cut = F.transform(F.expr("sequence(0L, n_seqs - 1)"), lambda i: F.struct(i.alias("seq_no"), F.substring("ids", (i * stride + 1).cast("int"), F.lit(stride)).alias("tokens")))
+    numbered = done.join(first.select("part", "first"), "part").select(*carry, "n_tokens", (F.col("first") + F.col("before")).alias("index"), F.explode(cut).alias("seq"))
+    placed = numbered.select(
+        slot(F.col("index") + F.col("seq.seq_no")).alias("slot"), *carry, "seq.seq_no",
+        F.least(F.col("n_tokens") - F.col("seq.seq_no") * length, F.lit(length)).alias("n_tokens"), "seq.tokens",
     )
     placed = placed.select("slot", F.expr(f"slot div {shard_rows}").alias("shard"), F.expr(f"int(slot % {shard_rows})").alias("row_in_shard"), *carry, "seq_no", "n_tokens", "tokens")
     return placed.repartitionById(tasks, F.expr(f"int(shard * {tasks} div {max(1, shards)})")).sortWithinPartitions("slot")
