@@ -338,7 +338,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, landmarks: int
         return None
     share = {t: min(1.0, sample / 2 / n) for t, n in sizes.items()}
     cut = F.when(F.col("toxic") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut)
+    # the sampled ids are few by the bound, and go to the documents; no text is shuffled to meet them
+    chosen = F.broadcast(marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut).limit(2 * sample))
     rows = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(2 * sample).collect()
     texts, y = [units(r["text"]) for r in rows], np.array([r["toxic"] == 1 for r in rows])
     if not y.any() or y.all():
