@@ -4,8 +4,8 @@ Training. A multinomial logistic regression over hashed word n-grams (1 to 3 wor
 from the licence phrases below, each in several surroundings, and from an ``unknown``
 class: shuffled phrases and sentences that only speak about licences. It is trained anew
 in each run, in numpy on the driver; that takes about a second, and reads no corpus.
-The threshold that a family's probability must reach is calibrated on held-out variants:
-the lowest at which at most ``miss`` of the unknown ones pass.
+The threshold that the probability of being a licence must reach, all families together, is
+calibrated on held-out variants: the lowest at which at most ``miss`` of the unknown ones pass.
 
 Scanning. A text's paragraphs are its lines. A paragraph that has none of the cue stems
 is not a licence paragraph; every phrase has a cue. The others are cut into n-grams, which
@@ -57,7 +57,7 @@ ABOUT = [
     "released under a custom license", "licensed under terms to be announced", "the general public has no license", "source code must be kept secret under this license", "the software license expires in june",
 ]
 UNKNOWN = "unknown"
-CUES = r"(?i)licen[cs]|permission|redistribution|public domain|affero|spdx"
+CUES = r"(?i)licen[cs]|permission|redistribution|public domain|affero|spdx|creative commons|\bcc[ -](?:by|zero)\b|\bcc0\b"
 SHINGLE, SIMILAR = 5, 0.8
 _WORD = re.compile("[a-z]+")
 
@@ -69,7 +69,7 @@ def _grams(words: list[str]) -> list[str]:
 class Model:
     """Classes (the last is unknown), weights by hashed n-gram, bias and threshold."""
 
-    def __init__(self, bits: int = 12, miss: float = 0.01, seed: int = 5, rounds: int = 300):
+    def __init__(self, bits: int = 12, miss: float = 0.02, seed: int = 5, rounds: int = 300):
         self.bits, self.classes = bits, [*sorted(PHRASES), UNKNOWN]
         rng = np.random.default_rng(seed)
         around = "the of and on in with for this that data table green river house seven report also may not".split()
@@ -97,13 +97,13 @@ class Model:
         held = np.arange(len(y)) % 5 == 4
         self.weights, self.bias = self._fit(x[~held], y[~held], rounds)
         p = self._probabilities(x[held])
-        other = np.sort(p[y[held] == len(self.classes) - 1][:, :-1].max(1))
+        other = np.sort(1 - p[y[held] == len(self.classes) - 1][:, -1])
         self.threshold = float(max(0.5, other[min(len(other) - 1, int(np.ceil(len(other) * (1 - miss))))]))
 
     def place(self, gram: str) -> int:
         return zlib.crc32(gram.encode()) % (1 << self.bits)
 
-    def _fit(self, x: np.ndarray, y: np.ndarray, rounds: int, ridge: float = 1e-3, rate: float = 4.0):
+    def _fit(self, x: np.ndarray, y: np.ndarray, rounds: int, ridge: float = 1e-4, rate: float = 4.0):
         """Accelerated gradient descent on the mean cross entropy with an L2 penalty."""
         want = np.eye(len(self.classes), dtype=np.float32)[y]
         w, b = np.zeros((x.shape[1], len(self.classes)), np.float32), np.zeros(len(self.classes), np.float32)
@@ -149,7 +149,7 @@ def _confirmed(family: Column, words: Column) -> Column:
 
 
 def scan_paragraphs(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """``(row, doc_id, place, paragraph, family, probability)`` for each paragraph with a cue; family may be unknown."""
+    """``(row, doc_id, place, paragraph, family, probability)`` for each paragraph with a cue; family may be unknown. probability: of being a licence."""
     lower = F.translate(F.col("paragraph"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = (
         docs.where(F.col("text").rlike(CUES))
@@ -167,9 +167,11 @@ def scan_paragraphs(docs: DataFrame, model: Model, scratch: Scratch) -> DataFram
     joined = found.join(logits, ["row", "place"], "left")
     z = [F.coalesce(F.col(f"w{c}"), F.lit(0.0)) + F.lit(round(float(model.bias[c]), 5)) for c in range(k)]
     scored = joined.select("row", "doc_id", "place", "paragraph", "words", F.array(*z).alias("z"))
-    scored = scored.select("*", F.array_max("z").alias("top"))
-    scored = scored.select("row", "doc_id", "place", "paragraph", "words", (1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))).alias("probability"), F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("z", F.col("top")).cast("int")).alias("guess"))
-    sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= model.threshold) & _confirmed(F.col("guess"), F.col("words"))
+    scored = scored.select("*", F.array_max("z").alias("top"), F.slice("z", 1, k - 1).alias("families"))
+    none = F.exp(F.element_at("z", k) - F.col("top")) / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
+    family = F.array_position("families", F.array_max("families")).cast("int")
+    scored = scored.select("row", "doc_id", "place", "paragraph", "words", (1 - none).alias("probability"), F.element_at(F.array(*map(F.lit, model.classes)), family).alias("guess"))
+    sure = (F.col("probability") >= model.threshold) & _confirmed(F.col("guess"), F.col("words"))
     return scored.select("row", "doc_id", "place", "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability")
 
 
