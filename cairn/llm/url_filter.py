@@ -64,17 +64,14 @@ def rule_table(spark, rules=None) -> DataFrame:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst)`` addresses: each page and what it names as canonical or refreshes to."""
+    """``(from_url, to_url)``: each page and what it names as canonical or refreshes to, as written."""
     tags = F.array(F.regexp_extract("html", _CANONICAL, 0), F.regexp_extract("html", _REFRESH, 0))
     href = F.regexp_extract(tags[0], r'(?i)\bhref\s*=\s*["\x27]?([^"\x27\s>]+)', 1)
     to = F.regexp_extract(tags[1], r'(?i)\burl\s*=\s*["\x27]?([^"\x27\s>]+)', 1)
     found = pages.where("html is not null and url is not null").where(F.col("html").rlike("(?i)canonical|http-equiv"))
-    return (
-        found.select(address(F.col("url")).alias("src"), F.col("url"), F.explode(F.array(href, to)).alias("to"))
-        .where("to <> ''")
-        .select("src", address(F.when(F.col("to").startswith("/") & ~F.col("to").startswith("//"), F.concat(F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1), "to")).otherwise(F.col("to"))).alias("dst"))
-        .where("src is not null and dst is not null")
-    )
+    inside = F.col("to").startswith("/") & ~F.col("to").startswith("//")
+    whole = F.when(inside, F.concat(F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1), "to")).otherwise(F.col("to"))
+    return found.select("url", F.explode(F.array(href, to)).alias("to")).where("to <> ''").select(F.col("url").alias("from_url"), whole.alias("to_url"))
 
 
 def with_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -106,11 +103,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, redirects: Data
     judged = pages.select("page_id", "url", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"), address(F.col("url")).alias("address"))
     tried = with_rule(judged.select("host", "path").distinct(), rules)
     pages_ruled = judged.join(tried, ["host", "path"], "left")
-    edges = link_edges(pages)
+    links = link_edges(pages)
     if redirects is not None:
-        edges = edges.union(redirects.select(address(F.col("from_url")), address(F.col("to_url"))))
-    parts = connected_components(edges, "src", "dst", scratch)
-    ends = parts.select("component", F.col("node"), _host(F.col("node")).alias("host"), _path(F.col("node")).alias("path"))
+        links = links.union(redirects.select("from_url", "to_url"))
+    links = scratch.keep(links.select("from_url", "to_url", address(F.col("from_url")).alias("src"), address(F.col("to_url")).alias("dst")).where("src is not null and dst is not null"), "links")
+    parts = connected_components(links, "src", "dst", scratch)
+    # rules judge addresses as they are written: what makes two of them equal may take a slash from their end
+    named = links.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("from_url").alias("url")), F.struct(F.col("dst").alias("node"), F.col("to_url").alias("url")))).alias("n")).select("n.node", _host(F.col("n.url")).alias("host"), _path(F.col("n.url")).alias("path")).distinct()
+    ends = parts.join(named, "node")
     said = ends.join(with_rule(ends.select("host", "path").distinct(), rules), ["host", "path"]).groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("allows"), F.max(F.col("verdict") == "block").alias("blocks"))
     alias = parts.join(said.where("blocks and not coalesce(allows, false)"), "component").select(F.col("node").alias("address"), F.lit(True).alias("aliased"))
     return pages_ruled.join(alias, "address", "left").select(
@@ -128,16 +128,15 @@ p AS (SELECT page_id, url, html,
         CASE WHEN contains(url, '://') THEN regexp_replace(regexp_extract(url, '(?s)^(.*?://[^#]*)', 1), '/+$', '') END AS address
       FROM pages),
 links AS (
-  SELECT address AS a, regexp_replace(split_part(t, '#', 1), '/+$', '') AS b FROM (
-    SELECT address, unnest([regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["\x27]?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["\x27]?([^"\x27\s>]+)', 1),
+  SELECT address AS a, regexp_replace(split_part(t, '#', 1), '/+$', '') AS b, url, t FROM (
+    SELECT address, url, unnest([regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["\x27]?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["\x27]?([^"\x27\s>]+)', 1),
                             regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["\x27]?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["\x27]?([^"\x27\s>]+)', 1)]) AS t FROM p)
   WHERE t <> '' AND contains(t, '://') AND address IS NOT NULL),
 reach(a, b) AS (
-  SELECT a, b FROM links UNION SELECT b, a FROM links
+  SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT a, a FROM links UNION SELECT b, b FROM links
   UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a),
-nodes AS (SELECT DISTINCT b AS address,
-    translate(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM reach),
+nodes AS (SELECT DISTINCT address, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM (SELECT a AS address, url AS u FROM links UNION ALL SELECT b, t FROM links)),
 every AS (SELECT DISTINCT host, path FROM (SELECT host, path FROM p UNION ALL SELECT host, path FROM nodes)),
 ruled AS (
   SELECT host, path, rh || rp AS rule, verdict,
