@@ -56,12 +56,12 @@ def _count(terms: str, term: str) -> Column:
 
 
 def search(docs: DataFrame, doc: str, text: str, terms: list[str], lane: str = "word") -> DataFrame:
-    """``(doc, score)`` of documents that have all terms; the one-row statistics go to all tasks."""
-    stats = F.broadcast(statistics(docs, text, terms, lane))
+    """``(doc, score)`` of documents that have all terms. The statistics are one row, which is asked for first and becomes part of the plan."""
+    stats = statistics(docs, text, terms, lane).first()
     rows = docs.select(F.col(doc).alias("doc"), terms_of(F.col(text), lane).alias("t"))
     has = reduce(lambda a, b: a & b, [F.array_contains("t", t) for t in terms])
-    parts = [bm25(_count("t", t), F.size("t"), F.col("n_docs"), F.col("avgdl"), F.col(f"df{i}")) for i, t in enumerate(terms)]
-    return rows.where(has).join(stats).select("doc", reduce(lambda a, b: a + b, parts).alias("score"))
+    parts = [bm25(_count("t", t), F.size("t"), F.lit(stats["n_docs"]), F.lit(stats["avgdl"]), F.lit(stats[f"df{i}"])) for i, t in enumerate(terms)]
+    return rows.where(has).select("doc", reduce(lambda a, b: a + b, parts).alias("score"))
 
 
 def search_index(index: DataFrame, n_docs: int, avgdl: float, terms: list[str], lane: str = "word") -> DataFrame:

@@ -26,8 +26,8 @@ def covering(wanted: str) -> list[str]:
 def export_decision(concepts: DataFrame, as_of: int, ceiling: str = "important", scopes: list[str] | None = None, provenance: bool = True, window: int | None = None, cap: int | None = None) -> DataFrame:
     """Concepts with the first reason against their export, or ``approved``; the cap counts what passed all else, in order of position.
 
-    The cap is a running count: per scope-free position ranges it would not be exact, so the
-    rows that passed are numbered by two levels of counts, as many as positions allow.
+    The cap needs no running count over all rows: the position of the last one that fits is
+    found by a top-n of what passed, and becomes part of the plan.
     """
     reason = F.when(F.col("expires_at") <= as_of, "expired").when(rank(F.col("sensitivity")) > RANK[ceiling], "sensitivity")
     if scopes is not None:
@@ -38,8 +38,8 @@ def export_decision(concepts: DataFrame, as_of: int, ceiling: str = "important",
         reason = reason.when(as_of - F.col("approved_at") > window, "time_window")
     judged = concepts.withColumn("reason", reason)
     if cap is not None:
-        last = judged.where("reason IS NULL").orderBy("position").limit(cap).agg(F.max("position").alias("last"))
-        judged = judged.join(F.broadcast(last)).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("position") > F.col("last")), "max_concepts").otherwise(F.col("reason"))).drop("last")
+        last = judged.where("reason IS NULL").orderBy("position").limit(cap).agg(F.max("position")).first()[0]
+        judged = judged.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("position") > F.lit(last)), "max_concepts").otherwise(F.col("reason")))
     return judged.withColumn("outcome", F.coalesce("reason", F.lit("approved"))).drop("reason")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cairn.plans.durable import Scratch
+
 
 def where_equal(frame: DataFrame, **values: object) -> DataFrame:
     """Rows whose columns equal the values; an equality filter reaches the scan."""
@@ -56,6 +58,19 @@ def within_cap(frame: DataFrame, keys: list[str], keep_first: list[Column], size
     return frame.withColumn("_sum", F.sum(size).over(run)).where(F.col("_sum") <= cap).drop("_sum")
 
 
+def numbered(frame: DataFrame, order: list[str], scratch: Scratch, name: str = "sequence") -> DataFrame:
+    """Rows with gapless numbers from 1 in the order given, without bringing all rows together.
+
+    Ranges of the order are numbered side by side, each from the count of rows in those
+    before it; only the counts, a row for each range, pass through one window.
+    """
+    ranged = scratch.keep(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_at", inside).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_start", "_at")
+
+
 def count_where(name: str, condition: Column) -> Column:
     """A counter of the rows that meet a condition."""
     return F.count_if(F.coalesce(condition, F.lit(False))).alias(name)

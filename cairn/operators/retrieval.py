@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.operators.relational import top_per
 
@@ -66,4 +66,4 @@ def best(hits: DataFrame, k: int) -> DataFrame:
 def rank_score(hits: DataFrame, k: int) -> DataFrame:
     """The first k with ``1 - place / n`` as the score."""
     ranked = top_per(hits, [], [F.desc("score"), F.asc("doc")], k, rank="place")
-    return ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("n")))).select("doc", (1 - (F.col("place") - 1) / F.col("n")).alias("rank_score"))
+    return ranked.select("doc", (1 - (F.col("place") - 1) / F.max("place").over(Window.partitionBy())).alias("rank_score"))  # k rows

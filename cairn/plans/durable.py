@@ -7,6 +7,8 @@ executor, and unlike a cached frame a lost executor never forces a recompute.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -28,12 +30,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Names the durable tables of one job, and drops those it no longer needs."""
+    """Names the durable tables of one job, and drops those it no longer needs.
+
+    What a job returns still reads its last tables, so these stay until the session's
+    program ends, or ``discard`` is called.
+    """
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/{job}-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(self.discard)
 
     def keep(self, frame: DataFrame, name: str = "step") -> DataFrame:
         """Write ``frame`` and read it back: the lineage ends here."""
@@ -44,7 +51,17 @@ class Scratch:
 
     def drop(self, frame: DataFrame) -> None:
         """Delete the files behind a frame that ``keep`` returned."""
+        own = self.root.rsplit("/", 1)[-1]
         for path in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            if path.startswith(("file:", self.root.split(":", 1)[0])) and self.root.rsplit("/", 1)[-1] in path:
-                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            if f"/{own}/" in path:
+                self._delete(path)
+
+    def discard(self) -> None:
+        """Delete all tables of the job; nothing happens once Spark has stopped."""
+        with contextlib.suppress(Exception):
+            if self.spark.sparkContext._jsc is not None:
+                self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)

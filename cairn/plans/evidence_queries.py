@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.operators import evidence as ev
-from cairn.operators.relational import count_where, latest, page, top_per, where_equal, without
+from cairn.operators.relational import count_where, latest, numbered, page, top_per, where_equal, without
+from cairn.plans.durable import Scratch
 from cairn.registry import AS_OF, query
 
 ROUTE = "CASE WHEN importance = 0 THEN 'ring_buffer' WHEN size_bytes <= 512 THEN 'inline' ELSE 'body_table' END"
@@ -93,7 +94,7 @@ query("sink.record_tombstone", "SELECT scope_id, min(forgotten_at) AS forgotten_
     lambda v: ev.record_tombstones(v.forgotten, v.epoch_tombstones))
 query("sec.epoch_tombstone", "SELECT scope_id, epoch_id, min(forgotten_at) AS forgotten_at FROM epoch_tombstones GROUP BY 1, 2")(
     lambda v: ev.record_tombstones(v.epoch_tombstones, v.epoch_tombstones, ("scope_id", "epoch_id")))
-query("sink.audit_append", "SELECT row_number() OVER (ORDER BY moment, id) AS sequence, id FROM audit")(lambda v: v.audit.select("sequence", "id"))
+query("sink.audit_append", "SELECT row_number() OVER (ORDER BY moment, id) AS sequence, id FROM audit")(lambda v: numbered(v.audit, ["moment", "id"], Scratch(v.spark, "sequence")).select("sequence", "id"))
 query("sink.audit_pg_append", "SELECT id, min(actor) AS actor FROM (SELECT id, actor FROM audit UNION ALL SELECT id, actor FROM audit WHERE id % 3 = 0) GROUP BY id")(
     lambda v: v.audit.select("id", "actor").union(v.audit.where("id % 3 = 0").select("id", "actor")).dropDuplicates(["id"]))
 
@@ -112,7 +113,7 @@ query("flt.citation_stale_list", "SELECT observation_id, source_url FROM citatio
 query("flt.token_expiring", "SELECT id FROM proposals WHERE submitted_at + ttl_seconds - 1706745600 <= 3600")(
     lambda v: v.proposals.where(F.col("submitted_at") + F.col("ttl_seconds") - AS_OF <= 3600).select("id"))
 query("flt.watermark_emit", "SELECT id, moment FROM audit WHERE moment > (SELECT max(moment) FROM audit WHERE id <= 100) OR (moment = (SELECT max(moment) FROM audit WHERE id <= 100) AND id > 100)")(
-    lambda v: v.audit.join(F.broadcast(v.audit.where("id <= 100").agg(F.max("moment").alias("mark"))), F.col("moment") >= F.col("mark")).where("moment > mark OR id > 100").select("id", "moment"))
+    lambda v: (lambda mark: v.audit.where((F.col("moment") > mark) | ((F.col("moment") == mark) & (F.col("id") > 100))).select("id", "moment"))(F.lit(v.audit.where("id <= 100").agg(F.max("moment")).first()[0])))
 query("flt.audit_query", "SELECT id, sequence FROM audit WHERE scope_id = '3' AND action IN ('click', 'error') AND moment >= 1704500000 AND moment <= 1706000000 AND actor = 'user3'")(
     lambda v: v.audit.where((F.col("scope_id") == "3") & F.col("action").isin("click", "error") & F.col("moment").between(1704500000, 1706000000) & (F.col("actor") == "user3")).select("id", "sequence"))
 query("flt.audit_index_intersect", "SELECT sequence FROM audit WHERE scope_id = '3' INTERSECT SELECT sequence FROM audit WHERE action IN ('click', 'view') INTERSECT SELECT sequence FROM audit WHERE actor = 'user23'")(

@@ -66,8 +66,9 @@ _PAIR = "FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 1)
 
 
 def with_query(v):
-    """Vectors beside that of the query; it is one row."""
-    return v.embeddings.join(F.broadcast(v.embeddings.where("vec_id = 1").select(F.col("embedding").alias("q")))).withColumn("cosine", rt.cosine(F.col("embedding"), F.col("q")))
+    """Vectors with their cosine to that of the query, which is a parameter."""
+    vector = v.embeddings.where("vec_id = 1").select("embedding").first()["embedding"]
+    return v.embeddings.withColumn("cosine", rt.cosine(F.col("embedding"), F.array(*map(F.lit, vector))))
 
 
 query("fn.cosine", f"SELECT a.vec_id, round({_COS}, 6) AS cosine {_PAIR}")(lambda v: with_query(v).select("vec_id", F.round("cosine", 6).alias("cosine")))

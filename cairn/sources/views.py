@@ -60,7 +60,7 @@ VIEWS: dict[str, str] = {
         regexp_extract(props, '[0-9]+', 0) AS value, concat('t', CAST(event_id AS STRINGTYPE)) AS tag, CASE event_type WHEN 'error' THEN concat('t', CAST(event_id - 1 - event_id % 3 AS STRINGTYPE)) END AS observed_tag,
         CASE event_type WHEN 'signup' THEN concat('v', CAST(event_id % 50 AS STRINGTYPE)) END AS successor, EPOCH(ts) AS created_at FROM events""",
     "source_events": """SELECT o_custkey AS document_id, o_orderkey AS event_id, EPOCH(CAST(o_orderdate AS TIMESTAMP)) AS occurred_at, CASE o_orderstatus WHEN 'F' THEN 'deleted' WHEN 'O' THEN 'updated' ELSE 'created' END AS kind FROM orders""",
-    "audit": """SELECT row_number() OVER (ORDER BY EPOCH(ts), event_id) AS sequence, event_id AS id, concat('user', CAST(user_id AS STRINGTYPE)) AS actor, event_type AS action, CAST(user_id % 20 AS STRINGTYPE) AS scope_id, CAST(user_id % 5 AS STRINGTYPE) AS tenant_id, EPOCH(ts) AS moment FROM events""",
+    "audit": """SELECT event_id AS sequence, event_id AS id, concat('user', CAST(user_id AS STRINGTYPE)) AS actor, event_type AS action, CAST(user_id % 20 AS STRINGTYPE) AS scope_id, CAST(user_id % 5 AS STRINGTYPE) AS tenant_id, EPOCH(ts) AS moment FROM events""",
     "requests": """SELECT event_id AS id, CASE event_type WHEN 'click' THEN '/api/v1/query' WHEN 'view' THEN '/api/v1/evidence/17' WHEN 'purchase' THEN '/api/v1/synthesis/trigger' WHEN 'signup' THEN '/api/v1/queryable' ELSE '/healthz' END AS route,
         CAST(user_id AS STRINGTYPE) AS tenant_id, CAST(value AS DOUBLE) / 100 AS seconds, CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 17 = 0 THEN 429 ELSE 200 END AS status, EPOCH(ts) AS moment FROM events""",
     "concepts": """SELECT concat('p', CAST(p_partkey AS STRINGTYPE)) AS id, p_brand AS scope_id, p_name AS label, p_type AS definition, CASE p_size % 4 WHEN 0 THEN 'noise' WHEN 1 THEN 'useful' WHEN 2 THEN 'important' ELSE 'critical' END AS sensitivity,
