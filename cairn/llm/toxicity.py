@@ -8,12 +8,12 @@ described by its kernel with a fixed number of landmark words, whitened by the i
 root of the landmarks' own kernel matrix (Nystroem); a linear machine with squared hinge
 loss works on that.
 
-Labels are for documents, and one insult makes a document toxic: the machine learns from
-words. Its first positive examples are words that together account for the toxic documents
-and are rare in clean ones, its negative examples words of clean documents; in each round of
-training, the worst words of toxic documents and the clean words that it takes for insults
-join them. A document's score is that of its worst word, made a probability by logistic
-calibration on the training documents.
+Labels are for documents, and an insult makes a document toxic: the machine learns from words. Its first positive examples are words that together account for the toxic documents
+and are rare in clean ones, and words whose share of toxic documents is beyond chance; its
+negative examples are words of clean documents; in each round of training, the worst words of
+toxic documents and the clean words that it takes for insults join them. A document's score
+comes from its worst words: one plain insult, or several doubtful ones. Logistic calibration
+on the training documents makes it a probability.
 
 Words are runs of non-space characters, in lower case, without ASCII digits and signs; three or more one-letter words in a row are one word. A word of over ``WIDTH`` letters is
 read in overlapping windows of that width. Whole texts are read.
@@ -31,7 +31,7 @@ Extra columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop, heappush, nlargest
 from itertools import combinations
 from zlib import crc32
 
@@ -41,15 +41,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cairn.llm.batches import map_texts
 
 WIDTH = 16
+#: Stands before a word's first letter, so that subsequences tell a beginning from the rest of a word.
+START = "^"
 #: Deleted from texts: ASCII other than letters and white space. The kernel bridges any other sign inside a word.
 _DELETE = bytes(i for i in range(128) if not chr(i).isalpha() and not chr(i).isspace())
 _SPELLED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
+#: A document is judged by so many of its worst words: one plain insult is enough, and so are several doubtful ones.
+WORST = 3
 _REMEMBER = 1 << 19
 _SLICE = 500
 
 
 def units(text: str | None) -> set[str]:
-    """The distinct words of a text that the kernel compares."""
+    """The distinct words of a text that the kernel compares, each after a mark for its beginning."""
     if not text:
         return set()
     low = text.lower().encode("utf-8", "surrogatepass").translate(None, _DELETE).decode("utf-8", "surrogatepass")
@@ -59,10 +63,12 @@ def units(text: str | None) -> set[str]:
         found.update("".join(m[0].split()) for m in _SPELLED.finditer(low))
     found -= short
     long = [w for w in found if len(w) > WIDTH]
+    found.difference_update(long)
+    marked = set(map(START.__add__, found))
     for w in long:
-        found.discard(w)
-        found.update(w[i : i + WIDTH] for i in range(0, len(w) - WIDTH // 2, WIDTH // 2))
-    return found
+        marked.add(START + w[:WIDTH])
+        marked.update(w[i : i + WIDTH] for i in range(WIDTH // 2, len(w) - WIDTH // 2, WIDTH // 2))
+    return marked
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -120,7 +126,7 @@ class Machine:
             values, vectors = np.linalg.eigh(k.astype(np.float64))
             keep = values > 1e-4
             self.white = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-        self.weights, self.bias, self.scale, self.shift = np.zeros(len(landmarks), np.float32), np.float32(-1), 1.0, 0.0
+        self.weights, self.bias, self.scale, self.shift = np.zeros(len(landmarks), np.float32), np.float32(-1), np.ones(WORST) / WORST, 0.0
         self._known: dict[str, float] = {}
 
     def kernel(self, words: list[str]) -> np.ndarray:
@@ -172,7 +178,7 @@ class Machine:
             for places in combinations(range(len(x)), self.order):
                 table[tuple(x[i] for i in places)] += weight / root * self.decay ** (places[-1] - places[0] + 1)
         self.table = table.astype(np.float32).ravel()
-        self.spans = {n: (np.array(list(combinations(range(n), self.order))).T, None) for n in range(self.order, WIDTH + 1)}
+        self.spans = {n: (np.array(list(combinations(range(n), self.order))).T, None) for n in range(self.order, WIDTH + 2)}
         self.spans = {n: (at, (self.decay ** (at[-1] - at[0] + 1)).astype(np.float32)) for n, (at, _) in self.spans.items()}
         self._known = {}
 
@@ -219,20 +225,31 @@ class Machine:
         self.fold()
 
     def calibrate(self, worst: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling of documents' worst decisions, with smoothed targets."""
+        """Platt scaling of documents' ``WORST`` highest decisions, with smoothed targets; a higher decision never lowers a score."""
         hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2)
         target = np.where(y, hi, lo)
-        x = np.column_stack([worst, np.ones(len(worst))]).astype(np.float64)
-        w = np.array([1.0, 0.0])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), x.T @ (p - target) + 1e-6 * w)
-            w = w - np.clip(step, -2, 2)
-        self.scale, self.shift = float(max(w[0], 1e-3)), float(w[1])
+        free = list(range(WORST))
+        while True:
+            x = np.column_stack([worst[:, free], np.ones(len(worst))]).astype(np.float64)
+            w, ridge = np.append(np.ones(len(free)), 0.0), 1e-2 * np.eye(len(free) + 1)
+            for _ in range(60):
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                w = w - np.clip(np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - target) + ridge @ w), -2, 2)
+            kept = [f for f, v in zip(free, w, strict=False) if v > 0]
+            if len(kept) == len(free) or not kept:
+                break
+            free = kept
+        self.scale = np.zeros(WORST)
+        self.scale[free] = np.maximum(w[:-1], 1e-3)
+        self.shift = float(w[-1])
+
+    def highest(self, decisions: list[float]) -> list[float]:
+        """The ``WORST`` highest decisions on a text's words; where there are fewer, that on a word unlike all landmarks."""
+        return nlargest(WORST, [*decisions, *[float(self.bias)] * WORST])
 
     def worst(self, texts: list) -> np.ndarray:
-        """The highest decision on a word of each text; that of a word unlike all landmarks where there is none."""
-        least, out = float(self.bias), []
+        """``highest`` for each text."""
+        out = np.zeros((len(texts), WORST))
         for at in range(0, len(texts), _SLICE):
             sets = [units(t) for t in texts[at : at + _SLICE]]
             new = list(set().union(*sets) - self._known.keys())
@@ -240,11 +257,11 @@ class Machine:
                 self._known, new = {}, list(set().union(*sets))
             self._known.update(zip(new, self.decide(new).tolist(), strict=True))
             known = self._known
-            out += [max([least, *map(known.__getitem__, s)]) for s in sets]
-        return np.array(out, np.float64)
+            out[at : at + len(sets)] = [self.highest(list(map(known.__getitem__, s))) for s in sets]
+        return out
 
     def score(self, texts: list) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.worst(texts) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.worst(texts) @ self.scale + self.shift, -30, 30)))
 
 
 #: A word whose log odds of standing in a toxic document are above this may be an insult.
@@ -255,6 +272,16 @@ TELLING = 1.5
 CERTAIN, COMMON = 3.0, 0.05
 
 
+#: So is a word whose share of toxic documents differs from the sample's with a log-likelihood ratio above this; chance alone does this for one word in 50,000.
+BEYOND_CHANCE = 18.0
+
+
+def _surprise(k: int, other: int, base: float) -> float:
+    """The log-likelihood ratio (G squared) of a word with k toxic and ``other`` clean documents against the share ``base``."""
+    n = k + other
+    return 2 * (k * np.log(k / n / base) + (other * np.log(other / n / (1 - base)) if other else 0.0))
+
+
 def _sketch(words: set[str]) -> tuple[int, ...]:
     """Equal for copies and most near copies: the two least hashes of the words."""
     return tuple(sorted(crc32(w.encode("utf-8", "surrogatepass")) for w in words)[:2])
@@ -299,13 +326,13 @@ def _cover(docs: list[set[str]], odds: dict[str, float], least: int = 2) -> list
 
 def _variants(words: list[str], rng: np.random.Generator, each: int = 6) -> list[str]:
     """Words of five letters or more with a letter put in between, or one left out."""
-    letters = sorted(set("".join(words)))
+    letters = sorted(set("".join(words)) - {START})
     out = []
     for w in words:
-        for k in range(each if len(w) >= 5 else 0):
-            at = int(rng.integers(1, len(w) - 1))
-            out.append(w[:at] + w[at + 1 :] if k == 0 and len(w) > 5 else w[:at] + letters[rng.integers(len(letters))] + w[at:])
-    return [w[:WIDTH] for w in dict.fromkeys(out) if w not in words]
+        for k in range(each if len(w) >= 6 else 0):
+            at = int(rng.integers(2, len(w) - 1))
+            out.append(w[:at] + w[at + 1 :] if k == 0 and len(w) > 6 else w[:at] + letters[rng.integers(len(letters))] + w[at:])
+    return [w[: WIDTH + 1] for w in dict.fromkeys(out) if w not in words]
 
 
 #: Positive landmarks are less alike than this.
@@ -330,7 +357,7 @@ def _landmarks(positive: list[str], negative: list[str], count: int) -> list[str
     return chosen + rest[: count - len(chosen)]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, landmarks: int = 64, rounds: int = 3, examples: int = 3000) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, landmarks: int = 128, rounds: int = 3, examples: int = 3000) -> Machine | None:
     """A machine from at most about ``sample`` labelled documents, half of each kind if there are as many."""
     marked = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
@@ -341,15 +368,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, landmarks: int
     # the sampled ids are few by the bound, and go to the documents; no text is shuffled to meet them
     chosen = F.broadcast(marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut).limit(2 * sample))
     rows = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(2 * sample).collect()
-    texts, y = [units(r["text"]) for r in rows], np.array([r["toxic"] == 1 for r in rows])
+    return learn([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows]), landmarks, rounds, examples)
+
+
+def learn(docs: list[str], y: np.ndarray, landmarks: int = 128, rounds: int = 3, examples: int = 3000) -> Machine | None:
+    """A machine from the texts of the sample and whether each is toxic."""
     if not y.any() or y.all():
         return None
+    texts = [units(t) for t in docs]
     rng = np.random.default_rng(3)
     toxic_docs = _apart([t for t, toxic in zip(texts, y, strict=True) if toxic])
     clean_docs = _apart([t for t, toxic in zip(texts, y, strict=True) if not toxic])
     hits, misses = _counts(toxic_docs), _counts(clean_docs)
     odds = {w: float(np.log((k + 0.5) / (len(toxic_docs) + 2)) - np.log((misses.get(w, 0) + 0.5) / (len(clean_docs) + 2))) for w, k in hits.items()}
     told = {w for w, k in hits.items() if odds[w] > CERTAIN and k >= COMMON * len(toxic_docs)} | set(_cover(toxic_docs, odds))
+    base = len(toxic_docs) / (len(toxic_docs) + len(clean_docs))
+    told |= {w for w, k in hits.items() if odds[w] > TELLING and _surprise(k, misses.get(w, 0), base) > BEYOND_CHANCE}
     told = sorted(told, key=lambda w: (-hits[w], w))[:examples]
     insult = {w for w, v in odds.items() if v > TELLING}
     clean = sorted(misses.keys() - insult)
@@ -374,8 +408,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, landmarks: int
         pos = sorted(set(pos) | {i for i in worst if every[i] in insult and f[i] > 0})
         wrong = clean_at[f[clean_at] > -0.5]
         hard |= set(wrong[np.argsort(-f[wrong], kind="stable")][:examples].tolist())
-    worst = np.array([max(f[i].max(), machine.bias) if len(i) else machine.bias for i in idx])
-    machine.calibrate(worst, y)
+    machine.calibrate(np.array([machine.highest(f[i].tolist()) for i in idx]), y)
     return machine
 
 

@@ -207,6 +207,20 @@ def test_toxicity_held_out(spark):
     assert (spelt[:3] > spelt[3]).all() and spelt[0] >= 0.5 and spelt[2] >= 0.5
 
 
+def test_toxicity_words_have_a_beginning():
+    long = "abcdefghij" * 3
+    assert tox.units("Hi THERE, th*ere i d i o t") == {"^there", "^idiot"}
+    assert tox.units(long) == {"^" + long[:16], long[8:24], long[16:]} and tox.units(None) == tox.units("1 2 !") == set()
+
+
+def test_toxicity_in_all_languages(spark):
+    found = queries.op3_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
+    marked = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    got = found.join(marked, "doc_id").collect()
+    assert np.mean([r["predicted"] for r in got if r["toxic"] == 1]) > 0.75
+    assert np.mean([r["predicted"] for r in got if r["toxic"] == 0]) < 0.02
+
+
 def test_toxicity_odd_table(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, 1, None), (7, 1, 0)], "doc_id bigint, quality int, toxic int")
