@@ -40,7 +40,7 @@ VIEWS: dict[str, str] = {
         FROM events GROUP BY user_id, event_type""",
     "memory_sources": "SELECT concat(CAST(user_id AS STRINGTYPE), '-', event_type) AS id, CAST(event_id AS STRINGTYPE) AS source, EPOCH(ts) AS moment FROM events WHERE event_id % 5 = 0",
     "observations": """SELECT CAST(conv_id AS STRINGTYPE) AS scope_id, conv_id * 100 + turn AS id, 1704067200 + conv_id * 86400 + turn * 700 + CASE WHEN turn % 3 = 2 THEN 1100 ELSE 0 END AS occurred_at,
-        CASE WHEN (conv_id + turn) % 9 = 4 THEN concat(substr(text, 1, 30), ' /end session') ELSE substr(text, 1, 30) END AS body FROM conversations""",
+        CASE WHEN (conv_id + turn) % 9 = 4 THEN text || ' /end session' ELSE text END AS body FROM conversations""",
     "clicks": "SELECT event_id AS id, CAST(user_id AS STRINGTYPE) AS scope_id, EPOCH(ts) AS occurred_at, event_type AS body FROM events",
     "nodes": """SELECT concat('r', CAST(r_regionkey AS STRINGTYPE)) AS id, r_name AS label, concat('region ', r_name) AS definition, 's0' AS scope_id, 'canonical' AS state, r_regionkey AS created_at FROM region
         UNION ALL SELECT concat('n', CAST(n_nationkey AS STRINGTYPE)), n_name, concat('nation ', n_name), concat('s', CAST(n_regionkey AS STRINGTYPE)), CASE n_nationkey % 5 WHEN 0 THEN 'candidate' WHEN 1 THEN 'superseded' ELSE 'canonical' END, 10 + n_nationkey FROM nation
@@ -88,7 +88,7 @@ VIEWS: dict[str, str] = {
         CASE doc_id % 6 WHEN 0 THEN '〒100-0001 Tokyo' WHEN 1 THEN 'Springfield IL 62704' WHEN 2 THEN 'London SW1A 1AA' WHEN 3 THEN '10115 Berlin, Germany' WHEN 4 THEN 'nowhere' ELSE 'Main St 12' END AS address,
         CASE doc_id % 8 WHEN 0 THEN '令和6年2月1日' WHEN 1 THEN 'พ.ศ. 2567-02-01' WHEN 2 THEN '农历2024年1月15日' WHEN 3 THEN '9-1-1445 AH' WHEN 4 THEN '2024-02-01' WHEN 5 THEN '昭和64年1月7日' WHEN 6 THEN 'พ.ศ. 2500' ELSE 'next week' END AS dated FROM documents""",
     "labels_bio": """SELECT c_custkey AS doc_id, n AS place, CASE (c_custkey + n) % 5 WHEN 0 THEN 'B-PER' WHEN 1 THEN 'I-PER' WHEN 2 THEN 'O' WHEN 3 THEN 'B-ORG' ELSE 'I-ORG' END AS label, concat('w', CAST(n AS STRINGTYPE)) AS word FROM customer CROSS JOIN (SELECT n_nationkey AS n FROM nation) AS k WHERE c_custkey <= 40""",
-    "texts": """SELECT doc_id, CASE doc_id % 24
+    "texts": """SELECT doc_id, text || ' ' || CASE doc_id % 24
         WHEN 0 THEN 'Wire to DE89370400440532013000 and GB82WEST12345698765432 today.' WHEN 1 THEN 'ISIN US0378331005 rose; BIC DEUTDEFF500 failed. LEI 5493001KJTIIGC8Y1R12'
         WHEN 2 THEN 'Buy $AAPL and $TSLA before Friday? Not yet.' WHEN 3 THEN 'Diagnosis E11.9 with NDC 0002-8215-01, patent US10123456B2 applies.'
         WHEN 4 THEN 'See case No. 22-cv-01234 and SKU-ABC-12345; S/N: AB12CD34.' WHEN 5 THEN 'ASIN B08N5WRWNW, PO-2024-001, INV-77120 due.'
@@ -96,7 +96,7 @@ VIEWS: dict[str, str] = {
         WHEN 8 THEN 'The deadline is not approved by @alice_1. Please review https://example.com/a?b=1).' WHEN 9 THEN 'Budget was approved; Bob Smith will ship the release on Monday.'
         WHEN 10 THEN 'no longer a blocker, the launch was cancelled' WHEN 11 THEN 'ok' WHEN 12 THEN 'Thank you!' WHEN 13 THEN '' WHEN 14 THEN '   ' WHEN 15 THEN 'Mail bob@example.com, eve@test.org!'
         WHEN 16 THEN '東京で会議。プロジェクトの予算は承認されました' WHEN 17 THEN 'สวัสดี meeting 会議 tomorrow' WHEN 18 THEN 'What is the policy? Who owns the milestone!' WHEN 19 THEN 'catch me up on last week' WHEN 20 THEN 'assigned to Carol, blocked by abc-123 and X-99'
-        WHEN 21 THEN 'Ticket # 42 costs €20.50 or 1.234,56 EUR' WHEN 22 THEN 'the outage incident: never again, Q3 2024 on March 5' ELSE substr(text, 1, 200) END AS text, lang AS language_tag FROM documents""",
+        WHEN 21 THEN 'Ticket # 42 costs €20.50 or 1.234,56 EUR' WHEN 22 THEN 'the outage incident: never again, Q3 2024 on March 5' ELSE '' END AS text, lang AS language_tag FROM documents""",
 }
 
 _CALL = re.compile(r"\b(EPOCH|DIV)\(")
