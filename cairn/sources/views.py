@@ -38,7 +38,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN user_id % 7 = 2 THEN max(EPOCH(ts)) - 86400 * (user_id % 20) END AS consolidated_at,
         CASE user_id % 4 WHEN 0 THEN 'ja' WHEN 1 THEN 'en-US' WHEN 2 THEN 'ar' ELSE 'th' END AS language_tag
         FROM events GROUP BY user_id, event_type""",
-    "memory_sources": "SELECT concat(CAST(user_id AS STRINGTYPE), '-', event_type) AS id, CAST(event_id AS STRINGTYPE) AS source, EPOCH(ts) AS moment FROM events WHERE event_id % 5 = 0",
+    "memory_sources": "SELECT concat(CAST(user_id AS STRINGTYPE), '-', event_type) AS id, CAST(event_id AS STRINGTYPE) AS source, EPOCH(ts) AS moment FROM events",
     "observations": """SELECT CAST(conv_id AS STRINGTYPE) AS scope_id, conv_id * 100 + turn AS id, 1704067200 + conv_id * 86400 + turn * 700 + CASE WHEN turn % 3 = 2 THEN 1100 ELSE 0 END AS occurred_at,
         CASE WHEN (conv_id + turn) % 9 = 4 THEN text || ' /end session' ELSE text END AS body FROM conversations""",
     "clicks": "SELECT event_id AS id, CAST(user_id AS STRINGTYPE) AS scope_id, EPOCH(ts) AS occurred_at, event_type AS body FROM events",
@@ -55,7 +55,7 @@ VIEWS: dict[str, str] = {
     "tuples": """SELECT 'scope' AS object_type, concat('region', CAST(r_regionkey AS STRINGTYPE)) AS object_id, 'owner' AS relation, 'group' AS subject_type, concat('nation', CAST(r_regionkey AS STRINGTYPE)) AS subject_id, 'member' AS subject_relation FROM region
         UNION ALL SELECT 'scope', concat('region', CAST(n_regionkey AS STRINGTYPE)), CASE n_nationkey % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'editor' ELSE 'owner' END, 'group', concat('nation', CAST(n_nationkey AS STRINGTYPE)), 'member' FROM nation
         UNION ALL SELECT 'group', concat('nation', CAST(n_nationkey AS STRINGTYPE)), 'member', 'group', concat('nation', CAST((n_nationkey + 5) % 25 AS STRINGTYPE)), 'member' FROM nation WHERE n_nationkey % 2 = 0
-        UNION ALL SELECT 'group', concat('nation', CAST(c_nationkey AS STRINGTYPE)), 'member', 'user', concat('user', CAST(c_custkey AS STRINGTYPE)), CAST(NULL AS STRINGTYPE) FROM customer WHERE c_custkey <= 150""",
+        UNION ALL SELECT 'group', concat('nation', CAST(c_nationkey AS STRINGTYPE)), 'member', 'user', concat('user', CAST(c_custkey AS STRINGTYPE)), CAST(NULL AS STRINGTYPE) FROM customer""",
     "op_log": """SELECT user_id % 4 AS replica, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS seq, CASE event_type WHEN 'error' THEN 'remove' WHEN 'signup' THEN 'supersede' ELSE 'add' END AS kind,
         regexp_extract(props, '[0-9]+', 0) AS value, concat('t', CAST(event_id AS STRINGTYPE)) AS tag, CASE event_type WHEN 'error' THEN concat('t', CAST(event_id - 1 - event_id % 3 AS STRINGTYPE)) END AS observed_tag,
         CASE event_type WHEN 'signup' THEN concat('v', CAST(event_id % 50 AS STRINGTYPE)) END AS successor, EPOCH(ts) AS created_at FROM events""",
@@ -87,7 +87,7 @@ VIEWS: dict[str, str] = {
         CASE doc_id % 8 WHEN 0 THEN '$1,299.00' WHEN 1 THEN '€1.234,56' WHEN 2 THEN '20,5 EUR' WHEN 3 THEN '¥12,000' WHEN 4 THEN '£3.5m' WHEN 5 THEN '1 000 USD' WHEN 6 THEN 'twelve' ELSE '7€' END AS money,
         CASE doc_id % 6 WHEN 0 THEN '〒100-0001 Tokyo' WHEN 1 THEN 'Springfield IL 62704' WHEN 2 THEN 'London SW1A 1AA' WHEN 3 THEN '10115 Berlin, Germany' WHEN 4 THEN 'nowhere' ELSE 'Main St 12' END AS address,
         CASE doc_id % 8 WHEN 0 THEN '令和6年2月1日' WHEN 1 THEN 'พ.ศ. 2567-02-01' WHEN 2 THEN '农历2024年1月15日' WHEN 3 THEN '9-1-1445 AH' WHEN 4 THEN '2024-02-01' WHEN 5 THEN '昭和64年1月7日' WHEN 6 THEN 'พ.ศ. 2500' ELSE 'next week' END AS dated FROM documents""",
-    "labels_bio": """SELECT c_custkey AS doc_id, n AS place, CASE (c_custkey + n) % 5 WHEN 0 THEN 'B-PER' WHEN 1 THEN 'I-PER' WHEN 2 THEN 'O' WHEN 3 THEN 'B-ORG' ELSE 'I-ORG' END AS label, concat('w', CAST(n AS STRINGTYPE)) AS word FROM customer CROSS JOIN (SELECT n_nationkey AS n FROM nation) AS k WHERE c_custkey <= 40""",
+    "labels_bio": """SELECT c_custkey AS doc_id, n AS place, CASE (c_custkey + n) % 5 WHEN 0 THEN 'B-PER' WHEN 1 THEN 'I-PER' WHEN 2 THEN 'O' WHEN 3 THEN 'B-ORG' ELSE 'I-ORG' END AS label, concat('w', CAST(n AS STRINGTYPE)) AS word FROM customer CROSS JOIN (SELECT n_nationkey AS n FROM nation) AS k""",
     "texts": """SELECT doc_id, text || ' ' || CASE doc_id % 24
         WHEN 0 THEN 'Wire to DE89370400440532013000 and GB82WEST12345698765432 today.' WHEN 1 THEN 'ISIN US0378331005 rose; BIC DEUTDEFF500 failed. LEI 5493001KJTIIGC8Y1R12'
         WHEN 2 THEN 'Buy $AAPL and $TSLA before Friday? Not yet.' WHEN 3 THEN 'Diagnosis E11.9 with NDC 0002-8215-01, patent US10123456B2 applies.'
