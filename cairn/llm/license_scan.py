@@ -15,6 +15,9 @@ corpus. A prediction is confirmed if, for a phrase of the family, 0.8 or more of
 five-word shingles (shorter phrases: the whole) are in the paragraph; a paragraph whose
 prediction isn't confirmed, or is below the threshold, is ``unknown``.
 
+A phrase may be wrapped: a line that isn't confirmed alone is judged again with the words
+next to it in the lines around, unless those lines hold the phrase without it.
+
 Words are runs of a-z after lower-casing A-Z; digits and version numbers are no words.
 
 Null and empty texts have no paragraphs. Repeated rows are rows of their own. Null ids are
@@ -59,6 +62,8 @@ ABOUT = [
 UNKNOWN = "unknown"
 CUES = r"(?i)licen[cs]|permission|redistribution|public domain|affero|spdx|creative commons|\bcc[ -](?:by|zero)\b|\bcc0\b"
 SHINGLE, SIMILAR = 5, 0.8
+#: A wrapped phrase may go on in so many lines on either side, and is no longer than so many words.
+NEAR, REACH = 4, max(len(p.split()) for ps in PHRASES.values() for p in ps)
 _WORD = re.compile("[a-z]+")
 
 
@@ -150,29 +155,43 @@ def _confirmed(family: Column, words: Column) -> Column:
 
 def scan_paragraphs(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """``(row, doc_id, place, paragraph, family, probability)`` for each paragraph with a cue; family may be unknown. probability: of being a licence."""
-    lower = F.translate(F.col("paragraph"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    spoken = lambda text: F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("([a-z]+)"), 1)
+    lines = F.col("lines")
+    cued = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.get(lines, k).rlike(CUES))
     found = (
         docs.where(F.col("text").rlike(CUES))
-        .select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "paragraph"))
-        .where(F.col("paragraph").rlike(CUES))
-        .select("row", "doc_id", "place", "paragraph", F.regexp_extract_all(lower, F.lit("([a-z]+)"), 1).alias("words"))
-    )
+        .select("row", "doc_id", F.split("text", "\n").alias("lines"))
+        .select("row", "doc_id", F.explode(F.transform(cued, lambda k: F.struct(
+            k.alias("place"), F.get(lines, k).alias("paragraph"),
+            F.array_join(F.slice(lines, F.greatest(k - NEAR, F.lit(0)) + 1, F.least(k, F.lit(NEAR))), " ").alias("before"),
+            F.array_join(F.slice(lines, k + 2, F.lit(NEAR)), " ").alias("after")))).alias("cue"))
+        .select("row", "doc_id", "cue.place", "cue.paragraph", spoken(F.col("cue.before")).alias("before"), spoken(F.col("cue.paragraph")).alias("own"), spoken(F.col("cue.after")).alias("after"))
+        .withColumn("before", F.slice("before", F.greatest(F.size("before") - REACH, F.lit(0)) + 1, F.lit(REACH))).withColumn("after", F.slice("after", 1, REACH))
+        .select("*", F.posexplode(F.array(F.col("own"), F.concat("before", "own", "after"))).alias("form", "words"))
+        .where("form = 0 or size(before) + size(after) > 0")
+    )
     found = scratch.keep(found, "paragraphs")
     grams = F.array_distinct(F.concat(*(_ngrams(F.col("words"), n) for n in (1, 2, 3))))
     hashed = F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(1 << model.bits))
     k = len(model.classes)
     # a feature is present or not, as in training, even if two n-grams of a paragraph share a place
-    exploded = found.select("row", "place", F.explode(grams).alias("gram")).select("row", "place", hashed.alias("h")).distinct()
-    logits = exploded.join(model.table(docs.sparkSession, scratch), "h").groupBy("row", "place").agg(*[F.sum(f"w{c}").alias(f"w{c}") for c in range(k)])
-    joined = found.join(logits, ["row", "place"], "left")
+    exploded = found.select("row", "place", "form", F.explode(grams).alias("gram")).select("row", "place", "form", hashed.alias("h")).distinct()
+    logits = exploded.join(model.table(docs.sparkSession, scratch), "h").groupBy("row", "place", "form").agg(*[F.sum(f"w{c}").alias(f"w{c}") for c in range(k)])
+    joined = found.join(logits, ["row", "place", "form"], "left")
     z = [F.coalesce(F.col(f"w{c}"), F.lit(0.0)) + F.lit(round(float(model.bias[c]), 5)) for c in range(k)]
-    scored = joined.select("row", "doc_id", "place", "paragraph", "words", F.array(*z).alias("z"))
+    scored = joined.select("row", "doc_id", "place", "form", "paragraph", "before", "after", "words", F.array(*z).alias("z"))
     scored = scored.select("*", F.array_max("z").alias("top"), F.slice("z", 1, k - 1).alias("families"))
     none = F.exp(F.element_at("z", k) - F.col("top")) / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
     family = F.array_position("families", F.array_max("families")).cast("int")
-    scored = scored.select("row", "doc_id", "place", "paragraph", "words", (1 - none).alias("probability"), F.element_at(F.array(*map(F.lit, model.classes)), family).alias("guess"))
-    sure = (F.col("probability") >= model.threshold) & _confirmed(F.col("guess"), F.col("words"))
-    return scored.select("row", "doc_id", "place", "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability")
+    scored = scored.select("row", "doc_id", "place", "form", "paragraph", "before", "after", "words", (1 - none).alias("probability"), F.element_at(F.array(*map(F.lit, model.classes)), family).alias("guess"))
+    # a phrase that stands in the lines around alone is theirs
+    theirs = _confirmed(F.col("guess"), F.col("before")) | _confirmed(F.col("guess"), F.col("after"))
+    sure = (F.col("probability") >= model.threshold) & _confirmed(F.col("guess"), F.col("words")) & ((F.col("form") == 0) | ~theirs)
+    per = scored.groupBy("row", "place").agg(
+        F.first("doc_id").alias("doc_id"), F.first("paragraph").alias("paragraph"),
+        F.min(F.when(sure, F.struct("form", "guess", "probability"))).alias("best"), F.max(F.when(F.col("form") == 0, F.col("probability"))).alias("alone"),
+    )
+    return per.select("row", "doc_id", "place", "paragraph", F.coalesce("best.guess", F.lit(UNKNOWN)).alias("family"), F.coalesce("best.probability", "alone").alias("probability"))
 
 
 def scan_licenses(docs: DataFrame, model: Model | None = None) -> DataFrame:

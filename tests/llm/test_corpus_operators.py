@@ -237,6 +237,18 @@ def test_license_families(spark, line, family):
     assert lic.scan_licenses(docs).first()["license"] == family
 
 
+@pytest.mark.parametrize("notice, family", [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "MIT"),
+    (" * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 3", "GPL"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "ISC"),
+])
+def test_wrapped_notices(spark, notice, family):
+    docs = spark.createDataFrame([(1, notice), (2, "the licence of a driver\nreleased under the MIT license")], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in lic.scan_licenses(docs).collect()}
+    assert found[1]["license"] == family
+    assert (found[2]["n_licensed"], found[2]["n_unknown"]) == (1, 1)
+
+
 def test_every_phrase_has_a_cue():
     import re
 
