@@ -4,8 +4,11 @@ Training counts, per language, the n-grams (1 to 3 characters, over letters in l
 with a space around each word) of a bounded sample of labelled documents, hashed into
 2**bits columns. Tasks count into dense arrays and pass on one row per language that they
 saw; the sums meet in a matrix of log-probabilities, of fixed size (languages x 2**bits
-floats), which is sent with the scoring tasks. Scoring looks up, for a batch of documents,
-the matrix rows of all their n-grams at once and adds them up per document.
+floats), which is sent with the scoring tasks, with the logarithm of each language's share
+of the sample. A batch of documents is a sparse matrix, documents by hashed n-grams, kept
+as the column numbers of each row one after the other; its product with the
+log-probabilities is a gather of their rows and one segmented sum. A document that is
+longer than a lot of n-grams is summed over several.
 
 The sample is at most ``sample`` documents: all, or those whose hashed id is lowest in
 proportion. Sampling bounds only what the model learns from; scoring reads whole texts.
@@ -71,27 +74,54 @@ def grams(low: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Model:
-    """Languages and their log-probabilities by hashed n-gram."""
+    """Languages, their log-probabilities by hashed n-gram, and the logarithms of their shares of documents."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, bits: int):
+    def __init__(self, langs: list[str], counts: np.ndarray, bits: int, docs: np.ndarray | None = None):
         self.langs, self.bits = langs, bits
         smooth = counts.astype(np.float64) + 0.5
         self.logp = np.ascontiguousarray(np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32)) if langs else np.zeros((1 << bits, 0), np.float32)
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        """The language and its posterior (flat prior), with evidence tempered by the root of the length: n-grams overlap."""
-        low = codes(text) if text else np.zeros(0, np.uint32)
-        if not len(low) or not self.langs:
-            return UNKNOWN, 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        for at in range(0, len(low), _CHUNK):
-            h = grams(low[at : at + _CHUNK + 2], self.bits)
-            total += self.logp[h].sum(0, dtype=np.float64)
-            n += len(h)
-        z = (total - total.max()) / max(1.0, np.sqrt(n))
+        seen = np.ones(len(langs)) if docs is None else docs.astype(np.float64)
+        self.prior = np.log(seen / seen.sum()) if langs else np.zeros(0)
+
+    def joint(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The joint log-probability of each text with each language, and each text's number of n-grams."""
+        total, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        columns: list[np.ndarray] = []
+        rows: list[int] = []
+        held = 0
+
+        def add_up() -> None:
+            nonlocal held
+            if rows:
+                starts = np.concatenate([[0], np.cumsum([len(c) for c in columns])[:-1]])
+                np.add.at(total, rows, np.add.reduceat(self.logp[np.concatenate(columns)].astype(np.float64), starts, axis=0))
+            columns.clear()
+            rows.clear()
+            held = 0
+
+        for i, text in enumerate(texts):
+            low = codes(text) if text else np.zeros(0, np.uint32)
+            for at in range(0, len(low) - 2, _CHUNK):
+                h = grams(low[at : at + _CHUNK + 2], self.bits)
+                columns.append(h)
+                rows.append(i)
+                sizes[i] += len(h)
+                held += len(h)
+                if held >= _CHUNK:
+                    add_up()
+        add_up()
+        return total + self.prior, sizes
+
+    def score(self, texts: list) -> list:
+        """Columns: the language, and its posterior with evidence tempered by the root of the length, as n-grams overlap."""
+        if not self.langs:
+            return [[UNKNOWN] * len(texts), np.zeros(len(texts))]
+        total, sizes = self.joint(texts)
+        z = (total - total.max(1, keepdims=True)) / np.maximum(1.0, np.sqrt(sizes))[:, None]
         p = np.exp(z)
-        best = int(np.argmax(p))
-        return self.langs[best], float(p[best] / p.sum())
+        best = total.argmax(1)
+        sure = np.where(sizes > 0, p[np.arange(len(texts)), best] / p.sum(1), 0.0)
+        return [[self.langs[k] if n else UNKNOWN for k, n in zip(best, sizes, strict=True)], sure]
 
 
 def train(docs: DataFrame, label: str = "lang", bits: int = 14, sample: int = 20_000) -> Model:
@@ -103,24 +133,29 @@ def train(docs: DataFrame, label: str = "lang", bits: int = 14, sample: int = 20
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
+        docs: dict[str, int] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 low = codes(text)
-                for at in range(0, len(low), _CHUNK):
+                if len(low):
+                    docs[lang] = docs.get(lang, 0) + 1
+                for at in range(0, len(low) - 2, _CHUNK):
                     own = seen.setdefault(lang, np.zeros(1 << bits, np.int64))
                     own += np.bincount(grams(low[at : at + _CHUNK + 2], bits), minlength=1 << bits)
         for lang, n in seen.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "gram", "n"])
+            # the number of documents stands as n-gram -1
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array([*at, -1], pa.int64()), pa.array([*n[at], docs[lang]], pa.int64())], names=["lang", "gram", "n"])
 
     counted = labelled.select(label, "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counted.toPandas()  # at most languages x 2**bits rows
     langs = sorted(got["lang"].unique())
-    table = np.zeros((len(langs), 1 << bits), np.int64)
+    table, docs_of = np.zeros((len(langs), 1 << bits), np.int64), np.zeros(len(langs), np.int64)
     for i, lang in enumerate(langs):
-        own = got[got["lang"] == lang]
+        own = got[(got["lang"] == lang) & (got["gram"] >= 0)]
         table[i, own["gram"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
-    return Model(langs, table, bits)
+        docs_of[i] = got[(got["lang"] == lang) & (got["gram"] < 0)]["n"].sum()
+    return Model(langs, table, bits, docs_of)
 
 
 def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
@@ -128,7 +163,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**bits floats
 
     def make():
-        return lambda texts: list(zip(*map(sent.value.score, texts), strict=True)) or [[], []]
+        return sent.value.score
 
     return map_texts(docs, "text", carry or ["doc_id"], "lang_pred string, score double", make)
 
