@@ -5,9 +5,10 @@ host and all subdomains, and of those that fit the longest wins. Rules are looke
 equality, never by comparing every page with every rule: a page asks for each pair of a
 suffix of its host and a prefix of its path that a rule may have.
 
-Pages without a rule take the method's verdict. Redirects (meta refresh, or a table of
-them) and canonical links are edges between addresses; connected components of those
-edges are addresses of one document. A component is blocked if a rule blocks one of its
+Pages without a rule take the method's verdict. Redirects (all meta refresh tags, or a table
+of them) and all canonical links are edges between addresses; a relative target is resolved
+against its page's address, ``&amp;`` in it is ``&``, and a target of another scheme without
+``://`` is no address. Connected components of those edges are addresses of one document. A component is blocked if a rule blocks one of its
 addresses, unless a rule explicitly allows another: an allow takes precedence. Addresses
 that no rule reaches are allowed.
 
@@ -34,8 +35,11 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-_CANONICAL = r'(?i)<link\b[^>]*\brel\s*=\s*["\x27]?canonical\b[^>]*>'
-_REFRESH = r'(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["\x27]?refresh\b[^>]*>'
+_TAG = r"(?i)<(?:link|meta)\b[^>]*>"
+_CANONICAL = r"""(?i)^<link\b[^>]*\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?:[\s>]|/>))"""
+_REFRESH = r"""(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b"""
+_HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_URL = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -63,15 +67,37 @@ def rule_table(spark, rules=None) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<verdict string, rule_host string, rule_path string>>")))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` steps."""
+    steps = F.split(path, "/")
+    last = F.element_at(steps, -1)
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda so, x: F.when(x == ".", so).when(x == "..", F.slice(so, 1, F.greatest(F.size(so) - 1, F.lit(1)))).otherwise(F.concat(so, F.array(x))))
+    return F.concat(F.array_join(walked, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A link's target as a whole address; null if it leads nowhere else."""
+    to = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    at = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    path, rest = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"^[^?#]*(.*)$", 1)
+    folder = F.when(at == "", "/").otherwise(F.regexp_extract(at, r"(?s)^(.*/)", 1))
+    return (
+        F.when(to.contains("://") & to.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://"), to)
+        .when(to.startswith("//"), F.concat(F.substring_index(base, "://", 1), F.lit(":"), to))
+        .when(to.startswith("#") | to.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:"), None)
+        .when(to.startswith("?"), F.concat(origin, at, to))
+        .otherwise(F.concat(origin, _without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))), rest))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``(from_url, to_url)``: each page and what it names as canonical or refreshes to, as written."""
-    tags = F.array(F.regexp_extract("html", _CANONICAL, 0), F.regexp_extract("html", _REFRESH, 0))
-    href = F.regexp_extract(tags[0], r'(?i)\bhref\s*=\s*["\x27]?([^"\x27\s>]+)', 1)
-    to = F.regexp_extract(tags[1], r'(?i)\burl\s*=\s*["\x27]?([^"\x27\s>]+)', 1)
-    found = pages.where("html is not null and url is not null").where(F.col("html").rlike("(?i)canonical|http-equiv"))
-    inside = F.col("to").startswith("/") & ~F.col("to").startswith("//")
-    whole = F.when(inside, F.concat(F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1), "to")).otherwise(F.col("to"))
-    return found.select("url", F.explode(F.array(href, to)).alias("to")).where("to <> ''").select(F.col("url").alias("from_url"), whole.alias("to_url"))
+    """``(from_url, to_url)``: each page and all that it names as canonical or refreshes to, as whole addresses."""
+    found = pages.where("html is not null and contains(url, '://')").where(F.col("html").rlike("(?i)canonical|http-equiv"))
+    tags = F.filter(F.regexp_extract_all("html", F.lit(_TAG), 0), lambda t: t.rlike(_CANONICAL) | t.rlike(_REFRESH))
+    to = F.transform(tags, lambda t: F.when(t.rlike(_CANONICAL), F.regexp_extract(t, _HREF, 1)).otherwise(F.regexp_extract(t, _URL, 1)))
+    each = found.select("url", F.explode(to).alias("to")).where("to <> ''")
+    return each.select(F.col("url").alias("from_url"), resolved(F.col("url"), F.col("to")).alias("to_url")).where("to_url is not null")
 
 
 def with_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -113,7 +139,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, redirects: Data
     ends = parts.join(named, "node")
     said = ends.join(with_rule(ends.select("host", "path").distinct(), rules), ["host", "path"]).groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("allows"), F.max(F.col("verdict") == "block").alias("blocks"))
     alias = parts.join(said.where("blocks and not coalesce(allows, false)"), "component").select(F.col("node").alias("address"), F.lit(True).alias("aliased"))
-    return pages_ruled.join(alias, "address", "left").select(
+    # pages without an address have no alias, however many they are
+    met = pages_ruled.where("address is not null").join(alias, "address", "left").unionByName(pages_ruled.where("address is null").withColumn("aliased", F.lit(None).cast("boolean")))
+    return met.select(
         "page_id", "host", "path", "rule",
         F.coalesce("verdict", F.when(F.col("aliased"), "block").otherwise("allow")).alias("verdict"),
         F.when(F.col("rule").isNotNull(), "rule").when(F.col("aliased"), "alias").otherwise("default").alias("via"),
@@ -125,13 +153,28 @@ WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES ('block','com','/en/'), ('allow
 p AS (SELECT page_id, url, html,
         CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
         CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
-        CASE WHEN contains(url, '://') THEN regexp_replace(regexp_extract(url, '(?s)^(.*?://[^#]*)', 1), '/+$', '') END AS address
+        CASE WHEN contains(url, '://') THEN lower(split_part(regexp_replace(regexp_extract(url, '(?s)^(.*?://[^#]*)', 1), '/+$', ''), '://', 1)) || '://' || translate(regexp_extract(regexp_replace(regexp_extract(url, '(?s)^(.*?://[^#]*)', 1), '/+$', ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(regexp_replace(regexp_extract(url, '(?s)^(.*?://[^#]*)', 1), '/+$', ''), '(?s)^.*?://[^/?#]*(.*)$', 1) END AS address
       FROM pages),
+tags AS (
+  SELECT url, CASE WHEN canonical THEN regexp_extract(t, '(?i)\bhref\s*=\s*["\x27]?([^"\x27\s>]+)', 1) ELSE regexp_extract(t, '(?i)\burl\s*=\s*["\x27]?([^"\x27\s>]+)', 1) END AS t
+  FROM (SELECT url, t, regexp_matches(t, '(?i)^<link\b[^>]*\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|\x27(?:[^\x27]*\s)?canonical(?:\s[^\x27]*)?\x27|canonical(?:[\s>]|/>))') AS canonical,
+               regexp_matches(t, '(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["\x27]?refresh\b') AS refresh
+        FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS t FROM p WHERE contains(url, '://')))
+  WHERE canonical OR refresh),
+named AS (
+  SELECT url, replace(t, '&amp;', '&') AS t, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS origin, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS place FROM tags WHERE t <> ''),
+steps AS (
+  SELECT *, string_split(CASE WHEN starts_with(t, '/') THEN regexp_extract(t, '^([^?#]*)', 1) ELSE CASE WHEN place = '' THEN '/' ELSE regexp_extract(place, '(?s)^(.*/)', 1) END || regexp_extract(t, '^([^?#]*)', 1) END, '/') AS st FROM named),
+walked AS (
+  SELECT *, array_to_string(list_reduce([CAST([] AS VARCHAR[])] || list_transform(st, lambda x: [x]), lambda so, x: CASE WHEN x = ['.'] THEN so WHEN x = ['..'] THEN so[1:greatest(len(so) - 1, 1)] ELSE list_concat(so, x) END), '/')
+    || CASE WHEN st[-1] IN ('.', '..') THEN '/' ELSE '' END || regexp_extract(t, '^[^?#]*(.*)$', 1) AS way FROM steps),
+whole AS (
+  SELECT url, CASE WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.\-]*://') THEN t WHEN starts_with(t, '//') THEN split_part(url, '://', 1) || ':' || t
+    WHEN starts_with(t, '#') OR regexp_matches(t, '(?i)^[a-z][a-z0-9+.\-]*:') THEN NULL WHEN starts_with(t, '?') THEN origin || place || t ELSE origin || way END AS t
+  FROM walked),
 links AS (
-  SELECT address AS a, regexp_replace(split_part(t, '#', 1), '/+$', '') AS b, url, t FROM (
-    SELECT address, url, unnest([regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["\x27]?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["\x27]?([^"\x27\s>]+)', 1),
-                            regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["\x27]?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["\x27]?([^"\x27\s>]+)', 1)]) AS t FROM p)
-  WHERE t <> '' AND contains(t, '://') AND address IS NOT NULL),
+  SELECT lower(split_part(regexp_replace(regexp_extract(url, '(?s)^(.*?://[^#]*)', 1), '/+$', ''), '://', 1)) || '://' || translate(regexp_extract(regexp_replace(regexp_extract(url, '(?s)^(.*?://[^#]*)', 1), '/+$', ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(regexp_replace(regexp_extract(url, '(?s)^(.*?://[^#]*)', 1), '/+$', ''), '(?s)^.*?://[^/?#]*(.*)$', 1) AS a,
+    lower(split_part(regexp_replace(regexp_extract(t, '(?s)^(.*?://[^#]*)', 1), '/+$', ''), '://', 1)) || '://' || translate(regexp_extract(regexp_replace(regexp_extract(t, '(?s)^(.*?://[^#]*)', 1), '/+$', ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(regexp_replace(regexp_extract(t, '(?s)^(.*?://[^#]*)', 1), '/+$', ''), '(?s)^.*?://[^/?#]*(.*)$', 1) AS b, url, t FROM whole WHERE contains(t, '://')),
 reach(a, b) AS (
   SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT a, a FROM links UNION SELECT b, b FROM links
   UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a),
