@@ -42,11 +42,11 @@ class Scratch:
         self._n = 0
         atexit.register(self.discard)
 
-    def keep(self, frame: DataFrame, name: str = "step") -> DataFrame:
-        """Write ``frame`` and read it back: the lineage ends here."""
+    def keep(self, frame: DataFrame, name: str = "step", **options: str) -> DataFrame:
+        """Write ``frame`` and read it back: the lineage ends here. options: those of the writer."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        frame.write.mode("overwrite").parquet(path)
+        frame.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, frame: DataFrame) -> None:
