@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.llm import chat, decontaminate, exact_dedup, language, license_scan, mixing, simhash, token_shards, toxicity, url_filter
+from cairn.plans.durable import Scratch
 from cairn.sources.tables import table
 
 
@@ -43,7 +44,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.training_order(table(spark, sf_dir, "documents"))
+    return token_shards.materialise(token_shards.training_order(table(spark, sf_dir, "documents")), Scratch(spark, "token-shards"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

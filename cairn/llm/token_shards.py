@@ -105,8 +105,11 @@ def training_order(docs: DataFrame, length: int = 1024, shard_rows: int = 4096,
     dealt to at most ``partitions`` tasks, in ranges.
     """
     carry = ["doc_id"] if carry is None else carry
+    if clash := sorted({c.lower() for c in carry} & {"slot", "shard", "row_in_shard", "seq_no", "n_tokens", "tokens"}):
+        raise ValueError(f"carried columns have names of the result's own: {clash}")
+    docs = docs.select(F.struct(*carry).alias("carried"), "text")
     scratch = Scratch(docs.sparkSession, "token-shards")
-    done = scratch.keep(tokenize(docs, length, path, carry), "tokens")
+    done = scratch.keep(tokenize(docs, length, path, ["carried"]), "tokens", compression="zstd")
     parts = done.groupBy("part").agg(F.sum("n_seqs").alias("seqs"))
     first = scratch.keep(parts.select("part", F.coalesce(F.sum("seqs").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), "seqs"), "offsets")
     total = first.agg(F.sum("seqs")).first()[0] or 0
@@ -120,15 +123,20 @@ def training_order(docs: DataFrame, length: int = 1024, shard_rows: int = 4096,
     tasks = max(1, min(shards, partitions))
     # a document's ids are cut before they are exploded: a row then has its own sequence, not all of the document
     cut = F.transform(F.expr("sequence(0L, n_seqs - 1)"), lambda i: F.struct(i.alias("seq_no"), F.substring("ids", (i * stride + 1).cast("int"), F.lit(stride)).alias("tokens")))
-    numbered = done.join(first.select("part", "first"), "part").select(*carry, "n_tokens", (F.col("first") + F.col("before")).alias("index"), F.explode(cut).alias("seq"))
+    numbered = done.join(first.select("part", "first"), "part").select("carried", "n_tokens", (F.col("first") + F.col("before")).alias("index"), F.explode(cut).alias("seq"))
     placed = numbered.select(
-        slot(F.col("index") + F.col("seq.seq_no")).alias("slot"), *carry, "seq.seq_no",
+        slot(F.col("index") + F.col("seq.seq_no")).alias("slot"), *[F.col(f"carried.{c}").alias(c) for c in carry], "seq.seq_no",
         F.least(F.col("n_tokens") - F.col("seq.seq_no") * length, F.lit(length)).alias("n_tokens"), "seq.tokens",
     )
     placed = placed.select("slot", F.expr(f"slot div {shard_rows}").alias("shard"), F.expr(f"int(slot % {shard_rows})").alias("row_in_shard"), *carry, "seq_no", "n_tokens", "tokens")
     return placed.repartitionById(tasks, F.expr(f"int(shard * {tasks} div {max(1, shards)})")).sortWithinPartitions("slot")
 
 
+def materialise(ordered: DataFrame, scratch: Scratch) -> DataFrame:
+    """Write the shards of ``training_order`` as a table, a range of shards to a file, and read them from there."""
+    return scratch.keep(ordered, "shards", compression="zstd")
+
+
 def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
     """Write the shards of ``training_order`` as plain binary files below ``uri``; ``(shard, rows, bytes)``.
 

@@ -9,18 +9,24 @@ root of the landmarks' own kernel matrix (Nystroem); a linear machine with squar
 loss works on that.
 
 Labels are for documents, and an insult makes a document toxic: the machine learns from words. Its first positive examples are words that together account for the toxic documents
-and are rare in clean ones, and words whose share of toxic documents is beyond chance; its
-negative examples are words of clean documents; in each round of training, the worst words of
+and are rare in clean ones, words whose share of toxic documents is beyond chance, and, for the
+documents that plain insults don't account for, words with a beginning of which that is true; its negative examples are words of clean documents; in each round of training, the worst words of
 toxic documents and the clean words that it takes for insults join them. A document's score
-comes from its worst words: one plain insult, or several doubtful ones. Logistic calibration
+comes from its worst words: one plain insult, or several doubtful ones; words that are
+common in clean documents, and not more so in toxic ones, don't count. Logistic calibration
 on the training documents makes it a probability.
 
-Words are runs of non-space characters, in lower case, without ASCII digits and signs; three or more one-letter words in a row are one word. A word of over ``WIDTH`` letters is
-read in overlapping windows of that width. Whole texts are read.
+Words are runs of non-space characters, in lower case, without ASCII digits and signs; three or
+more one-letter words in a row are one word. A word with digits or signs that stand for letters
+is also read with those letters. A word of one letter has the mark for a beginning on either
+side, so that it has a subsequence too. A word of over
+``WIDTH`` letters is read in overlapping windows of that width. Whole texts are read.
 
-Training uses at most ``sample`` labelled documents, taken by hashed id; the model is of
+Training uses at most ``sample`` labelled documents, taken by hashed id, and of their texts at
+most about ``sample_chars`` characters: beyond that the sample is taken smaller. The model is of
 fixed size (landmarks and their weights) and goes to the tasks, which remember the scores
-of words they have met.
+of words they have met. Its subsequences are a table of at most landmarks times 680 entries,
+whatever the number of letters.
 
 Null and empty texts, and texts without a letter, get the score of the least toxic word.
 With no labels of one of the two kinds, every score is 0. Documents with several labels
@@ -45,6 +51,7 @@ WIDTH = 16
 START = "^"
 #: Deleted from texts: ASCII other than letters and white space. The kernel bridges any other sign inside a word.
 _DELETE = bytes(i for i in range(128) if not chr(i).isalpha() and not chr(i).isspace())
+_DISGUISED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])\S*[013457@$]\S*")
 _SPELLED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 #: A document is judged by so many of its worst words: one plain insult is enough, and so are several doubtful ones.
 WORST = 3
@@ -52,19 +59,25 @@ _REMEMBER = 1 << 19
 _SLICE = 500
 
 
+#: Digits and signs that are written for letters.
+_LEET = str.maketrans("013457@$", "oieastas")
+
+
 def units(text: str | None) -> set[str]:
     """The distinct words of a text that the kernel compares, each after a mark for its beginning."""
     if not text:
         return set()
-    low = text.lower().encode("utf-8", "surrogatepass").translate(None, _DELETE).decode("utf-8", "surrogatepass")
+    lower = text.lower()
+    low = lower.encode("utf-8", "surrogatepass").translate(None, _DELETE).decode("utf-8", "surrogatepass")
     found = set(low.split())
-    short = {w for w in found if len(w) < 3}
-    if sum(len(w) == 1 for w in short) > 1:
+    if sum(len(w) == 1 for w in found) > 1:
         found.update("".join(m[0].split()) for m in _SPELLED.finditer(low))
-    found -= short
+    for w in set(_DISGUISED.findall(lower)):
+        found.add(w.translate(_LEET).encode("utf-8", "surrogatepass").translate(None, _DELETE).decode("utf-8", "surrogatepass"))
+    found.discard("")
     long = [w for w in found if len(w) > WIDTH]
     found.difference_update(long)
-    marked = set(map(START.__add__, found))
+    marked = {START + w if len(w) > 1 else START + w + START for w in found}
     for w in long:
         marked.add(START + w[:WIDTH])
         marked.update(w[i : i + WIDTH] for i in range(WIDTH // 2, len(w) - WIDTH // 2, WIDTH // 2))
@@ -127,6 +140,7 @@ class Machine:
             keep = values > 1e-4
             self.white = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
         self.weights, self.bias, self.scale, self.shift = np.zeros(len(landmarks), np.float32), np.float32(-1), np.ones(WORST) / WORST, 0.0
+        self.common: frozenset[str] = frozenset()
         self._known: dict[str, float] = {}
 
     def kernel(self, words: list[str]) -> np.ndarray:
@@ -169,26 +183,45 @@ class Machine:
         two words' weighted subsequences; so all landmarks together are one weight for each
         subsequence that one of them has, and a word needs a sum over its own subsequences only.
         """
-        letters = sorted(set("".join(self.landmarks)))
-        self.letters = {ord(c): i + 1 for i, c in enumerate(letters)}
-        size = len(letters) + 1
-        table = np.zeros((size,) * self.order)
+        letters = sorted({ord(c) for c in "".join(self.landmarks)})
+        self.letters = np.array(letters, np.uint32)
+        base = len(letters) + 1
+        number = {c: i + 1 for i, c in enumerate(letters)}
+        table: dict[int, float] = {}
         for word, weight, root in zip(self.landmarks, self.weights, self.root, strict=True):
-            x = [self.letters[ord(c)] for c in word]
+            x = [number[ord(c)] for c in word]
             for places in combinations(range(len(x)), self.order):
-                table[tuple(x[i] for i in places)] += weight / root * self.decay ** (places[-1] - places[0] + 1)
-        self.table = table.astype(np.float32).ravel()
-        self.spans = {n: (np.array(list(combinations(range(n), self.order))).T, None) for n in range(self.order, WIDTH + 2)}
-        self.spans = {n: (at, (self.decay ** (at[-1] - at[0] + 1)).astype(np.float32)) for n, (at, _) in self.spans.items()}
+                at = 0
+                for i in places:
+                    at = at * base + x[i]
+                table[at] = table.get(at, 0.0) + weight / root * self.decay ** (places[-1] - places[0] + 1)
+        self.base, self.places = base, np.array(sorted(table), np.int64)
+        self.values = np.array([table[at] for at in self.places.tolist()], np.float32)
+        self.spans = {n: np.array(list(combinations(range(n), self.order))).T for n in range(self.order, WIDTH + 2)}
+        self.spans = {n: (at, (self.decay ** (at[-1] - at[0] + 1)).astype(np.float32)) for n, at in self.spans.items()}
+        # few letters: the table is laid out in full, which is faster to read; the entries are the same
+        self.full = None
+        if base**self.order <= 1 << 20:
+            self.full = np.zeros(base**self.order, np.float32)
+            self.full[self.places] = self.values
         self._known = {}
 
+    def _numbers(self, codes: np.ndarray) -> np.ndarray:
+        """Letters by their number among those of the landmarks; 0 for all others, of any plane."""
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        return np.where(self.letters[at] == codes, at + 1, 0)
+
+    def _weights_at(self, places: np.ndarray) -> np.ndarray:
+        if self.full is not None:
+            return self.full[places]
+        at = np.minimum(np.searchsorted(self.places, places), len(self.places) - 1)
+        return np.where(self.places[at] == places, self.values[at], np.float32(0))
+
     def decide(self, words: list[str]) -> np.ndarray:
         """The machine's decision on each word: above 0 is toxic."""
         out = np.full(len(words), self.bias, np.float32)
-        base = round(len(self.table) ** (1 / self.order))
-        low = np.zeros(0x10000, np.int32)
-        for c, i in self.letters.items():
-            low[min(c, 0xFFFF)] = i
+        if not len(self.places):
+            return out
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
@@ -199,11 +232,17 @@ class Machine:
             for cut in range(0, len(idx), 2048):
                 some = idx[cut : cut + 2048]
                 own = [words[i] for i in some]
-                x = low[np.minimum(_codes(own, n), 0xFFFF)]
+                x = self._numbers(_codes(own, n))
                 place = x[:, at[0]]
                 for level in at[1:]:
-                    place = place * base + x[:, level]
-                out[some] += self.table[place] @ weight / self._norms(own)
+                    place = place * self.base + x[:, level]
+                out[some] += self._weights_at(place) @ weight / self._norms(own)
+        return out
+
+    def judge(self, words: list[str]) -> np.ndarray:
+        """``decide``, but for words that clean documents commonly have: these are like no landmark."""
+        out = self.decide(words)
+        out[[i for i, w in enumerate(words) if w in self.common]] = min(self.bias, np.float32(-1))
         return out
 
     def fit(self, kernels: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> None:
@@ -255,7 +294,7 @@ class Machine:
             new = list(set().union(*sets) - self._known.keys())
             if len(self._known) + len(new) > _REMEMBER:
                 self._known, new = {}, list(set().union(*sets))
-            self._known.update(zip(new, self.decide(new).tolist(), strict=True))
+            self._known.update(zip(new, self.judge(new).tolist(), strict=True))
             known = self._known
             out[at : at + len(sets)] = [self.highest(list(map(known.__getitem__, s))) for s in sets]
         return out
@@ -276,6 +315,10 @@ CERTAIN, COMMON = 3.0, 0.05
 BEYOND_CHANCE = 18.0
 
 
+#: At most so many words of clean documents are known for what they are, whatever landmarks they look like.
+KNOWN = 4096
+
+
 def _surprise(k: int, other: int, base: float) -> float:
     """The log-likelihood ratio (G squared) of a word with k toxic and ``other`` clean documents against the share ``base``."""
     n = k + other
@@ -324,6 +367,25 @@ def _cover(docs: list[set[str]], odds: dict[str, float], least: int = 2) -> list
     return chosen
 
 
+#: Letters of a word's beginning that may tell a family of insults, and how many words of a family are examples.
+STEM, KIN = range(4, 9), 16
+
+
+def _stems(words: set[str]) -> set[str]:
+    """The beginnings, mark and all, of the words."""
+    return {w[: k + 1] for w in words if w[0] == START for k in STEM if len(w) > k}
+
+
+def _families(toxic_docs: list[set[str]], clean_docs: list[set[str]]) -> list[str]:
+    """Beginnings that account for toxic documents beyond chance: insults that are seldom twice the same word."""
+    toxic, clean = [_stems(t) for t in toxic_docs], [_stems(t) for t in clean_docs]
+    hits, misses = _counts(toxic), _counts(clean)
+    base = len(toxic) / max(1, len(toxic) + len(clean))
+    odds = {w: float(np.log((k + 0.5) / (len(toxic) + 2)) - np.log((misses.get(w, 0) + 0.5) / (len(clean) + 2))) for w, k in hits.items()}
+    sure = {w: v for w, v in odds.items() if v > TELLING and _surprise(hits[w], misses.get(w, 0), base) > BEYOND_CHANCE}
+    return _cover([t & sure.keys() for t in toxic], sure)
+
+
 def _variants(words: list[str], rng: np.random.Generator, each: int = 6) -> list[str]:
     """Words of five letters or more with a letter put in between, or one left out."""
     letters = sorted(set("".join(words)) - {START})
@@ -357,8 +419,8 @@ def _landmarks(positive: list[str], negative: list[str], count: int) -> list[str
     return chosen + rest[: count - len(chosen)]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, landmarks: int = 128, rounds: int = 3, examples: int = 3000) -> Machine | None:
-    """A machine from at most about ``sample`` labelled documents, half of each kind if there are as many."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars: int = 100_000_000, landmarks: int = 128, rounds: int = 3, examples: int = 3000) -> Machine | None:
+    """A machine from at most about ``sample`` labelled documents and ``sample_chars`` characters, half of each kind if there are as many."""
     marked = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
     if not sizes.get(0) or not sizes.get(1):
@@ -367,8 +429,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, landmarks: int
     cut = F.when(F.col("toxic") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
     # the sampled ids are few by the bound, and go to the documents; no text is shuffled to meet them
     chosen = F.broadcast(marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut).limit(2 * sample))
-    rows = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(2 * sample).collect()
-    return learn([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows]), landmarks, rounds, examples)
+    found = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
+    chars = found.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > sample_chars:
+        found = found.where(F.pmod(F.xxhash64("doc_id", F.lit("fewer")), F.lit(1 << 30)) < int(sample_chars / chars * (1 << 30)))
+    rows = found.orderBy("doc_id", "text").limit(2 * sample).collect()  # bounded in rows and characters
+    return learn([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool), landmarks, rounds, examples)
 
 
 def learn(docs: list[str], y: np.ndarray, landmarks: int = 128, rounds: int = 3, examples: int = 3000) -> Machine | None:
@@ -384,6 +450,9 @@ def learn(docs: list[str], y: np.ndarray, landmarks: int = 128, rounds: int = 3,
     told = {w for w, k in hits.items() if odds[w] > CERTAIN and k >= COMMON * len(toxic_docs)} | set(_cover(toxic_docs, odds))
     base = len(toxic_docs) / (len(toxic_docs) + len(clean_docs))
     told |= {w for w, k in hits.items() if odds[w] > TELLING and _surprise(k, misses.get(w, 0), base) > BEYOND_CHANCE}
+    plain = {w for w in told if odds[w] > CERTAIN and hits[w] >= COMMON * len(toxic_docs)}
+    for stem in _families([t for t in toxic_docs if not t & plain], clean_docs):
+        told.update(sorted((w for w in hits if w.startswith(stem) and odds[w] > 0), key=lambda w: (-hits[w], w))[:KIN])
     told = sorted(told, key=lambda w: (-hits[w], w))[:examples]
     insult = {w for w, v in odds.items() if v > TELLING}
     clean = sorted(misses.keys() - insult)
@@ -408,13 +477,16 @@ def learn(docs: list[str], y: np.ndarray, landmarks: int = 128, rounds: int = 3,
         pos = sorted(set(pos) | {i for i in worst if every[i] in insult and f[i] > 0})
         wrong = clean_at[f[clean_at] > -0.5]
         hard |= set(wrong[np.argsort(-f[wrong], kind="stable")][:examples].tolist())
+    known = sorted((w for w, k in misses.items() if k >= 3 and odds.get(w, -1.0) <= 0), key=lambda w: (-misses[w], w))
+    machine.common = frozenset(known[:KNOWN])
+    f = machine.judge(every)
     machine.calibrate(np.array([machine.highest(f[i].tolist()) for i in idx]), y)
     return machine
 
 
 def score_documents(docs: DataFrame, machine: Machine | None, carry: list[str] | None = None) -> DataFrame:
     """The columns of ``carry`` (default: doc_id) and ``score``, from 0 to 1."""
-    sent = docs.sparkSession.sparkContext.broadcast(machine)  # landmarks and weights: some kilobytes
+    sent = docs.sparkSession.sparkContext.broadcast(machine)  # landmarks, weights and at most 87,040 subsequences: under 6 MB
 
     def make():
         return lambda texts: [sent.value.score(texts) if sent.value is not None else np.zeros(len(texts))]
