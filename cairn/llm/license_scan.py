@@ -4,24 +4,30 @@ Training. A multinomial logistic regression over hashed word n-grams (1 to 3 wor
 from the licence phrases below, each in several surroundings, and from an ``unknown``
 class: shuffled phrases and sentences that only speak about licences. It is trained anew
 in each run, in numpy on the driver; that takes about a second, and reads no corpus.
-The threshold that the probability of being a licence must reach, all families together, is
-calibrated on held-out variants: the lowest at which at most ``miss`` of the unknown ones pass.
+Probabilities are calibrated by a temperature on held-out variants, and so is the threshold
+that the probability of being a licence must reach, all families together: the lowest at
+which at most ``miss`` of the unknown ones pass.
 
-Scanning. A text's paragraphs are its lines. A paragraph that has none of the cue stems
-is not a licence paragraph; every phrase has a cue. The others are cut into n-grams, which
+Scanning. A text's paragraphs are its lines. One that has none of the cue stems, which are of
+several languages, is not a licence paragraph; every phrase has a cue, so nothing that a
+phrase could confirm is lost. The others are cut into n-grams, which
 meet the weights by an equi-join on the hashed n-gram, and one sum per class makes the
 logits of a paragraph. The weights' table has at most ``2**bits`` rows, whatever the
 corpus. A prediction is confirmed if, for a phrase of the family, 0.8 or more of its
 five-word shingles (shorter phrases: the whole) are in the paragraph; a paragraph whose
-prediction isn't confirmed, or is below the threshold, is ``unknown``.
+prediction isn't confirmed, or is below the threshold, is ``unknown``. So is one that says
+that something is not licensed, released, distributed or available so.
 
 A phrase may be wrapped: a line that isn't confirmed alone is judged again with the words
 next to it in the lines around, unless those lines hold the phrase without it.
 
-Words are runs of a-z after lower-casing A-Z; digits and version numbers are no words.
+Words are runs of a-z after lower-casing A-Z; digits are no words, and neither are ``version``,
+``v``, ``clause`` and ``the``: notices differ in these. The ``v`` of ``GPLv3`` counts as such.
 
-Null and empty texts have no paragraphs. Repeated rows are rows of their own. Null ids are
-carried. Extra columns are ignored. An empty table gives an empty result.
+Rows are numbered where their cued lines are first written, and all later steps read those
+numbers: the partitioning of the input changes nothing. Null and empty texts have no
+paragraphs. Repeated rows are rows of their own. Null ids are carried. Extra columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,20 +43,20 @@ from cairn.plans.durable import Scratch
 
 #: Notices and characteristic sentences of licence families, as their publishers word them, in short.
 PHRASES = {
-    "AGPL": ["gnu affero general public license", "under the terms of the gnu affero general public license", "spdx license identifier agpl", "licensed under the gnu agpl version"],
-    "Apache": ["licensed under the apache license version", "you may not use this file except in compliance with the license", "spdx license identifier apache", "released under the apache license", "this work is licensed under the apache license version"],
-    "BSD": ["redistributions of source code must retain the above copyright notice", "redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license", "licensed under the bsd license", "spdx license identifier bsd clause", "this software is released under the clause bsd license"],
+    "AGPL": ["gnu affero general public license", "under the terms of the gnu affero general public license", "spdx license identifier agpl", "licensed under the gnu agpl version", "licensed under gnu agpl", "licensed under agpl", "license agpl", "agpl licensed"],
+    "Apache": ["licensed under the apache license version", "you may not use this file except in compliance with the license", "spdx license identifier apache", "released under the apache license", "this work is licensed under the apache license version", "apache licensed", "license apache", "licensed under apache", "distributed under the apache license"],
+    "BSD": ["redistributions of source code must retain the above copyright notice", "redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license", "licensed under the bsd license", "spdx license identifier bsd clause", "this software is released under the clause bsd license", "bsd licensed", "license bsd", "licensed under bsd", "distributed under the bsd license"],
     "CC-BY": ["licensed under cc by", "licensed under a creative commons attribution international license", "this work is licensed under the creative commons attribution license", "licensed under creative commons attribution"],
     "CC-BY-NC": ["licensed under cc by nc", "this work is licensed under a creative commons attribution noncommercial license", "licensed under creative commons attribution noncommercial", "released under cc by nc", "licensed under cc by nc sa", "licensed under cc by nc nd"],
     "CC-BY-SA": ["licensed under cc by sa", "this work is licensed under a creative commons attribution sharealike license", "licensed under creative commons attribution share alike", "text is available under the creative commons attribution sharealike license"],
     "CC0": ["dedicated to the public domain under cc", "creative commons zero public domain dedication license", "no rights reserved released under cc zero license", "released into the public domain under the cc license"],
-    "EPL": ["licensed under the eclipse public license version", "under the terms of the eclipse public license", "released under the eclipse public license", "spdx license identifier epl"],
-    "GPL": ["this work is licensed under the gnu general public license version", "under the terms of the gnu general public license as published by the free software foundation", "licensed under the gnu general public license", "released under the gnu gpl license", "licensed under the gpl version", "spdx license identifier gpl"],
-    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license", "licensed under the isc license", "spdx license identifier isc"],
-    "LGPL": ["gnu lesser general public license", "under the terms of the gnu lesser general public license", "licensed under the gnu lgpl version", "spdx license identifier lgpl"],
-    "MIT": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "this project is licensed under the terms of the mit license", "spdx license identifier mit"],
-    "MPL": ["this source code form is subject to the terms of the mozilla public license", "licensed under the mozilla public license", "released under the mozilla public license version", "spdx license identifier mpl"],
-    "Unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense license", "spdx license identifier unlicense"],
+    "EPL": ["licensed under the eclipse public license version", "under the terms of the eclipse public license", "released under the eclipse public license", "spdx license identifier epl", "license epl", "licensed under epl"],
+    "GPL": ["this work is licensed under the gnu general public license version", "under the terms of the gnu general public license as published by the free software foundation", "licensed under the gnu general public license", "released under the gnu gpl license", "licensed under the gpl version", "spdx license identifier gpl", "licensed under gnu gpl", "licensed under gpl", "license gpl", "gpl licensed", "distributed under the gnu general public license"],
+    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license", "licensed under the isc license", "spdx license identifier isc", "license isc", "isc licensed", "distributed under the isc license"],
+    "LGPL": ["gnu lesser general public license", "under the terms of the gnu lesser general public license", "licensed under the gnu lgpl version", "spdx license identifier lgpl", "licensed under gnu lgpl", "licensed under lgpl", "license lgpl", "lgpl licensed"],
+    "MIT": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "this project is licensed under the terms of the mit license", "spdx license identifier mit", "license mit", "mit licensed", "licensed under mit", "distributed under the mit license", "available under the mit license"],
+    "MPL": ["this source code form is subject to the terms of the mozilla public license", "licensed under the mozilla public license", "released under the mozilla public license version", "spdx license identifier mpl", "license mpl", "licensed under mpl", "distributed under the mozilla public license"],
+    "Unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense license", "spdx license identifier unlicense", "license unlicense", "licensed under the unlicense"],
 }
 #: Sentences that speak about licences and are none.
 ABOUT = [
@@ -60,11 +66,26 @@ ABOUT = [
     "released under a custom license", "licensed under terms to be announced", "the general public has no license", "source code must be kept secret under this license", "the software license expires in june",
 ]
 UNKNOWN = "unknown"
-CUES = r"(?i)licen[cs]|permission|redistribution|public domain|affero|spdx|creative commons|\bcc[ -](?:by|zero)\b|\bcc0\b"
+CUES = r"(?i)licen[cs]|permission|redistribution|public domain|affero|spdx|creative commons|\bcc[ -](?:by|zero)\b|\bcc0\b|\b[al]?gpl|lizenz|licenz|licença|gemeinfrei|domaine public|dominio p[uú]blico|лиценз|许可|授权|ライセンス|라이선스"
+#: Words that notices of one family differ in.
+DROPPED = ["v", "version", "clause", "the"]
+#: What a line says that speaks against a licence.
+DENIED = r"(?:^| )(?:not|never|no longer|cannot be|isn t|wasn t|aren t|neither|nor)(?: [a-z]+){0,2} (?:licensed|released|distributed|available|dedicated|covered)(?: |$)"
 SHINGLE, SIMILAR = 5, 0.8
 #: A wrapped phrase may go on in so many lines on either side, and is no longer than so many words.
 NEAR, REACH = 4, max(len(p.split()) for ps in PHRASES.values() for p in ps)
-_WORD = re.compile("[a-z]+")
+_UPPER = {i: i + 32 for i in range(65, 91)}
+
+
+def spoken(text: str) -> list[str]:
+    """The words of a text."""
+    return [w for w in re.findall("[a-z]+", re.sub("(gpl|mpl|epl)v", r"\1 v", text.translate(_UPPER))) if w not in DROPPED]
+
+
+def spoken_column(text: Column) -> Column:
+    """``spoken`` as an expression."""
+    low = F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "(gpl|mpl|epl)v", "$1 v")
+    return F.filter(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1), lambda w: ~w.isin(DROPPED))
 
 
 def _grams(words: list[str]) -> list[str]:
@@ -87,12 +108,13 @@ class Model:
         for _ in range(8):
             for c, name in enumerate(self.classes[:-1]):
                 for phrase in PHRASES[name]:
-                    words = phrase.split()
+                    words = spoken(phrase)
                     before, after = (list(rng.choice(around, rng.integers(0, 6))) for _ in range(2))
                     add([*before, *words, *after], c)
-                    add([*before, *rng.permutation([w for w in words if w not in around]), *after], len(self.classes) - 1)
+                    if len(words) > 4:  # of fewer words an order says little
+                        add([*before, *rng.permutation([w for w in words if w not in around]), *after], len(self.classes) - 1)
             for about in ABOUT:
-                add([*rng.choice(around, rng.integers(0, 6)), *about.split()], len(self.classes) - 1)
+                add([*rng.choice(around, rng.integers(0, 6)), *spoken(about)], len(self.classes) - 1)
             add(list(rng.choice(around, 12)), len(self.classes) - 1)
         x = np.zeros((len(rows), 1 << bits), np.float32)
         for i, words in enumerate(rows):
@@ -101,6 +123,9 @@ class Model:
         y = np.array(labels)
         held = np.arange(len(y)) % 5 == 4
         self.weights, self.bias = self._fit(x[~held], y[~held], rounds)
+        loss = {t: -float(np.log(self._probabilities(x[held], t)[np.arange(held.sum()), y[held]] + 1e-12).mean()) for t in np.geomspace(0.25, 4, 33)}
+        best = min(loss, key=loss.get)
+        self.weights, self.bias = (self.weights / best).astype(np.float32), (self.bias / best).astype(np.float32)
         p = self._probabilities(x[held])
         other = np.sort(1 - p[y[held] == len(self.classes) - 1][:, -1])
         self.threshold = float(max(0.5, other[min(len(other) - 1, int(np.ceil(len(other) * (1 - miss))))]))
@@ -125,8 +150,8 @@ class Model:
             b = b + vb
         return w, b
 
-    def _probabilities(self, x: np.ndarray) -> np.ndarray:
-        s = x @ self.weights + self.bias
+    def _probabilities(self, x: np.ndarray, temperature: float = 1.0) -> np.ndarray:
+        s = (x @ self.weights + self.bias) / temperature
         s = np.exp(s - s.max(1, keepdims=True))
         return s / s.sum(1, keepdims=True)
 
@@ -142,7 +167,7 @@ def _ngrams(words: Column, n: int) -> Column:
 
 
 def _shingles(phrase: str) -> list[str]:
-    words = phrase.split()
+    words = spoken(phrase)
     return sorted({" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))})
 
 
@@ -153,20 +178,26 @@ def _confirmed(family: Column, words: Column) -> Column:
     return F.exists(F.coalesce(by_family[family], F.array().cast("array<array<string>>")), lambda phrase: F.size(F.filter(phrase, lambda s: text.contains(F.concat(F.lit(" "), s, F.lit(" "))))) >= SIMILAR * F.size(phrase))
 
 
-def scan_paragraphs(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """``(row, doc_id, place, paragraph, family, probability)`` for each paragraph with a cue; family may be unknown. probability: of being a licence."""
-    spoken = lambda text: F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("([a-z]+)"), 1)
-    lines = F.col("lines")
-    cued = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.get(lines, k).rlike(CUES))
+def cued_lines(docs: DataFrame) -> DataFrame:
+    """``(row, doc_id, cues)``: the rows, numbered, and their lines with a cue, each with the words next to it in the lines around."""
+    lines = F.split("text", "\n")
+    line = lambda k: F.get("lines", k)
+    words = lambda a, n: spoken_column(F.array_join(F.slice("lines", a, n), " "))
+
+    def cue(k: Column) -> Column:
+        before, after = words(F.greatest(k - NEAR, F.lit(0)) + 1, F.least(k, F.lit(NEAR))), words(k + 2, F.lit(NEAR))
+        return F.struct(k.alias("place"), line(k).alias("paragraph"), F.slice(before, F.greatest(F.size(before) - REACH, F.lit(0)) + 1, F.lit(REACH)).alias("before"), F.slice(after, 1, REACH).alias("after"))
+
+    numbered = docs.select("doc_id", F.when(F.col("text").rlike(CUES), lines).alias("lines"), F.monotonically_increasing_id().alias("row"))
+    cued = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: line(k).rlike(CUES))
+    return numbered.select("row", "doc_id", F.when(F.col("lines").isNotNull(), F.transform(cued, cue)).alias("cues"))
+
+
+def scan_paragraphs(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    """``(row, doc_id, place, paragraph, family, probability)`` for each paragraph of ``cued_lines``; family may be unknown. probability: of being a licence."""
     found = (
-        docs.where(F.col("text").rlike(CUES))
-        .select("row", "doc_id", F.split("text", "\n").alias("lines"))
-        .select("row", "doc_id", F.explode(F.transform(cued, lambda k: F.struct(
-            k.alias("place"), F.get(lines, k).alias("paragraph"),
-            F.array_join(F.slice(lines, F.greatest(k - NEAR, F.lit(0)) + 1, F.least(k, F.lit(NEAR))), " ").alias("before"),
-            F.array_join(F.slice(lines, k + 2, F.lit(NEAR)), " ").alias("after")))).alias("cue"))
-        .select("row", "doc_id", "cue.place", "cue.paragraph", spoken(F.col("cue.before")).alias("before"), spoken(F.col("cue.paragraph")).alias("own"), spoken(F.col("cue.after")).alias("after"))
-        .withColumn("before", F.slice("before", F.greatest(F.size("before") - REACH, F.lit(0)) + 1, F.lit(REACH))).withColumn("after", F.slice("after", 1, REACH))
+        rows.where("cues is not null").select("row", "doc_id", F.explode("cues").alias("cue"))
+        .select("row", "doc_id", "cue.place", "cue.paragraph", "cue.before", spoken_column(F.col("cue.paragraph")).alias("own"), "cue.after")
         .select("*", F.posexplode(F.array(F.col("own"), F.concat("before", "own", "after"))).alias("form", "words"))
         .where("form = 0 or size(before) + size(after) > 0")
     )
@@ -176,17 +207,18 @@ def scan_paragraphs(docs: DataFrame, model: Model, scratch: Scratch) -> DataFram
     k = len(model.classes)
     # a feature is present or not, as in training, even if two n-grams of a paragraph share a place
     exploded = found.select("row", "place", "form", F.explode(grams).alias("gram")).select("row", "place", "form", hashed.alias("h")).distinct()
-    logits = exploded.join(model.table(docs.sparkSession, scratch), "h").groupBy("row", "place", "form").agg(*[F.sum(f"w{c}").alias(f"w{c}") for c in range(k)])
+    logits = exploded.join(model.table(rows.sparkSession, scratch), "h").groupBy("row", "place", "form").agg(*[F.sum(f"w{c}").alias(f"w{c}") for c in range(k)])
     joined = found.join(logits, ["row", "place", "form"], "left")
     z = [F.coalesce(F.col(f"w{c}"), F.lit(0.0)) + F.lit(round(float(model.bias[c]), 5)) for c in range(k)]
-    scored = joined.select("row", "doc_id", "place", "form", "paragraph", "before", "after", "words", F.array(*z).alias("z"))
+    scored = joined.select("row", "doc_id", "place", "form", "paragraph", "before", "own", "after", "words", F.array(*z).alias("z"))
     scored = scored.select("*", F.array_max("z").alias("top"), F.slice("z", 1, k - 1).alias("families"))
     none = F.exp(F.element_at("z", k) - F.col("top")) / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
     family = F.array_position("families", F.array_max("families")).cast("int")
-    scored = scored.select("row", "doc_id", "place", "form", "paragraph", "before", "after", "words", (1 - none).alias("probability"), F.element_at(F.array(*map(F.lit, model.classes)), family).alias("guess"))
+    scored = scored.select("row", "doc_id", "place", "form", "paragraph", "before", "own", "after", "words", (1 - none).alias("probability"), F.element_at(F.array(*map(F.lit, model.classes)), family).alias("guess"))
     # a phrase that stands in the lines around alone is theirs
     theirs = _confirmed(F.col("guess"), F.col("before")) | _confirmed(F.col("guess"), F.col("after"))
-    sure = (F.col("probability") >= model.threshold) & _confirmed(F.col("guess"), F.col("words")) & ((F.col("form") == 0) | ~theirs)
+    denied = F.array_join("own", " ").rlike(DENIED)
+    sure = ~denied & (F.col("probability") >= model.threshold) & _confirmed(F.col("guess"), F.col("words")) & ((F.col("form") == 0) | ~theirs)
     per = scored.groupBy("row", "place").agg(
         F.first("doc_id").alias("doc_id"), F.first("paragraph").alias("paragraph"),
         F.min(F.when(sure, F.struct("form", "guess", "probability"))).alias("best"), F.max(F.when(F.col("form") == 0, F.col("probability"))).alias("alone"),
@@ -201,8 +233,8 @@ def scan_licenses(docs: DataFrame, model: Model | None = None) -> DataFrame:
     name), ``unknown`` if paragraphs speak of licences and none is confirmed, else null.
     """
     scratch = Scratch(docs.sparkSession, "license-scan")
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    ids = scratch.keep(rows.select("row", "doc_id"), "ids")
+    rows = scratch.keep(cued_lines(docs), "cues")
+    ids = rows.select("row", "doc_id")
     seen = scan_paragraphs(rows, model or Model(), scratch)
     per = seen.groupBy("row", "family").agg(F.count("*").alias("n"), F.max("probability").alias("p"))
     best = per.groupBy("row").agg(
