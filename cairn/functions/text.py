@@ -82,8 +82,12 @@ def unsegmented_only(text: Column) -> Column:
 
 
 def ngrams(text: Column, n: int) -> Column:
-    """Overlapping runs of n characters; none if the text is shorter."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: text.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """Overlapping runs of n characters; none if the text is shorter. The text is cut into characters once, so that a long one costs its length."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), 0)
+    runs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+    for k in range(3, n + 1):
+        runs = F.zip_with(runs, F.slice(chars, k, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.filter(runs if n > 1 else chars, lambda r: r.isNotNull())
 
 
 def bigrams(text: Column) -> Column:

@@ -19,13 +19,37 @@ K1, B = 1.2, 0.75
 LANES = {"word": 1.0, "trigram": 0.85, "bigram": 0.7}
 
 
+#: Characters of a term in the lanes that aren't made of words.
+SIZE = {"trigram": 3, "bigram": 2}
+
+
+def characters(text: Column, lane: str) -> Column:
+    """The characters that a lane's terms are runs of."""
+    bare = tx.strip_stopwords(text)
+    return F.lower(bare) if lane == "trigram" else tx.unsegmented_only(bare)
+
+
 def terms_of(text: Column, lane: str) -> Column:
     """A text's terms in a lane."""
-    if lane == "word":
-        return tx.tokens(text)
-    if lane == "trigram":
-        return tx.ngrams(F.lower(tx.strip_stopwords(text)), 3)
-    return tx.bigrams(tx.strip_stopwords(text))
+    return tx.tokens(text) if lane == "word" else tx.ngrams(characters(text, lane), SIZE[lane])
+
+
+def _searched(text: Column, lane: str) -> Column:
+    """What a search reads of a text: its words, or its characters in a row."""
+    return tx.tokens(text) if lane == "word" else characters(text, lane)
+
+
+def _has(searched: Column, term: str, lane: str) -> Column:
+    return F.array_contains(searched, term) if lane == "word" else searched.contains(term)
+
+
+def _count(searched: Column, term: str, lane: str) -> Column:
+    """How often a term stands there; runs of characters may overlap."""
+    return F.size(F.filter(searched, lambda x: x == term)) if lane == "word" else F.regexp_count(searched, F.lit(rf"(?=\Q{term}\E)"))
+
+
+def _length(searched: Column, lane: str) -> Column:
+    return F.size(searched) if lane == "word" else F.greatest(F.length(searched) - SIZE[lane] + 1, F.lit(0))
 
 
 def postings(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...] = ("word", "trigram", "bigram")) -> DataFrame:
@@ -41,8 +65,8 @@ def postings(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...] = ("wo
 
 def statistics(docs: DataFrame, text: str, terms: list[str], lane: str = "word") -> DataFrame:
     """One row: number of documents, mean length, and the documents that have each term."""
-    rows = docs.select(terms_of(F.col(text), lane).alias("t"))
-    return rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl"), *[F.count_if(F.array_contains("t", t)).alias(f"df{i}") for i, t in enumerate(terms)])
+    rows = docs.select(_searched(F.col(text), lane).alias("t"))
+    return rows.agg(F.count("*").alias("n_docs"), F.avg(_length(F.col("t"), lane)).alias("avgdl"), *[F.count_if(_has(F.col("t"), t, lane)).alias(f"df{i}") for i, t in enumerate(terms)])
 
 
 def bm25(tf: Column, dl: Column, n: Column, avgdl: Column, df: Column) -> Column:
@@ -51,16 +75,12 @@ def bm25(tf: Column, dl: Column, n: Column, avgdl: Column, df: Column) -> Column
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _count(terms: str, term: str) -> Column:
-    return F.size(F.filter(terms, lambda x: x == term))
-
-
 def search(docs: DataFrame, doc: str, text: str, terms: list[str], lane: str = "word") -> DataFrame:
     """``(doc, score)`` of documents that have all terms. The statistics are one row, which is asked for first and becomes part of the plan."""
     stats = statistics(docs, text, terms, lane).first()
-    rows = docs.select(F.col(doc).alias("doc"), terms_of(F.col(text), lane).alias("t"))
-    has = reduce(lambda a, b: a & b, [F.array_contains("t", t) for t in terms])
-    parts = [bm25(_count("t", t), F.size("t"), F.lit(stats["n_docs"]), F.lit(stats["avgdl"]), F.lit(stats[f"df{i}"])) for i, t in enumerate(terms)]
+    rows = docs.select(F.col(doc).alias("doc"), _searched(F.col(text), lane).alias("t"))
+    has = reduce(lambda a, b: a & b, [_has(F.col("t"), t, lane) for t in terms])
+    parts = [bm25(_count(F.col("t"), t, lane), _length(F.col("t"), lane), F.lit(stats["n_docs"]), F.lit(stats["avgdl"]), F.lit(stats[f"df{i}"])) for i, t in enumerate(terms)]
     return rows.where(has).select("doc", reduce(lambda a, b: a + b, parts).alias("score"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import lookup as lk, plugins, text as tx
-from cairn.plans.text_queries import _in, _q
+from cairn.plans.text_queries import PLAIN, _in, _q
 from cairn.registry import query
 from cairn.sources import store
 from cairn.streaming import limits
@@ -25,7 +25,7 @@ query("txt.cjk_nouns", r"SELECT doc_id, array_to_string(regexp_extract_all(text,
 _COUNT = lambda tag: rf"len([t for t in regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') if t IN {_in(lk.COMMON_WORDS[tag])}])"
 query("txt.detect_language", "SELECT doc_id, CASE WHEN greatest(de, en, es, fr) < 3 THEN NULL WHEN de = greatest(de, en, es, fr) THEN 'de' WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS language FROM (SELECT doc_id, " + ", ".join(f"{_COUNT(t)} AS {t}" for t in lk.COMMON_WORDS) + " FROM documents)")(
     lambda v: v.documents.select("doc_id", lk.language_by_words(tx.tokens(F.col("text"))).alias("language")))
-query("txt.recap_entities", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\b[A-Z]{2,}[0-9]*\b|\b[A-Z][a-z]+[A-Z][A-Za-z]*\b'))), '|') AS entities FROM texts")(
+query("txt.recap_entities", rf"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all({PLAIN}, '\b[A-Z]{{2,}}[0-9]*\b|\b[A-Z][a-z]+[A-Z][A-Za-z]*\b'))), '|') AS entities FROM texts")(
     lambda v: v.texts.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{2,}[0-9]*\b|\b[A-Z][a-z]+[A-Z][A-Za-z]*\b"), 0))), "|").alias("entities")))
 query("txt.sim_obs_type", "SELECT doc_id, CASE WHEN contains(text, '?') THEN 'question' WHEN regexp_matches(lower(text), 'approved|decided') THEN 'decision' WHEN regexp_matches(lower(text), 'please|todo') THEN 'task' ELSE 'fact' END AS kind FROM texts")(
     lambda v: v.texts.select("doc_id", F.when(F.col("text").contains("?"), "question").when(F.lower("text").rlike("approved|decided"), "decision").when(F.lower("text").rlike("please|todo"), "task").otherwise("fact").alias("kind")))

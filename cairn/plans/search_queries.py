@@ -10,22 +10,19 @@ from cairn.plans.text_queries import CJK, KEPT, _q
 from cairn.registry import AS_OF, query
 
 _STRIP = f"regexp_replace(text, {_q(tx.any_of(tx.RECALL_STOPWORDS))}, ' ', 'g')"
-TERMS = {
-    "word": r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')",
-    "trigram": f"[substr(lower({_STRIP}), i, 3) for i in range(1, length({_STRIP}) - 1)]",
-    "bigram": f"[substr(k, i, 2) for i in range(1, length(k))]",
-}
+#: What a lane searches: words, or characters in a row.
+SEARCHED = {"word": r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')", "trigram": f"lower({_STRIP})", "bigram": KEPT.replace("(text,", f"({_STRIP},")}
 
 
 def bm25_sql(table: str, doc: str, terms: list[str], lane: str = "word") -> str:
-    """``(doc, score)`` over a table with a text column."""
-    k = KEPT.replace("(text,", f"({_STRIP},")
-    toks = TERMS[lane].replace("length(k)", f"length({k})").replace("substr(k,", f"substr({k},")
+    """``(doc, score)`` over a table with a text column. No term of the lanes of characters overlaps itself."""
     part = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms)))
-    tf = ", ".join(f"len([x for x in t if x = {_q(w)}]) AS tf{i}" for i, w in enumerate(terms))
+    count = (lambda w: f"len([x for x in t if x = {_q(w)}])") if lane == "word" else (lambda w: f"((length(t) - length(replace(t, {_q(w)}, ''))) // {len(w)})")
+    size = "len(t)" if lane == "word" else f"greatest(length(t) - {ft.SIZE[lane] - 1}, 0)"
+    tf = ", ".join(f"{count(w)} AS tf{i}" for i, w in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) OVER () AS df{i}" for i in range(len(terms)))
     has = " AND ".join(f"tf{i} > 0" for i in range(len(terms)))
-    return (f"(SELECT doc, {part} AS score FROM (SELECT *, count(*) OVER () AS n, avg(dl) OVER () AS avgdl, {df} FROM (SELECT doc, len(t) AS dl, {tf} FROM (SELECT {doc} AS doc, {toks} AS t FROM {table}))) WHERE {has})")
+    return (f"(SELECT doc, {part} AS score FROM (SELECT *, count(*) OVER () AS n, avg(dl) OVER () AS avgdl, {df} FROM (SELECT doc, {size} AS dl, {tf} FROM (SELECT {doc} AS doc, {SEARCHED[lane]} AS t FROM {table}))) WHERE {has})")
 
 
 WORDS = ["the", "this"]
@@ -47,7 +44,7 @@ query("set.lane_union", f"SELECT doc FROM {_MERGED}")(lambda v: ft.merged(v.text
 query("win.topk_fts", f"SELECT doc, round(score, 6) AS score FROM {_LEX} ORDER BY round(score, 9) DESC, doc LIMIT 20")(lambda v: rt.best(lexical(v).withColumn("score", F.round("score", 9)), 20).select("doc", F.round("score", 6).alias("score")))
 query("sec.fts_search_ids", f"SELECT doc FROM {_LEX} ORDER BY round(score, 9) DESC, doc LIMIT 10")(lambda v: rt.best(lexical(v).withColumn("score", F.round("score", 9)), 10).select("doc"))
 query("sink.index_fts", f"""SELECT lane, count(*) AS postings, count(DISTINCT term) AS terms, CAST(sum(tf) AS BIGINT) AS occurrences FROM (
-    SELECT 'word' AS lane, doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS['word']}) AS term FROM documents) GROUP BY ALL) GROUP BY lane""")(
+    SELECT 'word' AS lane, doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({SEARCHED['word']}) AS term FROM documents) GROUP BY ALL) GROUP BY lane""")(
     lambda v: ft.postings(v.documents, "doc_id", "text", ("word",)).groupBy("lane").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("occurrences")))
 query("fts.phrase", r"SELECT doc_id AS doc FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ', ' of the ')")(lambda v: ft.phrase(v.documents, "doc_id", "text", ["of", "the"]))
 query("fts.prefix", r"SELECT doc_id AS doc FROM documents WHERE len([t for t in regexp_extract_all(lower(text), '[\p{L}\p{N}]+') if starts_with(t, 'thin')]) > 0")(lambda v: ft.prefix(v.documents, "doc_id", "text", "thin"))

@@ -114,9 +114,13 @@ _NAMES = {"iban": "iban", "isin": "isin", "swift": "swift_bic", "lei": "lei", "t
 _REMAINDER = "list_reduce([0] || flatten([CASE WHEN regexp_matches(c, '[0-9]') THEN [CAST(c AS INT)] ELSE [(ascii(c) - 55) // 10, (ascii(c) - 55) % 10] END for c in string_split(substr({0}, 5) || substr({0}, 1, 4), '')]), lambda a, d: (a * 10 + d) % 97) = 1"
 
 
+#: Word boundaries of the other engine know ASCII only: letters and digits beyond it, of the scripts in the data, become a sign that is part of a word.
+PLAIN = r"regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2C1}\x{370}-\x{373}\x{376}-\x{3FF}\x{400}-\x{481}\x{48A}-\x{587}\x{5D0}-\x{5EA}\x{620}-\x{64A}\x{660}-\x{669}\x{904}-\x{E4F}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{3400}-\x{9FFF}\x{AC00}-\x{D7A3}]', '_', 'g')"
+
+
 def family_sql(name: str) -> str:
     f = ent.BY_NAME[name]
-    out = f"regexp_extract_all(text, {_q(f.pattern)}, {f.group})"
+    out = f"regexp_extract_all({PLAIN}, {_q(f.pattern)}, {f.group})"
     if f.upper:
         out = f"[upper(x) for x in {out}]"
     if name == "iban":
@@ -128,9 +132,9 @@ def family_sql(name: str) -> str:
 
 for _op, _name in _NAMES.items():
     query(f"txt.{_op}", f"SELECT doc_id, array_to_string({family_sql(_name)}, '|') AS found FROM texts")(lambda v, name=_name: v.texts.select("doc_id", F.array_join(ent.found(T(), name), "|").alias("found")))
-query("txt.iban_checksum", f"SELECT doc_id, x AS iban, {_REMAINDER.format('x')} AS valid FROM (SELECT doc_id, unnest([upper(y) for y in regexp_extract_all(text, {_q(ent.BY_NAME['iban'].pattern)}, 1)]) AS x FROM texts)")(
+query("txt.iban_checksum", f"SELECT doc_id, x AS iban, {_REMAINDER.format('x')} AS valid FROM (SELECT doc_id, unnest([upper(y) for y in regexp_extract_all({PLAIN}, {_q(ent.BY_NAME['iban'].pattern)}, 1)]) AS x FROM texts)")(
     lambda v: v.texts.select("doc_id", F.explode(F.transform(F.regexp_extract_all(T(), F.lit(ent.BY_NAME["iban"].pattern), 1), F.upper)).alias("iban")).withColumn("valid", ent.iban_valid(F.col("iban"))))
-query("txt.ambiguous_ids", r"SELECT doc_id, array_to_string([t for t in regexp_extract_all(text, '\b([A-Z0-9][A-Z0-9\-]{3,24}[A-Z0-9])\b', 1) if regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Za-z]')], '|') AS ids FROM texts")(
+query("txt.ambiguous_ids", rf"SELECT doc_id, array_to_string([t for t in regexp_extract_all({PLAIN}, '\b([A-Z0-9][A-Z0-9\-]{{3,24}}[A-Z0-9])\b', 1) if regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Za-z]')], '|') AS ids FROM texts")(
     lambda v: v.texts.select("doc_id", F.array_join(ent.ambiguous(T()), "|").alias("ids")))
 _EACH = " UNION ALL ".join(f"SELECT doc_id, {i} AS place, '{f.name}' AS family, unnest({family_sql(f.name)}) AS content FROM texts" for i, f in enumerate(ent.FAMILIES))
 query("txt.typed_entities", f"SELECT doc_id, content, arg_min(family, place) AS family FROM ({_EACH}) GROUP BY doc_id, content")(lambda v: ent.typed_entities(v.texts).select("doc_id", "content", "family"))
