@@ -61,13 +61,13 @@ def codes(text: str) -> np.ndarray:
     return low if len(low) > 1 else low[:0]
 
 
-def grams(low: np.ndarray, bits: int) -> np.ndarray:
-    """Hashed n-grams of 1 to 3 characters."""
+def grams(low: np.ndarray, bits: int, later: bool = False) -> np.ndarray:
+    """Hashed n-grams of 1 to 3 characters. later: this is a further piece of a text, and its first two characters were the last two of the piece before."""
     c = low.astype(np.uint32)
     one = c * np.uint32(0x9E3779B1)
     two = (c[:-1] * np.uint32(0x85EBCA6B)) ^ (c[1:] * np.uint32(0xC2B2AE35))
     three = two[:-1] * np.uint32(0x27D4EB2F) ^ (c[2:] * np.uint32(0x165667B1))
-    h = np.concatenate([one[1:-1], two + np.uint32(0x68E31DA4), three + np.uint32(0xB5297A4D)])
+    h = np.concatenate([one[1:-1], two[later:] + np.uint32(0x68E31DA4), three + np.uint32(0xB5297A4D)])
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     return (h >> np.uint32(32 - bits)).astype(np.int32)
@@ -102,7 +102,7 @@ class Model:
         for i, text in enumerate(texts):
             low = codes(text) if text else np.zeros(0, np.uint32)
             for at in range(0, len(low) - 2, _CHUNK):
-                h = grams(low[at : at + _CHUNK + 2], self.bits)
+                h = grams(low[at : at + _CHUNK + 2], self.bits, at > 0)
                 columns.append(h)
                 rows.append(i)
                 sizes[i] += len(h)
@@ -141,7 +141,7 @@ def train(docs: DataFrame, label: str = "lang", bits: int = 14, sample: int = 20
                     docs[lang] = docs.get(lang, 0) + 1
                 for at in range(0, len(low) - 2, _CHUNK):
                     own = seen.setdefault(lang, np.zeros(1 << bits, np.int64))
-                    own += np.bincount(grams(low[at : at + _CHUNK + 2], bits), minlength=1 << bits)
+                    own += np.bincount(grams(low[at : at + _CHUNK + 2], bits, at > 0), minlength=1 << bits)
         for lang, n in seen.items():
             at = np.flatnonzero(n)
             # the number of documents stands as n-gram -1

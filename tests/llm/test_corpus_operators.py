@@ -126,6 +126,46 @@ def test_simhash_odd_table(spark):
     assert {i for i, _ in zero} >= {None, 5, 6} and all(c is not None for _, c in zero)
 
 
+def brute_near(rows, similar=0.8):
+    """The kept doc_id of each row, by comparing all pairs of shingle sets."""
+    sets = [frozenset(np.frombuffer(sim.sketch(t)[2], "<u4").tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both >= similar * (len(sets[a]) + len(sets[b]) - both):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(len(rows))]
+
+
+@pytest.mark.parametrize("lot", [4096, 3])
+def test_near_copies_equal_brute_force(spark, lot):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows, at = [], 0
+    for _ in range(40):
+        words = list(rng.choice(vocabulary, int(rng.integers(30, 200))))
+        rows.append((at, " ".join(words)))
+        for _ in range(int(rng.integers(0, 4))):
+            at += 1
+            copy = list(words)
+            for _ in range(int(rng.integers(0, 4))):
+                copy[int(rng.integers(len(copy)))] = "changed"
+            rows.append((at, " ".join(copy)))
+        at += 1
+    rows += [(900, "a b c"), (901, "A  b\tc"), (902, None), (903, ""), (None, rows[0][1]), (0, rows[5][1])]
+    frame, stays = sim.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark, "t"), lot=lot)
+    kept = frame.join(stays, "row", "left_semi").select("doc.*").collect()
+    want = brute_near(rows)
+    best = {g: min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if want[i] == g) for g in set(want)}
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(best.values())
+
+
 # ---- decontamination
 
 
@@ -143,13 +183,14 @@ def brute_hits(text, items, window=13):
     return len(words), len(hit), sorted(ids, key=str)
 
 
-def test_decontamination_brute_force(spark):
+@pytest.mark.parametrize("most", [1 << 24, 300])
+def test_decontamination_brute_force(spark, most):
     rng = np.random.default_rng(5)
     vocabulary = ["ab", "ü", "c3", "D"]
     say = lambda n: " ".join(rng.choice(vocabulary, n))
     items = [(1, say(3)), (2, say(15)), (10, "D"), (3, None), (4, "..."), (5, say(14))]
     docs = [(i, say(int(n)) + "." * int(n % 3)) for i, n in enumerate(rng.integers(0, 60, 40))] + [(90, None), (91, ""), (92, items[1][1].upper().replace(" ", " -- "))]
-    got = dec.scan_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), max_chars=40).collect()
+    got = dec.scan_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), max_chars=most).collect()
     text_of = dict(docs)
     for r in got:
         n, hits, ids = brute_hits(text_of[r["doc_id"]], items)
@@ -157,9 +198,40 @@ def test_decontamination_brute_force(spark):
         assert sum(len(dec.WORD.findall(dec.lower(text_of[r["doc_id"]][s["start"] : s["end"]]))) for s in r["spans"]) == hits
 
 
+def test_decontamination_shares_ids_and_names(spark):
+    docs = spark.createDataFrame([(1, " ".join(["a b c"] * 15 + ["x"] * 55), 5)], "doc_id bigint, text string, n_hit int")
+    bench = spark.createDataFrame([("q1", "a b c"), (None, "x"), ("q2", None)], "item_id string, text string")
+    got = dec.scan_documents(docs, bench, share=0.4).first()
+    assert (got["n_words"], got["n_hit"], got["item_ids"], got["contaminated"]) == (100, 45, ["q1"], True)
+    assert not dec.scan_documents(docs, bench, share=0.46).first()["contaminated"]
+    held = dec.scan_documents(docs.select("text", F.struct("doc_id", "n_hit").alias("doc")), bench, carry=("doc",)).first()
+    assert held["doc"]["n_hit"] == 5 and held["n_hit"] == 45
+
+
 # ---- languages, toxicity, licences
 
 
+def test_language_equals_plain_multinomial_bayes():
+    rng = np.random.default_rng(4)
+    letters = {"xx": "abcde", "yy": "cdefg", "zz": "éèêaü"}
+    say = lambda la, n: " ".join("".join(rng.choice(list(letters[la]), 4)) for _ in range(n))
+    bits, taught = 10, [(la, say(la, 6)) for la in letters for _ in range(1 + 2 * (la == "xx"))]
+    counts = np.zeros((3, 1 << bits), np.int64)
+    for la, t in taught:
+        for h in lang.grams(lang.codes(t), bits):
+            counts[sorted(letters).index(la), h] += 1
+    model = lang.Model(sorted(letters), counts, bits, np.array([3, 1, 1]))
+    texts = [say(la, n) for la in letters for n in (1, 3, 40)] + ["", None, "12 !", "a", say("xx", 3) * 30_000]
+    got, sizes = model.joint(texts)
+    for text, row, size in zip(texts, got, sizes, strict=True):
+        hs = lang.grams(lang.codes(text), bits).tolist() if text and len(lang.codes(text)) else []
+        assert size == len(hs)
+        plain = [np.log(n / 5) + sum(np.log((counts[k, h] + 0.5) / (counts[k].sum() + 0.5 * (1 << bits))) for h in hs) for k, n in enumerate([3, 1, 1])] if len(hs) < 1000 else None
+        assert plain is None or np.allclose(row, plain, rtol=1e-5)
+    names, sure = model.score(texts)
+    assert names[9:12] == ["und"] * 3 and (sure[9:12] == 0).all() and names[13] == "xx"
+
+
 def test_language_held_out(spark, sf_dir):
     got = queries.op7_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
@@ -209,8 +281,26 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_words_have_a_beginning():
     long = "abcdefghij" * 3
-    assert tox.units("Hi THERE, th*ere i d i o t") == {"^there", "^idiot"}
+    assert tox.units("Hi THERE, th*ere i d i o t") == {"^hi", "^there", "^idiot", "^i^", "^d^", "^o^", "^t^"}
     assert tox.units(long) == {"^" + long[:16], long[8:24], long[16:]} and tox.units(None) == tox.units("1 2 !") == set()
+    assert "^idiot" in tox.units("an 1d10t") and tox.units("他 是 混蛋 fu") == {"^他^", "^是^", "^混蛋", "^fu"}
+
+
+def test_folding_many_letters_is_small_and_right():
+    words = ["^" + "".join(chr(0x4E00 + 16 * k + i) for i in range(16)) for k in range(125)] + ["^😀😁😂"]
+    m = tox.Machine(words)
+    m.weights, m.bias = np.random.default_rng(1).normal(size=len(words)).astype(np.float32), np.float32(-0.1)
+    m.fold()
+    assert m.base > 2000 and m.full is None and len(m.places) < 128 * 680
+    some = words[:3] + ["^😀😁", "^😃😁😂", "zzz", words[5][3:9] + words[9][2:5]]
+    assert np.allclose(m.decide(some), m.kernel([w if len(w) > 2 else w + "^" for w in some]) @ m.weights + m.bias, atol=1e-4)
+
+
+def test_training_text_is_bounded(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("such an idiot you are")).otherwise(F.concat(F.lit("a fine day in town number "), F.col("id").cast("string"))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))
+    machine = tox.train(docs, labels, sample_chars=2000)
+    assert machine.score(["an idiot", "a day"])[0] > 0.5
 
 
 def test_toxicity_in_all_languages(spark):
@@ -249,6 +339,51 @@ def test_wrapped_notices(spark, notice, family):
     assert (found[2]["n_licensed"], found[2]["n_unknown"]) == (1, 1)
 
 
+@pytest.mark.parametrize("line, family", [
+    ("licensed under the GNU AGPL v3", "AGPL"), ("licensed under the GPLv3", "GPL"), ("Licensed under the BSD 3-Clause License", "BSD"), ("distributed under the MIT license", "MIT"), ("License: MIT", "MIT"), ("Apache-2.0 licensed", "Apache"),
+    ("This project is not licensed under the MIT license", "unknown"), ("Dieses Werk ist unter einer freien Lizenz", "unknown"), ("SPDX-License-Identifier: GPL-2.0", "GPL"),
+])
+def test_short_forms_and_denials(spark, line, family):
+    assert lic.scan_licenses(spark.createDataFrame([(1, line)], "doc_id bigint, text string")).first()["license"] == family
+
+
+def brute_licenses(text, model):
+    """The scan of one text in plain Python: ``(license, licenses, n_licensed, n_unknown)``."""
+    import re
+
+    lines, seen = (text or "").split("\n"), []
+    inside = lambda family, words: any(sum(f" {x} " in f" {' '.join(words)} " for x in sh) >= lic.SIMILAR * len(sh) for sh in map(lic._shingles, lic.PHRASES.get(family, [])))
+    for k, line in enumerate(lines):
+        if not re.search(lic.CUES, line):
+            continue
+        own = lic.spoken(line)
+        before, after = lic.spoken(" ".join(lines[max(0, k - lic.NEAR) : k]))[-lic.REACH :], lic.spoken(" ".join(lines[k + 1 : k + 1 + lic.NEAR]))[: lic.REACH]
+        best = None
+        for form, words in enumerate([own, before + own + after]):
+            if best or (form and not before and not after):
+                continue
+            hs = {model.place(g) for g in lic._grams(words)}
+            z = np.array([sum(round(float(model.weights[h, c]), 5) for h in hs) + round(float(model.bias[c]), 5) for c in range(len(model.classes))])
+            guess, p = model.classes[int(np.argmax(z[:-1]))], 1 - np.exp(z[-1] - z.max()) / np.exp(z - z.max()).sum()
+            if p >= model.threshold and inside(guess, words) and not re.search(lic.DENIED, " ".join(own)) and not (form and (inside(guess, before) or inside(guess, after))):
+                best = (guess, p)
+        seen.append(best or (lic.UNKNOWN, 0.0))
+    named = [f for f, _ in seen if f != lic.UNKNOWN]
+    top = min(set(named), key=lambda f: (-named.count(f), -max(p for g, p in seen if g == f), f)) if named else lic.UNKNOWN if seen else None
+    return top, sorted(set(named)), len(named), len(seen) - len(named)
+
+
+def test_license_scan_equals_brute_force_however_rows_are_dealt(spark, sf_dir):
+    model = lic.Model()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(odd_docs(spark).select("doc_id", "text"))
+    more = [(-1, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software\n\nlicensed under the GPLv3"), (-2, "released under the MIT license\nreleased under the ISC license\nnot released under the MIT license")]
+    docs = docs.union(spark.createDataFrame(more, "doc_id bigint, text string"))
+    want = sorted((str((r["doc_id"], *brute_licenses(r["text"], model))) for r in docs.collect()))
+    for dealt in (docs, docs.repartition(7), docs.repartition(3, "text")):
+        got = lic.scan_licenses(dealt, model).collect()
+        assert sorted(str((r["doc_id"], r["license"], r["licenses"], r["n_licensed"], r["n_unknown"])) for r in got) == want
+
+
 def test_every_phrase_has_a_cue():
     import re
 
@@ -290,9 +425,40 @@ def test_aliases_take_block_decisions_and_allow_goes_first(spark):
     assert {r["verdict"] for r in url.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string, rule string"), redirects=moved).where("page_id = 9").collect()} == {"block"}
 
 
+def test_all_links_of_a_page_are_followed(spark):
+    link = lambda t: f'<link rel="canonical" href="{t}">'
+    rows = [
+        (1, "http://x.com/a", link("/en/5"), "block"), (2, "http://q.com/en2/y", link("../en/z"), "block"), (3, "http://w.test/d/e?x#f", link("?y=2"), "block"),
+        (4, "http://q.com/en3", '<link rel=canonical href="http://nowhere.test/"><link rel="alternate canonical" href="//r.com/en/9?a=1&amp;b=2">', "block"),
+        (5, "http://w.test/d/e?y=2", '<meta http-equiv="refresh" content="0; url=http://s.org/es/4">', "block"), (6, "http://m.test/", link("mailto:a@b.com/en/"), "allow"), (7, "http://m.test", link("#top"), "allow"),
+        (8, "http://t.test/u/v", '<META content="0;URL=w.html" HTTP-EQUIV=refresh>', "block"), (9, "http://t.test/u/w.html", link("./../u/./z"), "block"), (10, "http://t.test/u/z", "<link href='http://b.com/en/1' rel='canonical'>", "block"),
+        (11, "http://rel.test/", '<link rel="noncanonical" href="http://b.com/en/1">', "allow"), (12, "zzz", link("http://b.com/en/1"), "allow"),
+    ]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string")
+    found = url.judge_urls(pages)
+    assert {r["page_id"]: r["verdict"] for r in found.collect()} == {r[0]: r[3] for r in rows}
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    columns = sorted(found.columns)
+    assert rows_of(found, columns) == sql_rows(con, url.SQL, columns)
+
+
 # ---- training order
 
 
+def test_carried_names_of_the_result_are_an_error(spark):
+    with pytest.raises(ValueError, match="slot"):
+        tok.training_order(odd_docs(spark), carry=["doc_id", "slot"])
+
+
+def test_shards_are_read_from_what_was_written(spark):
+    ordered = tok.training_order(odd_docs(spark), length=64, shard_rows=100, carry=["doc_id", "fp"])
+    read = tok.materialise(ordered, Scratch(spark, "t"))
+    assert sorted(map(str, read.collect())) == sorted(map(str, ordered.collect())) and all("shards" in f for f in read.inputFiles())
+
+
 @pytest.mark.parametrize("total", [1, 2, 3, 4, 5, 17, 1000, 4097])
 def test_feistel_is_a_permutation(total):
     got = tok.feistel(np.arange(total), total, key=9)
@@ -323,23 +489,48 @@ def test_tokens_round_trip_and_resume(spark, tmp_path):
 # ---- mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 2}, {"x": 100, **{f"s{i}": 7 for i in range(20)}}])
-def test_pfair_deviates_by_less_than_a_block(weights):
-    quota = mix.quotas(weights, 256)
-    slots = mix.pfair_period(quota)
-    assert sorted(x for s in slots.values() for x in s) == list(range(256))
-    for s, own in slots.items():
-        for i, x in enumerate(own):
-            assert i * 256 // quota[s] <= x < -(-(i + 1) * 256 // quota[s])
-        done = np.cumsum(np.isin(np.arange(256), own))
-        assert np.abs(done - quota[s] * np.arange(1, 257) / 256).max() < 1
+@pytest.mark.parametrize("weights, period", [({"a": 3, "b": 1, "c": 96.5}, None), ({"a": 1, "b": 1000, "c": 0}, None), ({f"s{i}": 1 for i in range(20)}, None), ({"x": 2**0.5, "y": 1, "z": 3.14159}, 64)])
+def test_pfair_stays_within_a_block_of_the_target_weights(spark, weights, period):
+    whole = mix.whole_weights(weights)
+    period = period or mix.period_of(whole)
+    periods = 3 if period > 64 else 60
+    rows = [tuple(r) for r in mix.schedule(spark, whole, periods, period).select("src", "turn", "slot", "release_slot", "deadline_slot").collect()]
+    slots = np.arange(periods * period)
+    assert sorted(r[2] for r in rows) == slots.tolist() and all(r[3] <= r[2] < r[4] for r in rows)
+    for s, w in weights.items():
+        own = sorted((r[2], r[1]) for r in rows if r[0] == s)
+        assert [t for _, t in own] == list(range(len(own)))
+        done = np.cumsum(np.isin(slots, [x for x, _ in own]))
+        # two turns are a block; the weight is the target itself, not a quota
+        assert np.abs(done - w / sum(weights.values()) * (slots + 1)).max() < 2
+
+
+def _sources(spark, **sizes):
+    at, rows = 0, []
+    for s, n in sizes.items():
+        rows += [(at + i, f"t{at + i}", "en", s) for i in range(n)]
+        at += n
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
 
 
 def test_mixing_loses_nothing_and_has_one_row_a_position(spark):
     docs = odd_docs(spark).union(spark.range(100, 400).select(F.col("id"), F.lit("t"), F.lit("en"), F.when(F.col("id") % 3 == 0, "s").otherwise("big"), *[F.lit(None)] * 8))
     got = mix.mix_sources(docs, block_docs=4, carry=["text"]).collect()
     assert {r["doc_id"] for r in got} == {r["doc_id"] for r in docs.collect()}
-    assert len({r["position"] for r in got}) == len(got) and all(r["release_slot"] <= r["slot"] < r["deadline_slot"] for r in got)
+    assert len({r["position"] for r in got}) == len(got) and all(r["release_slot"] <= r["slot"] < r["deadline_slot"] for r in got if r["in_mix"])
+    assert sum(r["epoch"] == 0 for r in got) == docs.count()
+
+
+def test_mixing_with_extreme_weights_is_bounded_and_whole(spark):
+    docs = _sources(spark, a=400, b=400, c=30)
+    got = mix.mix_sources(docs, weights={"a": 0.99, "b": 0.01}, block_docs=4, max_epochs=3).collect()
+    assert len(got) <= 3 * 830 and {r["doc_id"] for r in got} == set(range(830))
+    assert len({r["position"] for r in got}) == len(got)
+    assert not any(r["in_mix"] for r in got if r["source"] == "c") and any(r["in_mix"] for r in got if r["source"] == "b")
+    inside = [r["source"] for r in sorted(got, key=lambda r: r["position"]) if r["in_mix"]]
+    assert abs(inside.count("a") / len(inside) - 0.99) < 0.01 and max(r["position"] for r in got if r["in_mix"]) < min(r["position"] for r in got if not r["in_mix"])
+    only = mix.mix_sources(docs, weights={"a": 0}, block_docs=4).collect()
+    assert len(only) == 830 and not any(r["in_mix"] for r in only)
 
 
 # ---- empty tables

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline as cp
-from cairn.llm import decontaminate as dec, simhash as sim, token_shards as tok
-from tests.llm.test_corpus_operators import brute_hits, odd_docs
-from tests.llm.test_corpus_operators import brute_components
+from cairn.llm import decontaminate as dec, token_shards as tok
+from tests.llm.test_corpus_operators import brute_hits, brute_near, odd_docs
 
 
 def test_stages_on_odd_documents(spark, sf_dir):
@@ -20,12 +19,25 @@ def test_stages_on_odd_documents(spark, sf_dir):
 
 def test_near_dedup_keeps_one_of_each_group(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = {r["doc_id"]: sim.fingerprint(r["text"]) for r in docs.collect()}
-    parts = brute_components(sorted(set(rows.values())))
-    want = sorted(min(i for i in rows if parts[rows[i]] == c) for c in set(parts.values()))
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    want = sorted({rows[g][0] for g in brute_near(rows)})
     assert sorted(r["doc_id"] for r in cp.near_dedup_stage(spark, docs, sf_dir).collect()) == want
 
 
+def test_near_dedup_of_repeated_and_missing_ids(spark, sf_dir):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = odd_docs(spark).where("false").union(spark.createDataFrame([(5, long, "en", "s"), (2, "one text here", "en", "s"), (2, long + " more", "en", "s"), (None, long, "en", "s"), (None, "quite another", "en", "s")], "a bigint, b string, c string, d string").select("*", *[__import__("pyspark").sql.functions.lit(None)] * 8))
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in cp.near_dedup_stage(spark, docs, sf_dir).collect())))
+    assert kept == sorted(map(str, [(2, "one text here"), (2, long + " more"), (None, "quite another")]))
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    docs = odd_docs(spark).where("false")
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert docs.count() == 0
+
+
 def test_decontamination_drops_what_brute_force_finds(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).persist()
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
