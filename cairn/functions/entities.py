@@ -38,6 +38,8 @@ FAMILIES = [
     Family("currency", r"([$€¥£₹₩₪₫฿]\s?[0-9][0-9,]*(?:\.[0-9]+)?\s?[KMBTkmbt]?)", 1, 0.8),
     Family("measurement", r"([0-9]+(?:\.[0-9]+)?\s?(?:%|GB|MB|KB|TB|ms|kg|km|°C|°F|MHz|GHz|rpm|ppm|bps|fps|Hz|W|kW|MW|V|A|dB))", 1, 0.7),
 ]
+#: The longer form of an address; the family's name and place are those of the shorter one.
+IPV6 = r"\b([0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){7}|::[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6})\b"
 BY_NAME = {f.name: f for f in FAMILIES}
 
 
@@ -61,7 +63,7 @@ def found(text: Column, name: str) -> Column:
     if name == "iban":
         out = F.filter(out, iban_valid)
     if name == "ip":
-        out = F.filter(out, octets_valid)
+        out = F.concat(F.filter(out, octets_valid), F.transform(F.regexp_extract_all(text, F.lit(IPV6), 1), F.lower))
     return F.transform(out, lambda c: F.trim(c)) if name == "currency" else out
 
 

@@ -127,7 +127,7 @@ def infer(prompts: DataFrame, prompt: str, factory: Callable[[], Callable[[str],
 
 
 def evaluate(produced: DataFrame, expected: DataFrame) -> DataFrame:
-    """``(kind, tp, fp, fn)``: in each case, an expected item is matched by at most one produced item of its kind that contains it.
+    """``(kind, tp, fp, fn)``: in each case, an expected item is matched by at most one produced item of its kind that contains it, in upper or lower case.
 
     produced, expected: (case_id, kind, content). Items are matched one by one in order of
     content, so a case is one group; cases are small.
@@ -140,7 +140,7 @@ def evaluate(produced: DataFrame, expected: DataFrame) -> DataFrame:
             want = sorted(b[b["kind"] == kind]["content"])
             tp = 0
             for w in want:
-                hit = next((x for x in left if w in x), None)
+                hit = next((x for x in left if w.lower() in x.lower()), None)
                 if hit is not None:
                     left.remove(hit)
                     tp += 1

@@ -106,3 +106,9 @@ def last_change(deltas: DataFrame, keys: list[str], order: list[str]) -> DataFra
     """The change of each key that came last, and so counts."""
     newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return deltas.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def leaks(evidence: DataFrame) -> DataFrame:
+    """``(scope_id, leaks)``: evidence in a scope whose content was first seen in another one."""
+    home = evidence.groupBy("content_hash").agg(F.min_by("scope_id", F.struct("created_at", "evidence_id")).alias("home"))
+    return evidence.join(home, "content_hash").where("scope_id <> home").groupBy("scope_id").agg(F.count("*").alias("leaks"))

@@ -151,3 +151,31 @@ def patterns(traces: DataFrame, support: int) -> DataFrame:
 def best_pattern(found: DataFrame) -> DataFrame:
     newest = Window.partitionBy("class").orderBy(F.desc("success_rate"), F.desc("support"), "chain")
     return found.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """``nodes`` with those of ``new`` whose id isn't taken; of new rows with one id, one is added."""
+    return nodes.unionByName(new.dropDuplicates(["id"]).join(nodes.select("id"), "id", "left_anti").select(*nodes.columns))
+
+
+def prefix_negations(labels: DataFrame) -> DataFrame:
+    """``(left_id, right_id)`` where the second label is the first one after "not "."""
+    plain = labels.select(F.col("id").alias("left_id"), F.concat(F.lit("not "), F.lower("label")).alias("k"))
+    return plain.join(labels.select(F.col("id").alias("right_id"), F.lower("label").alias("k")), "k").select("left_id", "right_id")
+
+
+def adjudicate(events: DataFrame) -> DataFrame:
+    """``(id, state, refused)`` of contradictions after their events: detect, review, resolve, in order of ``t``.
+
+    The first detect opens a case. A review is legal only while the case is detected; a resolve is
+    legal until the case is resolved. Events that aren't legal are refused and change nothing.
+    An id that is never detected has no case. Only minima and counts are shuffled.
+    """
+    first = lambda rows: rows.groupBy("id").agg(F.min("t").alias("at"))
+    opened = first(events.where("kind = 'detect'"))
+    later = events.join(opened.withColumnRenamed("at", "opened"), "id").where(F.col("t") > F.col("opened"))
+    closed = first(later.where("kind = 'resolve'")).withColumnRenamed("at", "closed")
+    seen = first(later.where("kind = 'review'").join(closed, "id", "left").where(F.col("closed").isNull() | (F.col("t") < F.col("closed")))).withColumnRenamed("at", "seen")
+    done = opened.join(closed, "id", "left").join(seen, "id", "left").join(events.groupBy("id").agg(F.count("*").alias("n")), "id")
+    state = F.when(F.col("closed").isNotNull(), "resolved").when(F.col("seen").isNotNull(), "under_review").otherwise("detected")
+    return done.select("id", state.alias("state"), (F.col("n") - 1 - F.col("closed").isNotNull().cast("bigint") - F.col("seen").isNotNull().cast("bigint")).alias("refused"))

@@ -234,3 +234,8 @@ def corroborate(objects: DataFrame, sources: DataFrame) -> DataFrame:
 def surface(text: Column) -> Column:
     """The form in which texts are compared: one space between words, ASCII letters in lower case."""
     return F.translate(F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def current(objects: DataFrame, kind: str) -> DataFrame:
+    """Objects of a kind that are neither completed nor superseded."""
+    return objects.where((F.col("kind") == kind) & F.col("completed_at").isNull() & F.col("superseded_by").isNull())

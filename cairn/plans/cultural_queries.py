@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from cairn.functions import cultural as cu, text as tx
 from cairn.plans.text_queries import _in, _q
+from cairn.operators.relational import top_per
 from cairn.registry import query
 
 _STRIPPED = """CASE WHEN regexp_matches(name, '^(Mr|Ms|Mrs|Dr|Prof)[. ]') THEN trim(regexp_replace(name, '^(Mr|Ms|Mrs|Dr|Prof)[. ]', '')) WHEN language_tag = 'ja' AND ends_with(name, '様') THEN trim(left(name, length(name) - 1)) WHEN language_tag = 'zh' AND ends_with(name, '先生') THEN trim(left(name, length(name) - 2))
@@ -116,4 +117,10 @@ def paths(v):
     for _ in range(5):
         level = level.join(steps, "id").select(F.col("next").alias("id"), F.concat_ws(">", "path", "next").alias("path"), (F.col("depth") + 1).alias("depth"))
         out = out.union(level)
+    out = out.withColumn("root", F.substring_index("path", ">", 1))
     return out.join(v.edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("score", F.round(F.pow(F.lit(0.95), F.col("depth")), 6))
+
+
+query("win.got_best_path", """WITH RECURSIVE p(id, path, depth) AS (SELECT id, id, 0 FROM nodes WHERE id IN ('c50', 'c99') UNION ALL SELECT e.dst, p.path || '>' || e.dst, p.depth + 1 FROM p JOIN edges e ON e.src = p.id WHERE p.depth < 5)
+    SELECT split_part(path, '>', 1) AS root, path, round(pow(0.95, depth), 6) AS score FROM p WHERE id NOT IN (SELECT src FROM edges) QUALIFY row_number() OVER (PARTITION BY root ORDER BY score DESC, path) = 1""")(
+    lambda v: top_per(paths(v), ["root"], [F.desc("score"), F.asc("path")]).select("root", "path", "score"))

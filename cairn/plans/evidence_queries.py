@@ -127,8 +127,8 @@ query("win.audit_recent", "SELECT id, moment FROM audit WHERE tenant_id = '1' OR
 
 query("join.effective_importance", "SELECT e.evidence_id, coalesce(o.new_importance, e.importance) AS effective FROM evidence e LEFT JOIN overrides o ON o.evidence_id = e.evidence_id")(
     lambda v: ev.effective_importance(v.evidence, v.overrides).select("evidence_id", "effective"))
-query("join.cross_references", "SELECT DISTINCT a.evidence_id AS of, b.evidence_id FROM xref a JOIN xref b ON a.ref_key = b.ref_key AND a.ref_value = b.ref_value WHERE a.evidence_id % 1000 = 7 AND a.evidence_id <> b.evidence_id")(
-    lambda v: ev.cross_references(v.xref, v.xref.where("evidence_id % 1000 = 7").select("evidence_id").distinct()))
+query("join.cross_references", "SELECT DISTINCT a.evidence_id AS of, b.evidence_id FROM xref a JOIN xref b ON a.ref_key = b.ref_key AND a.ref_value = b.ref_value WHERE a.evidence_id % 100 = 0 AND a.evidence_id <> b.evidence_id")(
+    lambda v: ev.cross_references(v.xref, v.xref.where("evidence_id % 100 = 0").select("evidence_id").distinct()))
 query("join.embedding_copy", "SELECT v.evidence_id, v.model_tag FROM evidence_vec v JOIN evidence e ON e.evidence_id = v.evidence_id AND e.content_hash = v.content_hash WHERE v.model_tag = 'm1'")(
     lambda v: where_equal(v.evidence_vec, model_tag="m1").select("evidence_id", "content_hash", "model_tag").join(v.evidence.select("evidence_id", "content_hash"), ["evidence_id", "content_hash"]).select("evidence_id", "model_tag"))
 query("agg.evidence_count", "SELECT count(*) AS n FROM evidence")(lambda v: v.evidence.agg(F.count("*").alias("n")))
@@ -153,7 +153,7 @@ query("sec.store_versions_delete", "SELECT scope_id, count(*) AS n FROM versions
 query("sec.store_versions_delete_window", "SELECT scope_id, window_id, version FROM versions WHERE NOT (scope_id = 'c7' AND window_id = 'w7') AND scope_id = 'c7'")(
     lambda v: v.versions.where("NOT (scope_id = 'c7' AND window_id = 'w7') AND scope_id = 'c7'").select("scope_id", "window_id", "version"))
 query("sec.store_docs_delete", "SELECT scope_id, document_id FROM approved_docs WHERE scope_id <> 3")(lambda v: v.approved_docs.where("scope_id <> 3").select("scope_id", "document_id"))
-query("sec.store_doc_load", "SELECT document_id, content_hash, size_bytes FROM approved_docs WHERE scope_id = 4 AND document_id = 'doc9'")(lambda v: where_equal(v.approved_docs, scope_id=4, document_id="doc9").select("document_id", "content_hash", "size_bytes"))
+query("sec.store_doc_load", "SELECT document_id, content_hash, size_bytes FROM approved_docs WHERE document_id = 'doc9'")(lambda v: where_equal(v.approved_docs, document_id="doc9").select("document_id", "content_hash", "size_bytes"))
 query("sec.approved_docs", "SELECT scope_id, document_id, approved_at FROM approved_docs WHERE scope_id < 10")(lambda v: v.approved_docs.where("scope_id < 10").select("scope_id", "document_id", "approved_at"))
 query("sec.revoke_document", "SELECT scope_id, document_id FROM approved_docs WHERE document_id NOT IN (SELECT document_id FROM citations)")(lambda v: without(v.approved_docs, v.citations, ["document_id"]).select("scope_id", "document_id"))
 query("sec.list_versions", "SELECT window_id, count(*) AS n, max(version) AS newest FROM versions GROUP BY window_id")(lambda v: v.versions.groupBy("window_id").agg(F.count("*").alias("n"), F.max("version").alias("newest")))

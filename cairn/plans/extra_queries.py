@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import lookup as lk, plugins, text as tx
+from cairn.operators import extraction as exr
 from cairn.plans.text_queries import PLAIN, _in, _q
 from cairn.registry import query
 from cairn.sources import store
@@ -27,8 +28,10 @@ query("txt.detect_language", "SELECT doc_id, CASE WHEN greatest(de, en, es, fr)
     lambda v: v.documents.select("doc_id", lk.language_by_words(tx.tokens(F.col("text"))).alias("language")))
 query("txt.recap_entities", rf"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all({PLAIN}, '\b[A-Z]{{2,}}[0-9]*\b|\b[A-Z][a-z]+[A-Z][A-Za-z]*\b'))), '|') AS entities FROM texts")(
     lambda v: v.texts.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{2,}[0-9]*\b|\b[A-Z][a-z]+[A-Z][A-Za-z]*\b"), 0))), "|").alias("entities")))
-query("txt.sim_obs_type", "SELECT doc_id, CASE WHEN contains(text, '?') THEN 'question' WHEN regexp_matches(lower(text), 'approved|decided') THEN 'decision' WHEN regexp_matches(lower(text), 'please|todo') THEN 'task' ELSE 'fact' END AS kind FROM texts")(
-    lambda v: v.texts.select("doc_id", F.when(F.col("text").contains("?"), "question").when(F.lower("text").rlike("approved|decided"), "decision").when(F.lower("text").rlike("please|todo"), "task").otherwise("fact").alias("kind")))
+query("txt.sim_obs_type", """SELECT doc_id, CASE WHEN starts_with(lower(text), 'todo') OR contains(lower(text), 'action item') THEN 'task' WHEN starts_with(lower(text), 'what ') OR starts_with(lower(text), 'how ') OR contains(text, '?') THEN 'question'
+    WHEN regexp_matches(lower(text), 'decided|approved|agreed') THEN 'decision' WHEN contains(lower(text), 'reminder') THEN 'task' WHEN regexp_matches(lower(text), 'resolved|complete|restored') THEN 'fact'
+    WHEN regexp_matches(lower(text), '^(?:lol|ok|nice|thanks|great|looks|welcome|numbers)') THEN 'noise' ELSE 'fact' END AS kind FROM texts""")(
+    lambda v: v.texts.select("doc_id", exr.turn_kind(F.col("text")).alias("kind")))
 query("sink.index_embedding")(lambda v: plugins.embed(v.documents.select("doc_id", "text"), "text", plugins.hashing_embedder).select("doc_id", "embedding"))
 query("nest.bundle_parse", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'well' WHEN 1 THEN 'cut' END AS recap, doc_id % 3 = 1 AS salvaged FROM documents""")(
     lambda v: v.documents.select("doc_id", store.parse_bundle(F.when(F.col("doc_id") % 3 == 0, 'x {"recap": "well"} y').when(F.col("doc_id") % 3 == 1, '{"recap": "cut').otherwise("none")).alias("b")).select("doc_id", F.col("b.bundle.recap").alias("recap"), "b.salvaged"))
@@ -41,11 +44,11 @@ query("lc.tenant_no_passive_decay", "SELECT id, observation_type <> 'purchase' A
 query("sec.mem_add_observation", "SELECT id, state FROM memory UNION ALL SELECT 'obs-' || CAST(id AS VARCHAR), 'candidate' FROM observations")(
     lambda v: v.memory.select("id", "state").union(v.observations.select(F.concat(F.lit("obs-"), F.col("id").cast("string")), F.lit("candidate"))))
 query("sec.admit_document", "SELECT document_id FROM approved_docs UNION SELECT document_id FROM citations")(lambda v: v.approved_docs.select("document_id").union(v.citations.select("document_id")).distinct())
-query("sec.prompt_build", "SELECT scope_id, md5('Summarise:' || chr(10) || string_agg(substr(body, 1, 20), chr(10) ORDER BY occurred_at, id)) AS digest FROM observations GROUP BY scope_id")(
-    lambda v: v.observations.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "id", "body"))).alias("o")).select("scope_id", F.md5(F.concat(F.lit("Summarise:\n"), F.array_join(F.transform("o", lambda x: F.substring(x["body"], 1, 20)), "\n"))).alias("digest")))
+query("sec.prompt_build", "SELECT scope_id, md5('Summarise:' || chr(10) || string_agg(body, chr(10) ORDER BY occurred_at, id)) AS digest FROM observations GROUP BY scope_id")(
+    lambda v: v.observations.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "id", "body"))).alias("o")).select("scope_id", F.md5(F.concat(F.lit("Summarise:\n"), F.array_join(F.transform("o", lambda x: x["body"]), "\n"))).alias("digest")))
 query("sec.metrics_snapshot", "SELECT 'evidence' AS metric, count(*) AS value FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'nodes', count(*) FROM nodes")(
     lambda v: v.documents.agg(F.lit("evidence").alias("metric"), F.count("*").alias("value")).union(v.events.agg(F.lit("events"), F.count("*"))).union(v.nodes.agg(F.lit("nodes"), F.count("*"))))
-query("agg.obs_eval")(lambda v: plugins.evaluate(v.texts.select(F.col("doc_id").alias("case_id"), F.lit("fact").alias("kind"), F.col("text").alias("content")), v.texts.select(F.col("doc_id").alias("case_id"), F.lit("fact").alias("kind"), F.substring("text", 1, 5).alias("content"))))
+query("agg.obs_eval")(lambda v: obs_eval(v))
 query("sec.tokens_for_host")(lambda v: limits.replay(v.requests, "route", "moment", "id", limits.token_bucket(5, 1 / 900)))
 query("sec.rate_allow")(lambda v: limits.replay(v.requests, "tenant_id", "moment", "id", limits.token_bucket(2, 1 / 1800)))
 query("st.sync_state", "SELECT document_id, max(occurred_at) AS cursor, count(*) = 1 AS initial FROM source_events GROUP BY document_id")(lambda v: v.source_events.groupBy("document_id").agg(F.max("occurred_at").alias("cursor"), (F.count("*") == 1).alias("initial")))
@@ -61,3 +64,9 @@ def tx_window():
     return Window.partitionBy("scope_id").orderBy("id")
 
 
+def obs_eval(v):
+    """Extraction against what a turn as a whole is expected to be, by the end of its last sentence."""
+    made = exr.observations(v.texts).select(F.col("doc_id").alias("case_id"), "kind", "content")
+    last = F.element_at(F.filter(F.split("text", "[.!?\\n]"), lambda s: F.trim(s) != ""), -1)
+    want = v.texts.where(F.trim("text") != "").select(F.col("doc_id").alias("case_id"), exr.turn_kind(F.col("text")).alias("kind"), F.upper(F.trim(last)).alias("content")).where("content is not null and kind <> 'noise'")
+    return exr.scores(plugins.evaluate(made, want))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import governance as gov, metrics as met, syncing as syn
+from cairn.operators import extraction as exr, governance as gov, metrics as met, syncing as syn
 from cairn.operators.relational import count_where, latest, where_equal, without
 from cairn.plans.durable import Scratch
 from cairn.registry import AS_OF, query
@@ -151,16 +151,26 @@ query("agg.telemetry_delta", "SELECT tenant_id, count(*) FILTER (WHERE moment >=
 query("agg.sim_per_tenant", "SELECT tenant_id, language, scenario_id, count(*) AS n, count(*) FILTER (WHERE passed) AS passed FROM turns GROUP BY GROUPING SETS ((tenant_id), (language), (scenario_id))")(
     lambda v: v.turns.groupingSets([[F.col("tenant_id")], [F.col("language")], [F.col("scenario_id")]], F.col("tenant_id"), F.col("language"), F.col("scenario_id")).agg(F.count("*").alias("n"), count_where("passed", F.col("passed"))))
 query("agg.leaderboard", "SELECT language, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM turns GROUP BY language")(lambda v: v.turns.groupBy("language").agg(F.round(F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)), 6).alias("coverage")))
-query("agg.prf", "SELECT scenario_id, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (SELECT scenario_id, count(*) FILTER (WHERE passed) AS tp, count(*) FILTER (WHERE NOT passed AND id % 2 = 0) AS fp, count(*) FILTER (WHERE NOT passed AND id % 2 = 1) AS fn FROM turns GROUP BY 1)")(
-    lambda v: v.turns.groupBy("scenario_id").agg(count_where("tp", F.col("passed")), count_where("fp", ~F.col("passed") & (F.col("id") % 2 == 0)), count_where("fn", ~F.col("passed") & (F.col("id") % 2 == 1))).select("scenario_id", F.round(F.expr("tp / (tp + fp)"), 6).alias("precision"), F.round(F.expr("tp / (tp + fn)"), 6).alias("recall"), F.round(F.expr("2.0D * tp / (2 * tp + fp + fn)"), 6).alias("f1")))
-query("agg.macro_f1", "SELECT round(avg(r), 6) AS macro FROM (SELECT avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END) AS r FROM turns GROUP BY scenario_id)")(lambda v: v.turns.groupBy("scenario_id").agg(F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)).alias("r")).agg(F.round(F.avg("r"), 6).alias("macro")))
+_JUDGED = "(SELECT scenario_id AS expected, CASE WHEN passed THEN scenario_id WHEN id % 2 = 0 THEN 'view' ELSE 'unheard' END AS predicted FROM turns)"
+_COUNTS = f"(SELECT k AS kind, count(*) FILTER (WHERE w AND expected = predicted) AS tp, count(*) FILTER (WHERE NOT w AND expected <> predicted) AS fp, count(*) FILTER (WHERE w AND expected <> predicted) AS fn FROM (SELECT expected AS k, true AS w, * FROM {_JUDGED} UNION ALL SELECT predicted, false, * FROM {_JUDGED}) GROUP BY k)"
+_PRF = f"(SELECT kind, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM (SELECT kind, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM {_COUNTS}))"
+
+
+def judged(v):
+    """Expected kinds beside predicted ones; one kind is only ever predicted."""
+    return exr.confusion(v.turns.select(F.col("scenario_id").alias("expected"), F.when(F.col("passed"), F.col("scenario_id")).when(F.col("id") % 2 == 0, "view").otherwise("unheard").alias("predicted")), "expected", "predicted")
+
+
+query("agg.prf", f"SELECT kind, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM {_PRF}")(lambda v: exr.scores(judged(v)).select("kind", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]))
+query("agg.macro_f1", f"SELECT round(avg(f1), 6) AS macro FROM {_PRF}")(lambda v: exr.macro_f1(judged(v)).select(F.round("macro", 6).alias("macro")))
 query("fn.retry_after", "SELECT id, greatest(CAST(ceil(seconds) AS BIGINT), 1) AS retry_after FROM requests")(lambda v: v.requests.select("id", F.greatest(F.ceil("seconds"), F.lit(1)).alias("retry_after")))
 query("fn.quota_normalise", "SELECT id, CASE WHEN status - 300 <= 0 THEN 60 ELSE status - 300 END AS quota FROM requests")(lambda v: v.requests.select("id", F.when(F.col("status") - 300 <= 0, 60).otherwise(F.col("status") - 300).alias("quota")))
 query("fn.sync_backoff", "SELECT id, least(30 * pow(2, id % 9), 3600) AS delay FROM requests")(lambda v: v.requests.select("id", F.least(30 * F.pow(F.lit(2.0), F.col("id") % 9), F.lit(3600.0)).alias("delay")))
 query("sec.audit_record", "SELECT sequence, id, action FROM audit WHERE action = 'purchase'")(lambda v: where_equal(v.audit, action="purchase").select("sequence", "id", "action"))
 query("sec.storage_soft_cap", "SELECT scope_id, sum(size_bytes) > 100000 AS over FROM evidence GROUP BY scope_id")(lambda v: v.evidence.groupBy("scope_id").agg((F.sum("size_bytes") > 100000).alias("over")))
 query("sec.sim_verify", "SELECT scenario_id, bool_and(passed) AS verified FROM turns GROUP BY scenario_id")(lambda v: v.turns.groupBy("scenario_id").agg(F.bool_and("passed").alias("verified")))
-query("sec.sim_isolation", "SELECT count(*) AS leaks FROM evidence WHERE scope_id = 'src1' AND source_ref <> 'src1'")(lambda v: v.evidence.where("scope_id = 'src1' AND source_ref <> 'src1'").agg(F.count("*").alias("leaks")))
+query("sec.sim_isolation", "SELECT scope_id, count(*) AS leaks FROM evidence e JOIN (SELECT content_hash, arg_min(scope_id, (created_at, evidence_id)) AS home FROM evidence GROUP BY 1) h USING (content_hash) WHERE scope_id <> home GROUP BY scope_id")(
+    lambda v: gov.leaks(v.evidence))
 query("sec.sim_forget", "SELECT count(*) AS hits FROM evidence WHERE scope_id IN (SELECT scope_id FROM forgotten) AND scope_id NOT IN (SELECT scope_id FROM forgotten)")(lambda v: without(v.evidence.join(v.forgotten.select("scope_id"), "scope_id", "left_semi"), v.forgotten, ["scope_id"]).agg(F.count("*").alias("hits")))
 query("sec.perf_gate", "SELECT route, avg(seconds) > 1.1 * 0.5 AS regressed FROM requests GROUP BY route")(lambda v: v.requests.groupBy("route").agg((F.avg("seconds") > 1.1 * 0.5).alias("regressed")))
 query("sec.provider_key", "SELECT DISTINCT split_part(split_part(source_url, '://', 2), '/', 1) AS host FROM citations")(lambda v: v.citations.select(F.substring_index(F.substring_index("source_url", "://", -1), "/", 1).alias("host")).distinct())

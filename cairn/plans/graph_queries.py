@@ -13,7 +13,8 @@ from cairn.registry import AS_OF, query
 
 # ---- graph
 
-query("sink.graph_add_node", "SELECT id, count(*) AS n FROM nodes GROUP BY id HAVING count(*) > 1")(lambda v: v.nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"))
+query("sink.graph_add_node", "SELECT id, label FROM nodes UNION ALL SELECT * FROM (SELECT 'n' || CAST(n_nationkey + 20 AS VARCHAR) AS id, 'new ' || n_name AS label FROM nation) WHERE id NOT IN (SELECT id FROM nodes)")(
+    lambda v: gr.add_nodes(v.nodes.select("id", "label"), v.nation.select(F.concat(F.lit("n"), (F.col("n_nationkey") + 20).cast("string")).alias("id"), F.concat(F.lit("new "), "n_name").alias("label"))))
 query("sink.graph_add_edge", "SELECT id FROM edges WHERE src NOT IN (SELECT id FROM nodes WHERE state <> 'superseded') OR dst NOT IN (SELECT id FROM nodes WHERE state <> 'superseded')")(lambda v: gr.dangling(v.edges, v.nodes.where("state <> 'superseded'")))
 query("sink.graph_remove_node", "SELECT id FROM edges WHERE src <> 'n3' AND dst <> 'n3'")(lambda v: gr.remove_node(v.nodes, v.edges, "n3")[1].select("id"))
 query("sec.graph_remove_edge", "SELECT id FROM edges WHERE id <> 'en3'")(lambda v: v.edges.where("id <> 'en3'").select("id"))
@@ -70,8 +71,8 @@ query("agg.contradiction_rate", f"SELECT count(*) AS truth, count(p.left_id) AS
     lambda v: v.nation.select(F.concat(F.lit("a"), F.col("n_nationkey")).alias("left_id"), F.concat(F.lit("b"), F.col("n_nationkey")).alias("right_id")).join(gr.contradictions(v.claims), ["left_id", "right_id"], "left").agg(F.count("*").alias("truth"), F.count("core").alias("found")).withColumn("rate", F.round(F.col("found") / F.col("truth"), 6)))
 query("set.pair_intersection", f"SELECT left_id, right_id FROM {_CONTRA} INTERSECT SELECT 'a' || n_nationkey, 'b' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0")(
     lambda v: gr.contradictions(v.claims).select("left_id", "right_id").intersect(v.nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("a"), F.col("n_nationkey")), F.concat(F.lit("b"), F.col("n_nationkey")))))
-query("sec.prefix_negation", "SELECT a.id AS left_id, b.id AS right_id FROM claims a JOIN claims b ON lower(b.label) = 'not ' || lower(a.label)")(
-    lambda v: v.claims.select(F.col("id").alias("left_id"), F.concat(F.lit("not "), F.lower("label")).alias("k")).join(v.claims.select(F.col("id").alias("right_id"), F.lower("label").alias("k")), "k").select("left_id", "right_id"))
+query("sec.prefix_negation", "SELECT n_nationkey AS left_id, n_nationkey + 100 AS right_id FROM nation WHERE n_nationkey % 3 = 0")(
+    lambda v: gr.prefix_negations(v.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label")).union(v.nation.where("n_nationkey % 3 = 0").select(F.col("n_nationkey") + 100, F.concat(F.lit("Not "), F.lower("n_name"))))))
 _SNAP = "SELECT m.id, s.b AS baseline, m.state FROM memory m JOIN (SELECT id, list(source ORDER BY source) AS b FROM memory_sources GROUP BY id) s ON s.id = m.id"
 _RATIO = "len([x for x in b if CAST(x AS BIGINT) % 4 = 0])"
 
@@ -95,13 +96,17 @@ query("fn.path_score", "SELECT src AS id, round(CASE WHEN n = 0 THEN 1 ELSE grea
     lambda v: v.edges.groupBy(F.col("src").alias("id")).agg(F.collect_list("relation").alias("r")).select("id", F.round(gr.path_score(F.col("r"), {"part_of": 0.9, "derived_from": 0.7}), 6).alias("score")))
 query("fn.got_score", "SELECT scope_id, round(CASE WHEN c THEN least(m * pow(0.95, n - 1) + 0.1, 1) ELSE m * pow(0.95, n - 1) END, 6) AS score FROM (SELECT scope_id, avg(confidence) AS m, count(*) AS n, bool_or(sensitivity = 'critical' AND position < 50) AS c FROM concepts GROUP BY scope_id)")(
     lambda v: v.concepts.groupBy("scope_id").agg(F.collect_list("confidence").alias("c"), F.bool_or((F.col("sensitivity") == "critical") & (F.col("position") < 50)).alias("k")).select("scope_id", F.round(gr.thought_score(F.col("c"), F.col("k")), 6).alias("score")))
-query("win.got_best_path", "SELECT id, confidence FROM concepts ORDER BY confidence DESC, id LIMIT 30")(lambda v: v.concepts.orderBy(F.desc("confidence"), "id").limit(30).select("id", "confidence"))
 query("sec.thought_connect", "SELECT id FROM edges WHERE dst IN (SELECT id FROM nodes WHERE state = 'canonical')")(lambda v: v.edges.join(where_equal(v.nodes, state="canonical").select(F.col("id").alias("dst")), "dst", "left_semi").select("id"))
 query("sec.graph_evidence", "SELECT e.id, round(0.9 * c.confidence, 6) AS confidence FROM edges e JOIN concepts c ON c.id = 'p' || substr(e.src, 2) WHERE e.relation = 'derived_from'")(
     lambda v: _derived(v).select("id", F.concat(F.lit("p"), F.expr("substr(src, 2)")).alias("c")).join(v.concepts.select(F.col("id").alias("c"), "confidence"), "c").select("id", F.round(0.9 * F.col("confidence"), 6).alias("confidence")))
 query("sec.change_anchors", "SELECT id, unnest(CASE WHEN relation = 'part_of' THEN [src] ELSE [src, dst] END) AS anchor FROM edges")(lambda v: v.edges.select("id", F.explode(F.when(F.col("relation") == "part_of", F.array("src")).otherwise(F.array("src", "dst"))).alias("anchor")))
-query("graph.adjudicate", "SELECT actor, arg_max(action, (moment, id)) AS state, count(*) AS events FROM audit GROUP BY actor")(
-    lambda v: v.audit.groupBy("actor").agg(F.max_by("action", F.struct("moment", "id")).alias("state"), F.count("*").alias("events")))
+_CASE = "(SELECT actor AS id, CASE action WHEN 'signup' THEN 'detect' WHEN 'click' THEN 'review' WHEN 'purchase' THEN 'resolve' END AS kind, (moment, id) AS t FROM audit WHERE action IN ('signup', 'click', 'purchase'))"
+query("graph.adjudicate", f"""WITH e AS {_CASE}, d AS (SELECT id, min(t) AS t FROM e WHERE kind = 'detect' GROUP BY id),
+    r AS (SELECT e.id, min(e.t) AS t FROM e JOIN d ON d.id = e.id AND e.t > d.t WHERE kind = 'resolve' GROUP BY e.id),
+    u AS (SELECT e.id, min(e.t) AS t FROM e JOIN d ON d.id = e.id AND e.t > d.t LEFT JOIN r ON r.id = e.id WHERE kind = 'review' AND (r.t IS NULL OR e.t < r.t) GROUP BY e.id)
+    SELECT d.id, CASE WHEN r.t IS NOT NULL THEN 'resolved' WHEN u.t IS NOT NULL THEN 'under_review' ELSE 'detected' END AS state, n - 1 - CASE WHEN r.t IS NULL THEN 0 ELSE 1 END - CASE WHEN u.t IS NULL THEN 0 ELSE 1 END AS refused
+    FROM d LEFT JOIN r ON r.id = d.id LEFT JOIN u ON u.id = d.id JOIN (SELECT id, count(*) AS n FROM e GROUP BY id) c ON c.id = d.id""")(
+    lambda v: gr.adjudicate(v.audit.select(F.col("actor").alias("id"), F.when(F.col("action") == "signup", "detect").when(F.col("action") == "click", "review").when(F.col("action") == "purchase", "resolve").alias("kind"), F.struct("moment", "id").alias("t")).where("kind is not null")))
 query("sec.adj_detect", "SELECT actor, min(moment) AS detected_at FROM audit GROUP BY actor")(lambda v: v.audit.groupBy("actor").agg(F.min("moment").alias("detected_at")))
 query("sec.adj_review", "SELECT id, lag(action) OVER (PARTITION BY actor ORDER BY moment, id) = 'view' AND action = 'click' AS legal FROM audit")(
     lambda v: v.audit.select("id", ((F.lag("action").over(gr.Window.partitionBy("actor").orderBy("moment", "id")) == "view") & (F.col("action") == "click")).alias("legal")))
@@ -123,10 +128,10 @@ query("fn.route_cost", "SELECT mode, cost FROM (VALUES ('summary', 0), ('fts', 1
 
 
 def traces(v):
-    return v.audit.groupBy(F.col("actor").alias("id"), F.col("scope_id").alias("class")).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("moment", "id", "action"))), 1, 4), lambda s: F.struct(s["action"].alias("mode"), (s["action"] == "purchase").alias("ok"))).alias("steps"))
+    return v.audit.groupBy(F.col("actor").alias("id"), F.col("scope_id").alias("class")).agg(F.transform(F.array_sort(F.collect_list(F.struct("moment", "id", "action"))), lambda s: F.struct(s["action"].alias("mode"), (s["action"] == "purchase").alias("ok"))).alias("steps"))
 
 
-_TRACE = "(SELECT actor, scope_id AS class, list(action ORDER BY moment, id)[1:4] AS steps FROM audit GROUP BY 1, 2)"
+_TRACE = "(SELECT actor, scope_id AS class, list(action ORDER BY moment, id) AS steps FROM audit GROUP BY 1, 2)"
 _PATTERN = f"(SELECT class, array_to_string(CASE WHEN list_position(steps, 'purchase') > 0 THEN steps[1:list_position(steps, 'purchase')] ELSE steps END, '>') AS chain, count(*) AS support, avg(CASE WHEN list_contains(steps, 'purchase') THEN 1.0 ELSE 0.0 END) AS success_rate FROM {_TRACE} GROUP BY 1, 2)"
 query("agg.workflow_patterns", f"SELECT class, chain, support, round(success_rate, 6) AS success_rate FROM {_PATTERN} WHERE support >= 2")(lambda v: gr.patterns(traces(v), 2).withColumn("success_rate", F.round("success_rate", 6)))
 query("agg.pattern_best", f"SELECT class, chain FROM {_PATTERN} QUALIFY row_number() OVER (PARTITION BY class ORDER BY success_rate DESC, support DESC, chain) = 1")(lambda v: gr.best_pattern(gr.patterns(traces(v), 1)).select("class", "chain"))
@@ -184,5 +189,5 @@ query("sec.render_prompt_rows", "SELECT scope_id, md5(string_agg('- ' || body, c
     lambda v: v.observations.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("body", "id"))).alias("o")).select("scope_id", F.md5(F.array_join(F.transform("o", lambda x: F.concat(F.lit("- "), x["body"])), "\n")).alias("digest")))
 query("txt.router_score", "SELECT id, 2 * len([t for t in ['germany', 'nation'] if contains(lower(label), t)]) + len([t for t in ['germany', 'nation'] if contains(lower(definition), t)]) AS score FROM nodes")(
     lambda v: v.nodes.select("id", (2 * F.size(F.filter(F.array(F.lit("germany"), F.lit("nation")), lambda t: F.contains(F.lower("label"), t))) + F.size(F.filter(F.array(F.lit("germany"), F.lit("nation")), lambda t: F.contains(F.lower("definition"), t)))).cast("bigint").alias("score")))
-query("win.community_route", "SELECT id FROM nodes WHERE contains(lower(label), 'germany') OR contains(lower(definition), 'germany') ORDER BY CASE WHEN contains(lower(label), 'germany') THEN 2 ELSE 0 END + CASE WHEN contains(lower(definition), 'germany') THEN 1 ELSE 0 END DESC, id LIMIT 5")(
-    lambda v: v.nodes.withColumn("s", F.when(F.lower("label").contains("germany"), 2).otherwise(0) + F.when(F.lower("definition").contains("germany"), 1).otherwise(0)).where("s > 0").orderBy(F.desc("s"), "id").limit(5).select("id"))
+query("win.community_route", "SELECT id FROM nodes WHERE contains(lower(label), 'nation') OR contains(lower(definition), 'nation') ORDER BY CASE WHEN contains(lower(label), 'nation') THEN 2 ELSE 0 END + CASE WHEN contains(lower(definition), 'nation') THEN 1 ELSE 0 END DESC, id LIMIT 5")(
+    lambda v: v.nodes.withColumn("s", F.when(F.lower("label").contains("nation"), 2).otherwise(0) + F.when(F.lower("definition").contains("nation"), 1).otherwise(0)).where("s > 0").orderBy(F.desc("s"), "id").limit(5).select("id"))

@@ -112,9 +112,8 @@ query("agg.channel_decay", "SELECT count(*) FILTER (WHERE completed_at IS NOT NU
     lambda v: v.tasks.agg(count_where("archived", AS_OF - F.col("completed_at") >= 30 * mem.DAY), count_where("active", F.col("completed_at").isNull())))
 query("agg.domain_decay", "SELECT scope_id, count(*) FILTER (WHERE completed_at IS NOT NULL AND 1706745600 - completed_at >= 1209600) AS archived FROM tasks GROUP BY scope_id")(
     lambda v: v.tasks.groupBy("scope_id").agg(count_where("archived", AS_OF - F.col("completed_at") >= 14 * mem.DAY)))
-for _op, _where in (("sec.active_tasks", "completed_at IS NULL"), ("sec.open_questions", "completed_at IS NULL AND assignee IS NULL"), ("sec.active_workstreams", "completed_at IS NULL AND id % 2 = 0"), ("sec.open_dependencies", "completed_at IS NULL AND id % 3 = 0"),
-                    ("sec.open_risks", "completed_at IS NULL AND id % 5 = 0"), ("sec.active_procedures", "completed_at IS NULL AND id % 7 = 0"), ("sec.active_policies", "completed_at IS NULL AND id % 11 = 0"), ("sec.active_taxonomy", "completed_at IS NULL AND id % 13 = 0"), ("sec.active_facts", "completed_at IS NULL AND id % 17 = 0")):
-    query(_op, f"SELECT id, scope_id FROM tasks WHERE {_where}")(lambda v, where=_where: v.tasks.where(where).select("id", "scope_id"))
+for _op, _what in (("sec.active_tasks", "task"), ("sec.open_questions", "question"), ("sec.active_workstreams", "workstream"), ("sec.open_dependencies", "dependency"), ("sec.open_risks", "risk"), ("sec.active_procedures", "procedure"), ("sec.active_policies", "policy"), ("sec.active_taxonomy", "taxonomy"), ("sec.active_facts", "fact")):
+    query(_op, f"SELECT id, scope_id FROM tasks WHERE kind = '{_what}' AND completed_at IS NULL AND superseded_by IS NULL")(lambda v, what=_what: mem.current(v.tasks, what).select("id", "scope_id"))
 query("sec.complete_task", "SELECT scope_id, min(completed_at) AS completed_at FROM tasks WHERE completed_at IS NOT NULL GROUP BY scope_id")(lambda v: v.tasks.where("completed_at IS NOT NULL").groupBy("scope_id").agg(F.min("completed_at").alias("completed_at")))
 query("sec.resolve_question", "SELECT id, min(completed_at) AS resolved_at FROM tasks WHERE completed_at IS NOT NULL GROUP BY id")(lambda v: v.tasks.where("completed_at IS NOT NULL").groupBy("id").agg(F.min("completed_at").alias("resolved_at")))
 query("sec.deprecate_policy", "SELECT id, id % 10 = 3 AS deprecated, CASE WHEN id % 20 = 3 THEN id + 1 END AS superseded_by FROM tasks")(

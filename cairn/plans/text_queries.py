@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import entities as ent, text as tx
+from cairn.operators import extraction as exr
 from cairn.registry import query
 
 
@@ -126,7 +127,7 @@ def family_sql(name: str) -> str:
     if name == "iban":
         out = f"[x for x in {out} if {_REMAINDER.format('x')}]"
     if name == "ip":
-        out = f"[x for x in {out} if len([o for o in string_split(x, '.') if CAST(o AS INT) > 255]) = 0]"
+        out = f"[x for x in {out} if len([o for o in string_split(x, '.') if CAST(o AS INT) > 255]) = 0] || [lower(x) for x in regexp_extract_all({PLAIN}, {_q(ent.IPV6)}, 1)]"
     return f"[trim(x) for x in {out}]" if name == "currency" else out
 
 
@@ -142,20 +143,21 @@ query("nest.ner_entities", f"SELECT doc_id, count(*) AS entities FROM (SELECT DI
 
 # ---- extraction: sentences as observations
 
-_ROWS = f"""(SELECT doc_id, i - 1 AS place, trim(regexp_replace(x, {_END}, '')) AS sentence, regexp_extract(x, {_END}) AS terminator FROM (SELECT doc_id, unnest({_SENT}) AS x, generate_subscripts({_SENT}, 1) AS i FROM texts))"""
-_KIND = "CASE WHEN terminator IN ('?', '？', '؟') THEN 'question' WHEN regexp_matches(lower(sentence), 'decided|approved|agreed') THEN 'decision' WHEN regexp_matches(lower(sentence), 'please|todo|will ') THEN 'task' WHEN contains(sentence, ' ') THEN 'fact' ELSE 'none' END"
+_ROWS = f"""(SELECT doc_id, split_part(lower(coalesce(language_tag, 'en')), '-', 1) AS tag, trim(regexp_replace(x, {_END}, '')) AS content, regexp_extract(x, {_END}) AS terminator FROM (SELECT doc_id, language_tag, unnest({_SENT}) AS x FROM texts))"""
 
 
-def observations(v):
-    """Sentences with their kind: question before decision before task before fact."""
-    rows = v.texts.select("doc_id", F.explode(tx.sentences(T())).alias("s")).select("doc_id", F.col("s.text").alias("sentence"), "s.terminator")
-    low = F.lower("sentence")
-    return rows.withColumn("kind", F.when(F.col("terminator").isin("?", "？", "؟"), "question").when(low.rlike("decided|approved|agreed"), "decision").when(low.rlike("please|todo|will "), "task").when(F.col("sentence").contains(" "), "fact").otherwise("none"))
+def _said(table: dict[str, list[str]], test: str) -> str:
+    """Whether one of the words of the row's language, or of English, passes the test on ``w``."""
+    return "CASE tag " + " ".join(f"WHEN {_q(k)} THEN len([w for w in {'[' + ', '.join(map(_q, ws)) + ']' if ws else 'CAST([] AS VARCHAR[])'} if {test}]) > 0" for k, ws in table.items() if k != "en") + f" ELSE len([w for w in {'[' + ', '.join(map(_q, table['en'])) + ']'} if {test}]) > 0 END"
 
 
-query("txt.extract", f"SELECT doc_id, sentence, {_KIND} AS kind FROM {_ROWS} WHERE sentence <> ''")(lambda v: observations(v).select("doc_id", "sentence", "kind"))
-query("nest.ner_facts", f"SELECT doc_id, count(*) FILTER (WHERE k = 'question') AS questions, count(*) FILTER (WHERE k = 'decision') AS decisions, count(*) FILTER (WHERE k = 'task') AS tasks, count(*) FILTER (WHERE k = 'fact') AS facts FROM (SELECT doc_id, {_KIND} AS k FROM {_ROWS} WHERE sentence <> '') GROUP BY doc_id")(
-    lambda v: observations(v).groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("question", "decision", "task", "fact")]))
+_KIND = f"""CASE WHEN terminator IN ('?', '？', '؟') THEN 'question' WHEN {_said(exr.DECISIONS, 'contains(lower(content), w)')} THEN 'decision'
+    WHEN {_said(exr.TASKS, 'contains(lower(content), w)')} OR {_said(exr.VERBS, "regexp_extract(lower(content), chr(92) || 'p' || chr(123) || 'L' || chr(125) || '+') = w")} THEN 'task'
+    WHEN octet_length(encode(content)) >= 6 AND (contains(content, ' ') OR length(regexp_replace(content, {NOT_CJK}, '', 'g')) >= 4) THEN 'fact' END"""
+_OBS = f"(SELECT doc_id, content, {_KIND} AS kind FROM {_ROWS} WHERE content <> '')"
+query("txt.extract", f"SELECT doc_id, content, kind, CAST(CASE kind WHEN 'decision' THEN 0.75 WHEN 'fact' THEN 0.5 ELSE 0.7 END AS DOUBLE) AS confidence FROM {_OBS} WHERE kind IS NOT NULL")(lambda v: exr.observations(v.texts))
+query("nest.ner_facts", f"SELECT doc_id, count(*) FILTER (WHERE kind = 'question') AS questions, count(*) FILTER (WHERE kind = 'decision') AS decisions, count(*) FILTER (WHERE kind = 'task') AS tasks, count(*) FILTER (WHERE kind = 'fact') AS facts FROM {_OBS} WHERE kind IS NOT NULL GROUP BY doc_id")(
+    lambda v: exr.observations(v.texts).groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("question", "decision", "task", "fact")]))
 CHUNK, OVERLAP = 1024, 128
 query("nest.chunk", "SELECT doc_id, i AS chunk, i * 896 AS char_start, length(substr(text, 1 + i * 896, 1024)) AS chars, octet_length(encode(substr(text, 1, i * 896))) AS byte_start FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 1024 THEN 1 ELSE CAST(ceil((length(text) - 1024) / 896.0) AS BIGINT) + 1 END)) AS i FROM documents WHERE text <> '')")(
     lambda v: v.documents.where("text <> ''").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.when(F.length("text") <= CHUNK, 0).otherwise(F.ceil((F.length("text") - CHUNK) / float(CHUNK - OVERLAP))).cast("int"))).alias("i"))

@@ -80,7 +80,8 @@ VIEWS: dict[str, str] = {
         CASE WHEN page_id % 4 = 0 THEN NULL ELSE concat('s', CAST(page_id % 9 AS STRINGTYPE)) END AS section, 1706745600 - 86400 * (page_id % 60) AS last_verified_at FROM pages""",
     "approved_docs": """SELECT s_nationkey AS scope_id, concat('doc', CAST(s_suppkey AS STRINGTYPE)) AS document_id, md5(CAST(s_suppkey % 40 AS STRINGTYPE)) AS content_hash, 100 + s_suppkey AS size_bytes, 1704067200 + s_suppkey AS approved_at FROM supplier""",
     "tasks": """SELECT o_orderkey AS id, concat('c', CAST(o_custkey % 40 AS STRINGTYPE)) AS scope_id, concat(' Ship  ORDER ', CAST(o_orderkey % 50 AS STRINGTYPE), ' ') AS text, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('user', CAST(o_custkey % 9 AS STRINGTYPE)) END AS assignee,
-        CASE WHEN o_orderstatus = 'F' THEN 1706745600 - 86400 * (o_orderkey % 60) END AS completed_at, 1704067200 + o_orderkey AS created_at FROM orders""",
+        CASE o_orderkey % 9 WHEN 0 THEN 'task' WHEN 1 THEN 'question' WHEN 2 THEN 'workstream' WHEN 3 THEN 'dependency' WHEN 4 THEN 'risk' WHEN 5 THEN 'procedure' WHEN 6 THEN 'policy' WHEN 7 THEN 'taxonomy' ELSE 'fact' END AS kind,
+        CASE WHEN o_orderstatus = 'P' THEN o_orderkey + 9 END AS superseded_by, CASE WHEN o_orderstatus = 'F' THEN 1706745600 - 86400 * (o_orderkey % 60) END AS completed_at, 1704067200 + o_orderkey AS created_at FROM orders""",
     "turns": """SELECT event_id AS id, CASE user_id % 3 WHEN 0 THEN 't0' WHEN 1 THEN 't1' ELSE 't2' END AS tenant_id, CASE event_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'ja' WHEN 3 THEN 'th' ELSE 'ar' END AS language, event_type AS scenario_id, event_id % 7 <> 0 AS passed FROM events""",
     "cultural": """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Dr. Ada Lovelace' WHEN 1 THEN '山田太郎様' WHEN 2 THEN 'Mr John Q Public' WHEN 3 THEN '王 小明先生' WHEN 4 THEN 'Cher' WHEN 5 THEN 'Ông Minh Duc' WHEN 6 THEN 'คุณสมชาย' ELSE 'Prof. X' END AS name,
         CASE doc_id % 8 WHEN 1 THEN 'ja' WHEN 3 THEN 'zh' WHEN 5 THEN 'vi' WHEN 6 THEN 'th' ELSE 'en' END AS language_tag,
@@ -92,7 +93,7 @@ VIEWS: dict[str, str] = {
         WHEN 0 THEN 'Wire to DE89370400440532013000 and GB82WEST12345698765432 today.' WHEN 1 THEN 'ISIN US0378331005 rose; BIC DEUTDEFF500 failed. LEI 5493001KJTIIGC8Y1R12'
         WHEN 2 THEN 'Buy $AAPL and $TSLA before Friday? Not yet.' WHEN 3 THEN 'Diagnosis E11.9 with NDC 0002-8215-01, patent US10123456B2 applies.'
         WHEN 4 THEN 'See case No. 22-cv-01234 and SKU-ABC-12345; S/N: AB12CD34.' WHEN 5 THEN 'ASIN B08N5WRWNW, PO-2024-001, INV-77120 due.'
-        WHEN 6 THEN 'Call +1 415 555 2671 from 192.168.0.1 or 300.1.1.1 now.' WHEN 7 THEN 'Paid $1,299.00 and 5 GB for 10 km, total 30%.'
+        WHEN 6 THEN 'Call +1 415 555 2671 from 192.168.0.1 or 300.1.1.1 or 2001:0DB8:85a3:0000:0000:8a2e:0370:7334 now.' WHEN 7 THEN 'Paid $1,299.00 and 5 GB for 10 km, total 30%.'
         WHEN 8 THEN 'The deadline is not approved by @alice_1. Please review https://example.com/a?b=1).' WHEN 9 THEN 'Budget was approved; Bob Smith will ship the release on Monday.'
         WHEN 10 THEN 'no longer a blocker, the launch was cancelled' WHEN 11 THEN 'ok' WHEN 12 THEN 'Thank you!' WHEN 13 THEN '' WHEN 14 THEN '   ' WHEN 15 THEN 'Mail bob@example.com, eve@test.org!'
         WHEN 16 THEN '東京で会議。プロジェクトの予算は承認されました' WHEN 17 THEN 'สวัสดี meeting 会議 tomorrow' WHEN 18 THEN 'What is the policy? Who owns the milestone!' WHEN 19 THEN 'catch me up on last week' WHEN 20 THEN 'assigned to Carol, blocked by abc-123 and X-99'
