@@ -7,9 +7,12 @@ what it had already written rewrites history: the conversation is marked, and ha
 and no loss mask from the first such turn on.
 
 Conversations are put in order by a sort inside hash partitions and formatted one at a
-time from the stream of rows, so that a task holds one conversation, not a partition.
-Rendering prefixes costs the square of one conversation's length and nothing across
-conversations.
+time from the stream of rows, so that a task holds one conversation, not a partition. (The
+digests that are asked for are sequential over a conversation, too.) Rendering all prefixes
+costs the square of a conversation's length. A template that is known to be additive, which
+means that a list's rendering is that of its turns one after the other, is rendered in blocks
+of turns instead, prefixes of a block at a time: the cost is then proportional to the length.
+The default template is additive.
 
 Turns are in order of ``turn`` (nulls first), then role and text; repeated rows are turns of
 their own. A null text or role is empty. Rows with a null ``conv_id`` are one conversation.
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Turns to a block of an additive template.
+BLOCK = 32
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
@@ -49,16 +54,23 @@ def turn_template(turns: list[Turn]) -> str:
     return "".join([f"{_OPEN}{escape(role, _ROLE_CONTROL)}{_SEP}{escape(text)}{_CLOSE}" for role, text in turns])
 
 
-def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int]], int | None]:
-    """The whole rendering, the spans of the turns, and the first turn (from 0) that rewrote history, if any."""
-    out, spans, before = "", [], template([])
-    for k in range(1, len(turns) + 1):
-        out = template(turns[:k])
-        if not out.startswith(before):
-            return template(turns), spans, k - 1
-        spans.append((len(before), len(out)))
-        before = out
-    return out if turns else before, spans, None
+def locate(turns: list[Turn], template: Template, block: int | None = None) -> tuple[str, list[tuple[int, int]], int | None]:
+    """The whole rendering, the spans of the turns, and the first turn (from 0) that rewrote history, if any.
+
+    block: turns to a block, for additive templates only; None renders each prefix from the start.
+    """
+    pieces, spans, at, size = [], [], 0, block or max(1, len(turns))
+    for start in range(0, len(turns), size):
+        own, before = turns[start : start + size], template([])
+        for k in range(1, len(own) + 1):
+            out = template(own[:k])
+            if not out.startswith(before):
+                return template(turns), spans, start + k - 1
+            spans.append((at + len(before), at + len(out)))
+            before = out
+        pieces.append(before)
+        at += len(before)
+    return "".join(pieces) if turns else template([]), spans, None
 
 
 def read_back(out: str, span: tuple[int, int]) -> tuple[str, str, int, int]:
@@ -82,7 +94,7 @@ def format_conversations(conversations: DataFrame, template: Template = turn_tem
     schema = to_arrow_schema(out)
 
     def one(turns: list[Turn]) -> tuple:
-        text, spans, rewrote = locate(turns, template)
+        text, spans, rewrote = locate(turns, template, BLOCK if template is turn_template else None)
         loss = [read_back(text, s)[2:] if template is turn_template else s for s, (role, _) in zip(spans, turns, strict=False) if role in trained] if rewrote is None else []
         pairs = lambda xs: [{"start": a, "end": b} for a, b in xs]
         return len(turns), text, pairs(spans), pairs(loss), rewrote
@@ -111,7 +123,8 @@ def format_conversations(conversations: DataFrame, template: Template = turn_tem
         if rows:
             yield flush()
 
-    return conversations.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, out)
+    plain = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, out)
 
 
 DIGESTS = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, rewrites_history boolean"
@@ -157,9 +170,9 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('###  :  </turn> ') - 1 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g'))) AS BIGINT) AS formatted_chars,
        false AS rewrites_history
 FROM c GROUP BY conv_id

@@ -399,6 +399,29 @@ def test_rendering_locates_turns_and_marks_what_rewrites(spark):
     assert rewrote is None and [chat.read_back(out, s)[:2] for s in spans] == turns
     ending = lambda ts: "".join(t for _, t in ts) + ("<end>" if ts else "")
     assert chat.locate(turns, ending)[2] == 1
+    many = [("user" if i % 3 else "assistant", f"text {i} <") for i in range(100)]
+    assert chat.locate(many, chat.turn_template, 32) == chat.locate(many, chat.turn_template) and chat.locate([], chat.turn_template, 32) == ("", [], None)
+
+
+def test_a_long_conversation_costs_its_length(spark):
+    import time
+
+    start = time.monotonic()
+    out, spans, _ = chat.locate([("user", "x" * 50)] * 50_000, chat.turn_template, chat.BLOCK)
+    assert len(spans) == 50_000 and spans[-1][1] == len(out) and time.monotonic() - start < 30
+
+
+def test_sql_and_query_agree_on_nulls_and_ties(spark):
+    import duckdb
+
+    rows = [(1, None, None, "b"), (1, None, "", "a"), (1, 2, "user", None), (1, 2, "user", ""), (1, 1, "assistant", "x"), (1, 1, "assistant", "x")]
+    conv = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    found = chat.digest(chat.format_conversations(chat.planted(conv)))
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    columns = sorted(found.columns)
+    assert rows_of(found, columns) == sql_rows(con, chat.SQL, columns)
 
 
 def test_chat_round_trip_of_hostile_texts(spark):
@@ -406,7 +429,7 @@ def test_chat_round_trip_of_hostile_texts(spark):
     conv = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted string")
     got = {r["conv_id"]: r for r in chat.digest(chat.format_conversations(conv)).collect()}
     for c in (1, 2, None):
-        own = sorted([r for r in rows if r[0] == c], key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or ""))
+        own = sorted([r for r in rows if r[0] == c], key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own).encode()).hexdigest()
         assert got[c]["loss_sha256"] == hashlib.sha256("".join(r[3] or "" for r in own if r[2] == "assistant").encode()).hexdigest()
     assert chat.digest(chat.format_conversations(conv.where("false"))).count() == 0
