@@ -2,8 +2,8 @@
 
 An index is a table of postings, one row per lane, term and document. A search over an index
 reads the postings of its terms only, by an equality filter on the term. A search without
-an index counts terms inside each row, so that nothing is exploded or shuffled but the
-one row of corpus statistics. Both score with BM25 (k1 1.2, b 0.75) and statistics of the
+an index counts terms inside each row, in one pass over the texts, so that nothing is
+exploded or shuffled. Both score with BM25 (k1 1.2, b 0.75) and statistics of the
 whole table, whatever the scope that is searched.
 """
 
@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from cairn.functions import text as tx
+from cairn.plans.durable import Scratch
 
 K1, B = 1.2, 0.75
 LANES = {"word": 1.0, "trigram": 0.85, "bigram": 0.7}
@@ -39,10 +40,6 @@ def _searched(text: Column, lane: str) -> Column:
     return tx.tokens(text) if lane == "word" else characters(text, lane)
 
 
-def _has(searched: Column, term: str, lane: str) -> Column:
-    return F.array_contains(searched, term) if lane == "word" else searched.contains(term)
-
-
 def _count(searched: Column, term: str, lane: str) -> Column:
     """How often a term stands there; runs of characters may overlap."""
     return F.size(F.filter(searched, lambda x: x == term)) if lane == "word" else F.regexp_count(searched, F.lit(rf"(?=\Q{term}\E)"))
@@ -63,12 +60,6 @@ def postings(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...] = ("wo
     return out
 
 
-def statistics(docs: DataFrame, text: str, terms: list[str], lane: str = "word") -> DataFrame:
-    """One row: number of documents, mean length, and the documents that have each term."""
-    rows = docs.select(_searched(F.col(text), lane).alias("t"))
-    return rows.agg(F.count("*").alias("n_docs"), F.avg(_length(F.col("t"), lane)).alias("avgdl"), *[F.count_if(_has(F.col("t"), t, lane)).alias(f"df{i}") for i, t in enumerate(terms)])
-
-
 def bm25(tf: Column, dl: Column, n: Column, avgdl: Column, df: Column) -> Column:
     """One term's part of a score; frequent terms keep a tiny weight."""
     idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
@@ -76,12 +67,19 @@ def bm25(tf: Column, dl: Column, n: Column, avgdl: Column, df: Column) -> Column
 
 
 def search(docs: DataFrame, doc: str, text: str, terms: list[str], lane: str = "word") -> DataFrame:
-    """``(doc, score)`` of documents that have all terms. The statistics are one row, which is asked for first and becomes part of the plan."""
-    stats = statistics(docs, text, terms, lane).first()
-    rows = docs.select(F.col(doc).alias("doc"), _searched(F.col(text), lane).alias("t"))
-    has = reduce(lambda a, b: a & b, [_has(F.col("t"), t, lane) for t in terms])
-    parts = [bm25(_count(F.col("t"), t, lane), _length(F.col("t"), lane), F.lit(stats["n_docs"]), F.lit(stats["avgdl"]), F.lit(stats[f"df{i}"])) for i, t in enumerate(terms)]
-    return rows.where(has).select("doc", reduce(lambda a, b: a + b, parts).alias("score"))
+    """``(doc, score)`` of documents that have all terms.
+
+    The texts are read once: counts of the terms in the documents that have them all are
+    written, and what is counted over all documents on the way becomes part of the scores.
+    """
+    counted = docs.select(F.col(doc).alias("doc"), _searched(F.col(text), lane).alias("t"))
+    counted = counted.select("doc", _length(F.col("t"), lane).alias("dl"), *[_count(F.col("t"), t, lane).alias(f"tf{i}") for i, t in enumerate(terms)])
+    seen = Observation()
+    all_docs = counted.observe(seen, F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    has = reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
+    hits, stats = Scratch(docs.sparkSession, "search").keep(all_docs.where(has), "hits"), seen.get
+    parts = [bm25(F.col(f"tf{i}"), F.col("dl"), F.lit(stats["n"]), F.lit(stats["avgdl"]), F.lit(stats[f"df{i}"])) for i in range(len(terms))]
+    return hits.select("doc", reduce(lambda a, b: a + b, parts).alias("score"))
 
 
 def search_index(index: DataFrame, n_docs: int, avgdl: float, terms: list[str], lane: str = "word") -> DataFrame:
