@@ -36,7 +36,8 @@ def terms_of(text: Column, lane: str) -> Column:
 
 
 def _searched(text: Column, lane: str) -> Column:
-    """What a search reads of a text: its words, or its characters in a row."""
+    """What a search reads of a text: its words, or its characters in a row; a null text is empty."""
+    text = F.coalesce(text, F.lit(""))
     return tx.tokens(text) if lane == "word" else characters(text, lane)
 
 
