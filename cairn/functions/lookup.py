@@ -18,6 +18,10 @@ COMMON_WORDS = {"en": ["the", "and", "of", "to", "in", "is", "that", "for"], "de
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]"
 MARKS = r"[\x{0591}-\x{05C7}\x{064B}-\x{065F}\x{0670}]"
 
+# Signs of a model's size in its file's name.
+SMALL_MODELS = ["0.5b", "0.8b", "0.9b", "1.0b", "1.1b"]
+MEDIUM_MODELS = ["1.5b", "1.6b", "1.7b", "1.8b", "2b", "2.0b", "2.5b", "3b", "3.0b", "3.5b", "4b", "4.0b"]
+
 
 def nfc(text: Column) -> Column:
     """Composed form; there is no built-in function for it."""
@@ -62,3 +66,10 @@ def language_by_words(tokens: Column, least: int = 3) -> Column:
 
 def _among(tokens: Column, words: list[str]) -> Column:
     return F.filter(tokens, lambda t: t.isin(words))
+
+
+def model_class(path: Column) -> Column:
+    """small, medium or large, by the file's name; large if it says nothing."""
+    name = F.element_at(F.split(F.lower(path), "/"), -1)
+    has = lambda signs: F.exists(F.array(*map(F.lit, signs)), lambda s: F.contains(name, s))
+    return F.when(has(SMALL_MODELS), "small").when(has(MEDIUM_MODELS), "medium").otherwise("large")

@@ -112,3 +112,15 @@ def leaks(evidence: DataFrame) -> DataFrame:
     """``(scope_id, leaks)``: evidence in a scope whose content was first seen in another one."""
     home = evidence.groupBy("content_hash").agg(F.min_by("scope_id", F.struct("created_at", "evidence_id")).alias("home"))
     return evidence.join(home, "content_hash").where("scope_id <> home").groupBy("scope_id").agg(F.count("*").alias("leaks"))
+
+
+def tenant_status(events: DataFrame) -> DataFrame:
+    """``(tenant_id, status, first_suspended)`` after suspends and resumes in order of ``(moment, id)``.
+
+    Suspending a suspended tenant and resuming an active one are refused and change nothing, so
+    that the last event decides, whatever was refused before.
+    """
+    return events.groupBy("tenant_id").agg(
+        F.when(F.max_by("kind", F.struct("moment", "id")) == "suspend", "suspended").otherwise("active").alias("status"),
+        F.min(F.when(F.col("kind") == "suspend", F.col("moment"))).alias("first_suspended"),
+    )

@@ -179,3 +179,30 @@ def adjudicate(events: DataFrame) -> DataFrame:
     done = opened.join(closed, "id", "left").join(seen, "id", "left").join(events.groupBy("id").agg(F.count("*").alias("n")), "id")
     state = F.when(F.col("closed").isNotNull(), "resolved").when(F.col("seen").isNotNull(), "under_review").otherwise("detected")
     return done.select("id", state.alias("state"), (F.col("n") - 1 - F.col("closed").isNotNull().cast("bigint") - F.col("seen").isNotNull().cast("bigint")).alias("refused"))
+
+
+def plan(root: str, questions: DataFrame, confidence: float = 0.9) -> DataFrame:
+    """``(root, node, confidence)``: a plan's root, which is certain, and its sub-questions (column ``question``)."""
+    own = questions.sparkSession.range(1).select(F.lit(root).alias("root"), F.lit(root).alias("node"), F.lit(1.0).alias("confidence"))
+    return own.union(questions.select(F.lit(root), "question", F.lit(confidence)))
+
+
+def expand_thoughts(roots: DataFrame, steps: DataFrame, depth: int, branch: int, most: int) -> DataFrame:
+    """``(root, node, depth, score)`` of thoughts grown from each root (column ``id``), breadth first, under three budgets.
+
+    steps: (src, dst, weight). A thought has at most ``branch`` children, those of the highest weight;
+    its score is the product of the weights on the way, and a thought that is met again stays at
+    its least depth. Of each root the first ``most`` thoughts by depth, score and id are kept. A
+    level is one join; levels are as many as the depth, not as the thoughts.
+    """
+    best = steps.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    ranked = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
+    kids = best.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= branch).select(F.col("src").alias("node"), F.col("dst").alias("next"), "weight")
+    level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("score"))
+    grown = level
+    for _ in range(depth):
+        level = level.join(kids, "node").groupBy("root", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth")).agg(F.max(F.col("score") * F.col("weight")).alias("score"))
+        grown = grown.union(level)
+    first = grown.groupBy("root", "node").agg(F.min(F.struct("depth", (-F.col("score")).alias("s"))).alias("f")).select("root", "node", "f.depth", (-F.col("f.s")).alias("score"))
+    order = Window.partitionBy("root").orderBy("depth", F.desc("score"), "node")
+    return first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")

@@ -61,3 +61,21 @@ def term_coverage(recap: Column, expected: Column) -> Column:
     """The share of expected terms in a recap; 1 if none is expected."""
     hits = F.size(F.filter(expected, lambda t: F.contains(F.lower(recap), F.lower(t))))
     return F.when(F.size(expected) == 0, 1.0).otherwise(hits / F.size(expected))
+
+
+def heartbeat(devices: DataFrame, pings: DataFrame) -> DataFrame:
+    """Devices ``(id, heartbeat_at, stepped_down)`` after pings ``(id, at)``: a ping refreshes and clears a step-down; unknown devices are ignored."""
+    newest = pings.groupBy("id").agg(F.max("at").alias("at"))
+    joined = devices.join(newest, "id", "left")
+    return joined.select("id", F.greatest("heartbeat_at", "at").alias("heartbeat_at"), (F.col("stepped_down") & F.col("at").isNull()).alias("stepped_down"))
+
+
+def step_down(devices: DataFrame, leaving: DataFrame) -> DataFrame:
+    """Devices ``(id, stepped_down)`` after those of ``leaving`` have stepped down; unknown devices are ignored."""
+    gone = leaving.select("id").distinct().withColumn("_gone", F.lit(True))
+    return devices.join(gone, "id", "left").select("id", (F.col("stepped_down") | F.coalesce("_gone", F.lit(False))).alias("stepped_down"))
+
+
+def adaptive_budget(rows: Column) -> Column:
+    """Tokens for a recap of so many rows."""
+    return F.least(F.greatest(640 + 48 * rows, F.lit(640)), F.lit(1024)).cast("bigint")

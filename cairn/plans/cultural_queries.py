@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from cairn.functions import cultural as cu, text as tx
 from cairn.plans.text_queries import _in, _q
+from cairn.functions import lookup as lk
 from cairn.operators.relational import top_per
 from cairn.registry import query
 
@@ -98,7 +99,10 @@ for _op, _view in (("sec.store_conn_delete", "audit"), ("sec.store_token_delete"
     query(_op, f"SELECT tenant_id, count(*) AS n FROM {_view} WHERE tenant_id <> '3' GROUP BY tenant_id")(lambda v, view=_view: getattr(v, view).where("tenant_id <> '3'").groupBy("tenant_id").agg(F.count("*").alias("n")))
 query("sec.cassette_rank", "SELECT DISTINCT kind, CASE kind WHEN 'created' THEN 2 WHEN 'updated' THEN 1 ELSE 0 END AS rank FROM source_events")(lambda v: v.source_events.select("kind", F.when(F.col("kind") == "created", 2).when(F.col("kind") == "updated", 1).otherwise(0).alias("rank")).distinct())
 query("scan.connector_kinds", "SELECT kind, count(*) AS events FROM source_events GROUP BY kind")(lambda v: v.source_events.groupBy("kind").agg(F.count("*").alias("events")))
-query("sec.model_class", "SELECT p_partkey AS id, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class FROM part")(lambda v: v.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium").otherwise("large").alias("class")))
+_PATH = "'models/' || p_brand || '/net-' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '.5' ELSE '' END || 'B.gguf'"
+_MARKED = lambda words: " OR ".join(f"contains(regexp_extract(lower(path), '[^/]*$'), '{w}')" for w in words)
+query("sec.model_class", f"SELECT id, CASE WHEN {_MARKED(lk.SMALL_MODELS)} THEN 'small' WHEN {_MARKED(lk.MEDIUM_MODELS)} THEN 'medium' ELSE 'large' END AS class FROM (SELECT p_partkey AS id, {_PATH} AS path FROM part)")(
+    lambda v: v.part.select(F.col("p_partkey").alias("id"), lk.model_class(F.concat(F.lit("models/"), "p_brand", F.lit("/net-"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".5").otherwise(""), F.lit("B.gguf"))).alias("class")))
 query("sec.trim_array", "SELECT actor, array_to_string((list(action ORDER BY moment, id))[1:3], ',') AS first FROM audit GROUP BY actor")(
     lambda v: v.audit.groupBy("actor").agg(F.array_sort(F.collect_list(F.struct("moment", "id", "action"))).alias("a")).select("actor", F.array_join(F.transform(F.slice("a", 1, 3), lambda x: x["action"]), ",").alias("first")))
 query("sec.status_classify", "SELECT id, status IN ('complete', 'failed') AS terminal, status = 'complete' AS success FROM windows")(lambda v: v.windows.select("id", F.col("status").isin("complete", "failed").alias("terminal"), (F.col("status") == "complete").alias("success")))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.functions import lookup as lk, plugins, text as tx
-from cairn.operators import extraction as exr
+from cairn.functions import documents, lookup as lk, plugins, text as tx
+from cairn.operators import extraction as exr, graph as gr
 from cairn.plans.text_queries import PLAIN, _in, _q
 from cairn.registry import query
 from cairn.sources import store
@@ -54,7 +54,16 @@ query("sec.rate_allow")(lambda v: limits.replay(v.requests, "tenant_id", "moment
 query("st.sync_state", "SELECT document_id, max(occurred_at) AS cursor, count(*) = 1 AS initial FROM source_events GROUP BY document_id")(lambda v: v.source_events.groupBy("document_id").agg(F.max("occurred_at").alias("cursor"), (F.count("*") == 1).alias("initial")))
 query("st.batcher", "SELECT id, CAST(floor((row_number() OVER (PARTITION BY scope_id ORDER BY id) - 1) / 8.0) AS BIGINT) AS batch FROM ring")(
     lambda v: v.ring.select("id", F.floor((F.row_number().over(tx_window()) - 1) / 8.0).alias("batch")))
-query("sec.got_plan_sub", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0.9 ELSE 1.0 END AS confidence FROM documents")(lambda v: v.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 0.9).otherwise(1.0).alias("confidence")))
+query("sec.got_plan_sub", "SELECT 'c50' AS root, 'c50' AS node, 1.0 AS confidence UNION ALL SELECT DISTINCT 'c50', dst, 0.9 FROM edges WHERE src = 'c50'")(
+    lambda v: gr.plan("c50", v.edges.where("src = 'c50'").select(F.col("dst").alias("question")).distinct()))
+query("graph.got_expand", """WITH RECURSIVE kids AS (SELECT src, dst, w FROM (SELECT src, dst, max(CASE relation WHEN 'part_of' THEN 0.9 WHEN 'derived_from' THEN 0.7 ELSE 0.8 END) AS w FROM edges GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 2),
+    grown(root, node, depth, score) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM nodes WHERE id IN ('c50', 'c99', 'c20') UNION ALL SELECT g.root, k.dst, g.depth + 1, g.score * k.w FROM grown g JOIN kids k ON k.src = g.node WHERE g.depth < 4)
+    SELECT root, node, depth, round(score, 6) AS score FROM (SELECT root, node, min(depth) AS depth, arg_min(score, (depth, -score)) AS score FROM grown GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, score DESC, node) <= 6""")(
+    lambda v: gr.expand_thoughts(v.nodes.where("id IN ('c50', 'c99', 'c20')").select("id"), v.edges.select("src", "dst", F.when(F.col("relation") == "part_of", 0.9).when(F.col("relation") == "derived_from", 0.7).otherwise(0.8).alias("weight")), depth=4, branch=2, most=6).select("root", "node", "depth", F.round("score", 6).alias("score")))
+query("nest.json_pretty", """SELECT event_id, '{' || chr(10) || '  "k": ' || regexp_extract(props, '[0-9]+') || chr(10) || '}' AS pretty FROM events""")(lambda v: v.events.select("event_id", documents.pretty_json(F.col("props")).alias("pretty")))
+query("scan.fetched_content", r"""SELECT page_id, 'text/html' AS mime, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
+    trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS body, url AS source_url FROM pages""")(
+    lambda v: v.pages.select("page_id", documents.fetched(F.col("html"), F.col("url")).alias("f")).select("page_id", "f.*"))
 query("sink.save_memory_blob", "SELECT scope_id, observation_type, count(*) AS objects FROM memory GROUP BY 1, 2")(lambda v: v.memory.groupBy("scope_id", "observation_type").agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "state")))).alias("blob")).select("scope_id", "observation_type", F.size(F.from_json("blob", "array<struct<id:string,state:string>>")).cast("bigint").alias("objects")))
 
 

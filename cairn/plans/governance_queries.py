@@ -89,7 +89,8 @@ query("join.acl_sync", "SELECT scope_id, actor, action FROM audit WHERE action I
     lambda v: gov.last_change(v.audit.where("action IN ('signup', 'error')"), ["scope_id", "actor"], ["moment", "id"]).select("scope_id", "actor", "action"))
 query("lc.tenant_states", "SELECT a AS from_state, b AS to_state, (a = 'active' AND b IN ('suspended', 'deleted')) OR (a = 'suspended' AND b IN ('active', 'deleted')) AS legal FROM (VALUES ('active'), ('suspended'), ('deleted')) x(a), (VALUES ('active'), ('suspended'), ('deleted')) y(b)")(
     lambda v: v.spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("from_state"), F.lit(b).alias("to_state")) for a in ("active", "suspended", "deleted") for b in ("active", "suspended", "deleted")])).alias("p")).select("p.*").withColumn("legal", ((F.col("from_state") == "active") & F.col("to_state").isin("suspended", "deleted")) | ((F.col("from_state") == "suspended") & F.col("to_state").isin("active", "deleted"))))
-query("sec.tenant_suspend", "SELECT DISTINCT tenant_id, CASE WHEN tenant_id IN ('1', '3') THEN 'suspended' ELSE 'active' END AS status FROM audit")(lambda v: v.audit.select("tenant_id", F.when(F.col("tenant_id").isin("1", "3"), "suspended").otherwise("active").alias("status")).distinct())
+query("sec.tenant_suspend", "SELECT tenant_id, CASE WHEN arg_max(action, (moment, id)) = 'error' THEN 'suspended' ELSE 'active' END AS status, min(moment) FILTER (WHERE action = 'error') AS first_suspended FROM audit WHERE action IN ('error', 'signup') GROUP BY tenant_id")(
+    lambda v: gov.tenant_status(v.audit.where("action IN ('error', 'signup')").select("tenant_id", F.when(F.col("action") == "error", "suspend").otherwise("resume").alias("kind"), "moment", "id")))
 query("sec.tenant_members", "SELECT DISTINCT tenant_id, actor FROM audit WHERE tenant_id = '2'")(lambda v: where_equal(v.audit, tenant_id="2").select("tenant_id", "actor").distinct())
 query("sec.tenant_role", "SELECT actor, arg_max(action, (moment, id)) AS role FROM audit GROUP BY actor")(lambda v: latest(v.audit.select("actor", F.col("action").alias("role"), "moment", "id"), ["actor"], ["moment", "id"]).select("actor", "role"))
 query("sec.tenant_list", "SELECT tenant_id, min(moment) AS created_at FROM audit GROUP BY tenant_id")(lambda v: v.audit.groupBy("tenant_id").agg(F.min("moment").alias("created_at")))

@@ -146,8 +146,17 @@ query("flt.promotion", "SELECT id, CASE WHEN sensitivity IN ('noise', 'useful')
 query("flt.election_eligible", "SELECT id FROM devices WHERE online AND NOT stepped_down AND battery >= 20 AND tier >= 1 AND 1706745600 - heartbeat_at < 300")(lambda v: v.devices.where(sy.eligible(AS_OF)).select("id"))
 for _op in ("win.election", "lc.elect"):
     query(_op, "SELECT scope_id, arg_max(id, (tier, heartbeat_at, battery, id)) AS elected FROM devices WHERE online AND NOT stepped_down AND battery >= 20 AND tier >= 1 AND 1706745600 - heartbeat_at < 300 GROUP BY scope_id")(lambda v: sy.elect(v.devices, AS_OF))
-query("sec.heartbeat", "SELECT id, 1706745600 AS heartbeat_at, false AS stepped_down FROM devices WHERE id IN ('d1', 'd7')")(lambda v: v.devices.where("id IN ('d1', 'd7')").select("id", F.lit(AS_OF).alias("heartbeat_at"), F.lit(False).alias("stepped_down")))
-query("sec.step_down", "SELECT id, stepped_down OR id = 'd5' AS stepped_down FROM devices")(lambda v: v.devices.select("id", (F.col("stepped_down") | (F.col("id") == "d5")).alias("stepped_down")))
+_PINGS = "(SELECT 'd' || substr(actor, 5) AS id, max(moment) AS pinged, arg_max(action, (moment, id)) AS last FROM audit GROUP BY 1)"
+
+
+def pings(v):
+    return v.audit.groupBy(F.concat(F.lit("d"), F.substring("actor", 5, 20)).alias("id")).agg(F.max("moment").alias("at"), F.max_by("action", F.struct("moment", "id")).alias("last"))
+
+
+query("sec.heartbeat", f"SELECT d.id, greatest(heartbeat_at, coalesce(pinged, heartbeat_at)) AS heartbeat_at, stepped_down AND pinged IS NULL AS stepped_down FROM devices d LEFT JOIN {_PINGS} p ON p.id = d.id")(
+    lambda v: sy.heartbeat(v.devices.select("id", "heartbeat_at", "stepped_down"), pings(v).select("id", "at")))
+query("sec.step_down", f"SELECT d.id, stepped_down OR coalesce(last = 'error', false) AS stepped_down FROM devices d LEFT JOIN {_PINGS} p ON p.id = d.id")(
+    lambda v: sy.step_down(v.devices.select("id", "stepped_down"), pings(v).where("last = 'error'").select("id")))
 query("sec.defer_medium", "SELECT id, battery < 35 AS defers FROM devices")(lambda v: v.devices.select("id", (F.col("battery") < 35).alias("defers")))
 query("win.newest_object", "SELECT scope_id, arg_max(id, (window_end, id)) AS id FROM windows WHERE tier = 'domain' GROUP BY scope_id")(lambda v: latest(where_equal(v.windows, tier="domain").select("scope_id", "id", "window_end"), ["scope_id"], ["window_end", "id"]).select("scope_id", "id"))
 query("win.newest_complete", "SELECT scope_id, id FROM windows WHERE status = 'complete' QUALIFY row_number() OVER (PARTITION BY scope_id ORDER BY window_end DESC, id DESC) = 1")(lambda v: sy.newest_complete(v.windows, ["scope_id"]).select("scope_id", "id"))
@@ -167,8 +176,8 @@ query("join.gather_domain", "SELECT w.scope_id, arg_max(v.recap, (v.version, v.w
 query("join.hierarchy_domain", "SELECT DISTINCT scope_id FROM versions WHERE scope_id NOT IN (SELECT scope_id FROM windows WHERE tier = 'channel' AND status = 'complete' AND window_start > 900000000)")(
     lambda v: v.versions.select("scope_id").distinct().join(v.windows.where("tier = 'channel' AND status = 'complete' AND window_start > 900000000").select("scope_id").distinct(), "scope_id", "left_anti"))
 query("join.hierarchy_tenant", "SELECT document_id FROM approved_docs WHERE document_id NOT IN (SELECT document_id FROM citations)")(lambda v: without(v.approved_docs, v.citations, ["document_id"]).select("document_id"))
-query("fn.adaptive_budget", "SELECT id, least(greatest(640 + 48 * (octet_length(encode(recap)) % 12), 640), 1024) AS budget FROM (SELECT window_id || '/' || version AS id, recap FROM versions)")(
-    lambda v: v.versions.select(F.concat("window_id", F.lit("/"), "version").alias("id"), F.least(F.greatest(640 + 48 * (F.octet_length("recap") % 12), F.lit(640)), F.lit(1024)).cast("bigint").alias("budget")))
+query("fn.adaptive_budget", "SELECT window_id, least(greatest(640 + 48 * count(*), 640), 1024) AS budget FROM versions GROUP BY window_id")(
+    lambda v: v.versions.groupBy("window_id").agg(F.count("*").alias("n")).select("window_id", sy.adaptive_budget(F.col("n")).alias("budget")))
 query("fn.retry_budget", "SELECT id, least(size_bytes + 384, 1536) AS budget FROM (SELECT evidence_id AS id, size_bytes FROM evidence)")(lambda v: v.evidence.select(F.col("evidence_id").alias("id"), F.least(F.col("size_bytes") + 384, F.lit(1536)).alias("budget")))
 _TERMS = r"list_distinct([t for t in regexp_extract_all(lower(text), '[\p{L}\p{N}]+') if length(t) >= 4])"
 _RECAP = "substr(text, 1, 100)"
