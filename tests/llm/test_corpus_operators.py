@@ -297,7 +297,8 @@ def test_folding_many_letters_is_small_and_right():
 
 
 def test_training_text_is_bounded(spark):
-    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("such an idiot you are")).otherwise(F.concat(F.lit("a fine day in town number "), F.col("id").cast("string"))).alias("text"))
+    own = F.translate(F.md5(F.col("id").cast("string")), "0123456789", "ghijklmnop")
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, F.lit("such an idiot you are ")).otherwise(F.lit("a fine day in town ")), own).alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))
     machine = tox.train(docs, labels, sample_chars=2000)
     assert machine.score(["an idiot", "a day"])[0] > 0.5
