@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.llm import chat, decontaminate, exact_dedup, language, license_scan, mixing, simhash, token_shards, toxicity, url_filter
+from cairn.llm import chat, decontaminate, exact_dedup, language, license_scan, mixing, secrets, simhash, spelling, token_shards, toxicity, url_filter, vector_codes
 from cairn.plans.durable import Scratch
 from cairn.sources.tables import table
 
@@ -55,11 +55,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_toxicity, op4_url_filter, op5_decontaminate, op6_simhash_dedup, op7_language_id, op8_token_shards, op9_exact_dedup, op10_mixing)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_toxicity, op4_url_filter, op5_decontaminate, op6_simhash_dedup, op7_language_id, op8_token_shards, op9_exact_dedup, op10_mixing, op11_vector_codes, op12_spelling_variants, op13_secret_scan)}
 SQL = {
     "op2_chat_format": chat.SQL,
     "op4_url_filter": url_filter.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_spelling_variants": spelling.SQL,
 }
