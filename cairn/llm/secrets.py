@@ -262,7 +262,7 @@ class Tagger:
         tags = decode(self.scores(text), self.field)
         if not tags.any():
             return []
-        out, at = [], -1
+        out, at = [], -2
         hits = set(np.flatnonzero(tags).tolist())
         for k, m in enumerate(TOKEN.finditer(text)):
             if k in hits:
@@ -390,7 +390,7 @@ def _harmless(r: random.Random) -> str:
         lambda: f"{word()}@{word()}{some(_DIGITS, 0, 2)}.example.com", lambda: f"https://{word()}.example.org/{word()}/{word()}-{some(_DIGITS, 3, 8)}?{word()}={some(_DIGITS, 2, 6)}", lambda: f"{r.choice('vV')}{some(_DIGITS, 1)}.{some(_DIGITS, 1, 2)}.{some(_DIGITS, 1, 3)}",
         lambda: f"{r.choice(['password', 'token', 'secret', 'api_key'])} {r.choice(['=', ':'])} {r.choice(['os.environ', 'get_token()', 'None', 'null', '<your-key>', 'self._token', 'config.secret', 'changeme', '********', 'xxxxxxxx', 'str', 'input()', '${TOKEN}', 'required'])}",
         lambda: f"{word()}{word().title()}{word().title()}", lambda: f"{word()}_{word()}_{word()}({word()})", lambda: f"data:image/png;base64,iVBORw0KGgo{some(_ALNUM + '+/', 40, 120)}", lambda: f"{word()} {r.choice(['was', 'forgot the', 'reset your', 'a new', 'the'])} {r.choice(['password', 'token', 'secret'])} {word()}",
-        lambda: f"+{some(_DIGITS, 2)} {some(_DIGITS, 3)} {some(_DIGITS, 7)}", lambda: f"{some(_DIGITS, 4)}-{some(_DIGITS, 2)}-{some(_DIGITS, 2)}T{some(_DIGITS, 2)}:{some(_DIGITS, 2)}:{some(_DIGITS, 2)}Z", lambda: some(_UPPER, 12, 24), lambda: f"{some(_UPPER, 2)}{some(_DIGITS, 20)}", lambda: f"{word()}.{some(_DIGITS, 2)}",
+        lambda: f"+{some(_DIGITS, 2)} {some(_DIGITS, 3)} {some(_DIGITS, 7)}", lambda: f"{some(_DIGITS, 4)}-{some(_DIGITS, 2)}-{some(_DIGITS, 2)}T{some(_DIGITS, 2)}:{some(_DIGITS, 2)}:{some(_DIGITS, 2)}Z", lambda: some(_UPPER, 12, 24), lambda: f"{some(_UPPER, 2)}{some(_DIGITS, 20)}", lambda: f"{word()}.{some(_DIGITS, 2)}", lambda: " ".join([some(_UPPER, 1, 2) + some(_LOWER, 2, 5)] * r.randint(2, 9)),
     ])()
 
 

@@ -274,6 +274,14 @@ def test_likelihood_against_all_paths():
     assert np.allclose(prob, want) and np.allclose(pairs, moved) and np.allclose(ends, at_ends)
 
 
+def test_inside_at_the_very_beginning():
+    """A text may begin inside a secret, if the field says so."""
+    weights = np.zeros((sec.BUCKETS, 3))
+    weights[:, sec.IN] = 1
+    tagger = sec.Tagger(sec.Field(weights, np.zeros((3, 3)), np.zeros((2, 3))))
+    assert tagger.spans("Zk29 dkLs") == [(0, 9)]
+
+
 def test_long_texts_in_cuts(field, monkeypatch):
     text = "some words and token: 'Zk29dkLs02mQ8x7Yb' then\n" * 50
     want = sec.Tagger(field).scores(text)
