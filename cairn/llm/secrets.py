@@ -178,6 +178,13 @@ class Field:
         every = np.concatenate([self.moves.ravel(), self.ends.ravel()])
         return 2 * float(every.max() - every.min())
 
+    @property
+    def calm(self) -> float:
+        """What any move to or from a secret loses at least against staying outside; negative if one gains."""
+        others = np.delete(self.moves.ravel(), OUT)
+        ends = (self.ends[:, :1] - self.ends[:, 1:]).min()
+        return float(self.moves[OUT, OUT] - others.max()) if ends >= 0 else -1.0
+
 
 def viterbi(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[int]:
     """The best tags; of equal ones, those with the lower tag at the end."""
@@ -195,13 +202,23 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, last: np.n
 
 
 def decode(scores: np.ndarray, field: Field) -> np.ndarray:
-    """The best tags of a whole text: tokens that are outside on every best path cut it."""
+    """The best tags of a whole text: tokens that are outside on every best path cut it.
+
+    If staying outside is the best of all moves, and outside the best end, then what lies between
+    two cuts is outside as a whole unless some token there gains more by its own score than one
+    move loses.
+    """
     tags = np.zeros(len(scores), np.int8)
-    open_ = np.flatnonzero(scores[:, OUT] - scores[:, 1:].max(1) <= field.reach)
+    gain = scores[:, 1:].max(1) - scores[:, OUT] if len(scores) else np.zeros(0)
+    open_ = np.flatnonzero(gain >= -field.reach)
     if not len(open_):
         return tags
-    for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
-        a, b = int(run[0]), int(run[-1]) + 1
+    starts = np.flatnonzero(np.diff(open_, prepend=-2) > 1)
+    calm = field.calm
+    busy = np.ones(len(starts), bool) if calm < 0 else np.maximum.reduceat(gain[open_], starts) > calm
+    stops = np.append(starts[1:], len(open_))
+    for i in np.flatnonzero(busy).tolist():
+        a, b = int(open_[starts[i]]), int(open_[stops[i] - 1]) + 1
         first = field.ends[0] if a == 0 else field.moves[OUT]
         last = field.ends[1] if b == len(scores) else field.moves[:, OUT]
         tags[a:b] = viterbi(scores[a:b], field.moves, first, last)
@@ -466,7 +483,9 @@ def find_secrets(docs: DataFrame, field: Field, carry: list[str], text: str = "t
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def make():
-        tagger = Tagger(sent.value)
+        # a worker's later tasks know the tokens of its earlier ones
+        tagger = sent.value.__dict__.setdefault("tagger", None) or Tagger(sent.value)
+        sent.value.__dict__["tagger"] = tagger
         of = lambda t: [{"kind": k, "start": a, "end": b} for k, a, b in all_spans(t, tagger)]
         return lambda texts: [[of(t or "") for t in texts]]
 

@@ -238,10 +238,13 @@ def test_known_lines(field, text, secret):
     assert [text[a:b] for a, b in sec.Tagger(field).spans(text)] == ([secret] if secret else [])
 
 
-def test_cut_decoding_is_that_of_the_whole():
+@pytest.mark.parametrize("stay", [0.0, 3.0])
+def test_cut_decoding_is_that_of_the_whole(stay):
     rng = np.random.default_rng(5)
-    for _ in range(60):
+    for _ in range(80):
         field = sec.Field(np.zeros((2, 3)), rng.normal(size=(3, 3)), rng.normal(size=(2, 3)))
+        field.moves[0, 0] += stay
+        field.ends[:, 0] += stay
         scores = rng.normal(size=(40, 3)) * 2
         scores[rng.random(40) < 0.6, 0] += 20
         assert sec.decode(scores, field).tolist() == sec.viterbi(scores, field.moves, field.ends[0], field.ends[1])
