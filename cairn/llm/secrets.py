@@ -123,12 +123,13 @@ def _bucket(feature: str) -> int:
 #: What a token says about its own place, and about those it is a neighbour of; a name's hash is turned by an odd number for each.
 ROLES = ("own", "next", "after", "word", "before")
 _TURNS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint64)
-_PLAIN = [_bucket(f"plain={n}") for n in range(4)]
+_PLAIN_STEPS = (3, 6, 10)
+_PLAIN_BUCKETS = np.array([_bucket(f"plain={n}") for n in range(len(_PLAIN_STEPS) + 1)])
 
 
 def own_buckets(token: str) -> list[int]:
     """Of what speaks for a token, but for its name."""
-    return [_PLAIN[_steps(len(token), 3, 6, 10)]] if is_plain(token) else sorted({_bucket(f) for f in token_features(token)})
+    return [int(_PLAIN_BUCKETS[_steps(len(token), *_PLAIN_STEPS)])] if is_plain(token) else sorted({_bucket(f) for f in token_features(token)})
 
 
 def name_buckets(names: list[int]) -> np.ndarray:
@@ -180,10 +181,10 @@ class Field:
 
     @property
     def calm(self) -> float:
-        """What any move to or from a secret loses at least against staying outside; negative if one gains."""
-        others = np.delete(self.moves.ravel(), OUT)
+        """What each move to, from or inside a secret loses at least against staying outside, as does beginning or ending in one; negative if one gains."""
+        moves = self.moves[OUT, OUT] - np.delete(self.moves.ravel(), OUT).max()
         ends = (self.ends[:, :1] - self.ends[:, 1:]).min()
-        return float(self.moves[OUT, OUT] - others.max()) if ends >= 0 else -1.0
+        return float(min(moves, ends))
 
 
 def viterbi(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[int]:
@@ -204,9 +205,8 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, last: np.n
 def decode(scores: np.ndarray, field: Field) -> np.ndarray:
     """The best tags of a whole text: tokens that are outside on every best path cut it.
 
-    If staying outside is the best of all moves, and outside the best end, then what lies between
-    two cuts is outside as a whole unless some token there gains more by its own score than one
-    move loses.
+    If staying outside is the best of all moves by ``calm``, a secret of k tokens loses k + 1 times as
+    much by its moves: a stretch in which no run of tokens gains that by its scores is outside, too.
     """
     tags = np.zeros(len(scores), np.int8)
     gain = scores[:, 1:].max(1) - scores[:, OUT] if len(scores) else np.zeros(0)
@@ -214,8 +214,11 @@ def decode(scores: np.ndarray, field: Field) -> np.ndarray:
     if not len(open_):
         return tags
     starts = np.flatnonzero(np.diff(open_, prepend=-2) > 1)
-    calm = field.calm
-    busy = np.ones(len(starts), bool) if calm < 0 else np.maximum.reduceat(gain[open_], starts) > calm
+    busy, calm = np.ones(len(starts), bool), field.calm
+    if calm >= 0:
+        total = np.cumsum(gain - calm)
+        least = np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
+        busy = np.maximum.reduceat((total - least)[open_], starts) > calm - 1e-6  # more than sums are off
     stops = np.append(starts[1:], len(open_))
     for i in np.flatnonzero(busy).tolist():
         a, b = int(open_[starts[i]]), int(open_[stops[i] - 1]) + 1
@@ -234,18 +237,23 @@ class Tagger:
 
     def _forget(self):
         self.known: dict[str, int] = {}
-        self.shares, self.signs = np.zeros((1024, len(ROLES), 3)), np.zeros(1024, bool)
+        self.shares, self.signs = [np.zeros((1024, 3)) for _ in ROLES], np.zeros(1024, bool)
 
     def _learn(self, tokens: list[str]) -> None:
         """The shares of tokens not known yet."""
         w, at, n = self.field.weights, len(self.known), len(tokens)
-        while at + n > len(self.shares):
-            self.shares, self.signs = np.concatenate([self.shares, np.zeros_like(self.shares)]), np.concatenate([self.signs, np.zeros_like(self.signs)])
-        own = [own_buckets(t) for t in tokens]
-        sizes = np.array([len(x) for x in own])
-        self.shares[at : at + n] = w[name_buckets([name_of(t) for t in tokens])]
-        self.shares[at : at + n, 0] += np.add.reduceat(w[[b for x in own for b in x]], np.cumsum(sizes) - sizes)
-        self.signs[at : at + n] = [is_sign(t) for t in tokens]
+        while at + n > len(self.signs):
+            self.shares, self.signs = [np.concatenate([x, np.zeros_like(x)]) for x in self.shares], np.concatenate([self.signs, np.zeros_like(self.signs)])
+        plain = list(map(is_plain, tokens))
+        names = name_buckets([_crc(t.lower() if p else _word(t)) for t, p in zip(tokens, plain, strict=True)])
+        for r in range(len(ROLES)):
+            self.shares[r][at : at + n] = w[names[:, r]]
+        sizes = np.fromiter(map(len, tokens), np.int64, n)
+        own = w[_PLAIN_BUCKETS[np.searchsorted(_PLAIN_STEPS, sizes, side="right")]]
+        for i in [i for i, p in enumerate(plain) if not p]:
+            own[i] = w[own_buckets(tokens[i])].sum(0)
+            self.signs[at + i] = is_sign(tokens[i])
+        self.shares[0][at : at + n] += own
         self.known.update(zip(tokens, range(at, at + n), strict=True))
 
     def scores(self, text: str) -> np.ndarray:
@@ -267,11 +275,14 @@ class Tagger:
             at = end
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         signs = self.signs[ids]
-        out = self.shares[ids, 0] + self.field.weights[file_features(len(ids), int(signs.sum()), n_chars)].sum(0)
-        near = neighbours(signs)
-        for r, role in enumerate(ROLES[1:], 1):
-            there = near[role] >= 0
-            out[there] += self.shares[ids[near[role][there]], r]
+        own, next_, after, word, before = self.shares
+        out = own.take(ids, 0) + self.field.weights[file_features(len(ids), int(signs.sum()), n_chars)].sum(0)
+        out[1:] += next_.take(ids[:-1], 0)
+        out[2:] += after.take(ids[:-2], 0)
+        out[:-1] += before.take(ids[1:], 0)
+        place = neighbours(signs)["word"]
+        there = np.flatnonzero(place >= 0)
+        out[there] += word.take(ids[place[there]], 0)
         return out
 
     def spans(self, text: str) -> list[tuple[int, int]]:
