@@ -20,6 +20,7 @@ twice: remove it first (``remove``). An empty table is an index without postings
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from cairn.functions import querytext as qt, text as tx
 from cairn.operators import fulltext as ft
@@ -42,54 +43,96 @@ def bucket(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, KEY)), F.lit(buckets)).cast("int")
 
 
+def _of_words(terms: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.ListArray]:
+    """Terms, their rows, those rows' numbers of terms, and positions, of lists of words: one entry for each term of a row."""
+    sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    flat = terms.flatten().dictionary_encode()
+    codes, owner = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order, starts = _runs(owner * max(1, len(flat.dictionary)) + codes)
+    which = order[starts]
+    return flat.dictionary.take(pa.array(codes[which])), owner[which], sizes[owner[which]], _lists(starts, place[order])
+
+
+def _of_characters(texts: list[str | None], size: int) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.ListArray]:
+    """The same of all runs of ``size`` characters of each text."""
+    terms, owner, counts, bounds, places, at = [], [], [], [], [], 0
+    for row, text in enumerate(texts):
+        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(points) - size + 1
+        if n < 1:
+            continue
+        key = np.zeros(n, np.uint64)
+        for k in range(size):
+            key = (key << np.uint64(21)) | points[k : k + n]
+        order, starts = _runs(key)
+        terms += [text[i : i + size] for i in order[starts].tolist()]
+        owner.append(np.full(len(starts), row))
+        counts.append(np.full(len(starts), n))
+        bounds.append(starts + at)
+        places.append(order)
+        at += n
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.array(terms, pa.string()), join(owner), join(counts), _lists(join(bounds), join(places))
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, each in order of place, and where a key's run begins."""
+    order = np.argsort(key, kind="stable")
+    own = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(order) else np.zeros(0, np.int64)
+
+
+def _lists(starts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
-    """(lane, doc, terms) as (lane, term, doc, dl, positions): one row for each term of a document."""
+    """(lane, doc, words, chars) as (lane, term, doc, dl, positions): one row for each term of a document."""
     kind = rows.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            terms = b.column("terms")
-            sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
-            flat = terms.flatten().dictionary_encode()
-            codes, owner = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            key = owner * max(1, len(flat.dictionary)) + codes
-            order = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.diff(key[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
-            which = order[starts]
-            offsets = np.append(starts, len(order)).astype(np.int32)
-            positions = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("lane").take(pa.array(owner[which])), flat.dictionary.take(pa.array(codes[which])), b.column("doc").take(pa.array(owner[which])), pa.array(sizes[owner[which]].astype(np.int32)), positions], names=["lane", "term", "doc", "dl", "positions"])
-
-    return rows.mapInArrow(run, f"lane string, term string, doc {kind}, dl int, positions array<int>")
+        for whole in batches:
+            for lane in pc.unique(whole.column("lane")).to_pylist():
+                b = whole.filter(pc.equal(whole.column("lane"), lane))
+                terms, owner, dl, positions = _of_words(b.column("words")) if lane == "word" else _of_characters(b.column("chars").to_pylist(), ft.SIZE[lane])
+                yield pa.RecordBatch.from_arrays([pa.array([lane] * len(terms), pa.string()), terms, b.column("doc").take(pa.array(owner)), pa.array(dl.astype(np.int32)), positions], names=["lane", "term", "doc", "dl", "positions"])
+
+    return rows.select("lane", "doc", "words", "chars").mapInArrow(run, f"lane string, term string, doc {kind}, dl int, positions array<int>")
 
 
 def _texts(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...]) -> DataFrame:
-    """(lane, doc, terms); the lanes of characters hold only documents with scripts that don't separate words."""
+    """(lane, doc, words, chars, n): a text's words, or its characters, and how many terms these make; the lanes of characters hold only documents with scripts that don't separate words."""
     parts = []
     for lane in lanes:
         rows = docs if lane == "word" else docs.where(tx.has_unsegmented(F.col(text)))
-        parts.append(rows.select(F.lit(lane).alias("lane"), F.col(doc).alias("doc"), ft.terms_of(F.col(text), lane).alias("terms")))
+        own = rows.select(F.lit(lane).alias("lane"), F.col(doc).alias("doc"), (tx.tokens(F.col(text)) if lane == "word" else F.lit(None).cast("array<string>")).alias("words"), (F.lit(None).cast("string") if lane == "word" else ft.characters(F.col(text), lane)).alias("chars"))
+        count = F.when(F.col("words").isNotNull(), F.size("words")).otherwise(0) if lane == "word" else F.greatest(F.coalesce(F.length("chars"), F.lit(0)) - ft.SIZE[lane] + 1, F.lit(0))
+        parts.append(own.withColumn("n", count))
     return reduce(DataFrame.unionByName, parts)
 
 
-def rows_of(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...] = tuple(ft.LANES), buckets: int = BUCKETS) -> DataFrame:
-    """``(term, doc, dl, positions, lane, bucket)`` of all documents, each folder's rows together and in order."""
-    found = _grouped(_texts(docs, doc, text, lanes)).withColumn("bucket", bucket(F.col("term"), buckets))
+def rows_of(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...] = tuple(ft.LANES), buckets: int = BUCKETS, seen: Observation | None = None) -> DataFrame:
+    """``(term, doc, dl, positions, lane, bucket)`` of all documents, each folder's rows together and in order. seen: counts documents and terms of each lane on the way."""
+    texts = _texts(docs, doc, text, lanes)
+    if seen is not None:
+        own = lambda lane: F.col("lane") == lane
+        texts = texts.observe(seen, *[F.count_if(own(x)).alias(f"docs_{x}") for x in lanes], *[F.sum(F.when(own(x), F.col("n"))).alias(f"length_{x}") for x in lanes])
+    found = _grouped(texts).withColumn("bucket", bucket(F.col("term"), buckets))
     spread = found.hint("rebalance", F.col("lane"), F.col("bucket"))
     return spread.sortWithinPartitions("lane", "bucket", "term", "doc").select("term", "doc", "dl", "positions", "lane", "bucket")
 
 
-def stats_of(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...] = tuple(ft.LANES)) -> DataFrame:
-    """``(lane, docs, length)``: documents of each lane and their terms."""
-    sizes = _texts(docs, doc, text, lanes).select("lane", F.greatest(F.coalesce(F.size("terms"), F.lit(0)), F.lit(0)).alias("n"))
-    return sizes.groupBy("lane").agg(F.count("*").alias("docs"), F.sum("n").alias("length"))
-
-
 def write(store: Store, docs: DataFrame, doc: str, text: str, append: bool = False, lanes: tuple[str, ...] = tuple(ft.LANES), buckets: int = BUCKETS) -> int:
     """Index ``docs``, in place of what the store has or behind it; the new version's number."""
-    new = {POSTINGS: rows_of(docs, doc, text, lanes, buckets), STATS: stats_of(docs, doc, text, lanes)}
-    return store.commit(new, append=append, partition_by={POSTINGS: ["lane", "bucket"]}, note=f"buckets={buckets}")
+    seen = Observation()
+
+    def stats() -> DataFrame:
+        got = Counter() if docs.isEmpty() else seen.get  # a plan without rows may count nothing
+        return docs.sparkSession.createDataFrame([(x, int(got[f"docs_{x}"] or 0), int(got[f"length_{x}"] or 0)) for x in lanes], "lane string, docs bigint, length bigint")
+
+    rows = rows_of(docs, doc, text, lanes, buckets, seen)
+    return store.commit({POSTINGS: rows, STATS: stats}, append=append, partition_by={POSTINGS: ["lane", "bucket"]}, note=f"buckets={buckets}")
 
 
 def remove(store: Store, docs: DataFrame) -> int:

@@ -54,8 +54,6 @@ query("sec.rate_allow")(lambda v: limits.replay(v.requests, "tenant_id", "moment
 query("st.sync_state", "SELECT document_id, max(occurred_at) AS cursor, count(*) = 1 AS initial FROM source_events GROUP BY document_id")(lambda v: v.source_events.groupBy("document_id").agg(F.max("occurred_at").alias("cursor"), (F.count("*") == 1).alias("initial")))
 query("st.batcher", "SELECT id, CAST(floor((row_number() OVER (PARTITION BY scope_id ORDER BY id) - 1) / 8.0) AS BIGINT) AS batch FROM ring")(
     lambda v: v.ring.select("id", F.floor((F.row_number().over(tx_window()) - 1) / 8.0).alias("batch")))
-query("sec.got_plan_sub", "SELECT 'c50' AS root, 'c50' AS node, 1.0 AS confidence UNION ALL SELECT DISTINCT 'c50', dst, 0.9 FROM edges WHERE src = 'c50'")(
-    lambda v: gr.plan("c50", v.edges.where("src = 'c50'").select(F.col("dst").alias("question")).distinct()))
 query("graph.got_expand", """WITH RECURSIVE kids AS (SELECT src, dst, w FROM (SELECT src, dst, max(CASE relation WHEN 'part_of' THEN 0.9 WHEN 'derived_from' THEN 0.7 ELSE 0.8 END) AS w FROM edges GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 2),
     grown(root, node, depth, score) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM nodes WHERE id IN ('c50', 'c99', 'c20') UNION ALL SELECT g.root, k.dst, g.depth + 1, g.score * k.w FROM grown g JOIN kids k ON k.src = g.node WHERE g.depth < 4)
     SELECT root, node, depth, round(score, 6) AS score FROM (SELECT root, node, min(depth) AS depth, arg_min(score, (depth, -score)) AS score FROM grown GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, score DESC, node) <= 6""")(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
 from cairn.operators import fulltext as ft, retrieval as rt
+from cairn.plans.indexes import index_of
 from cairn.plans.text_queries import CJK, KEPT, _q
 from cairn.registry import AS_OF, query
 
@@ -30,7 +31,7 @@ _LEX = bm25_sql("documents", "doc_id", WORDS)
 
 
 def lexical(v):
-    return ft.search(v.documents, "doc_id", "text", WORDS)
+    return index_of(v.documents, "doc_id", "text").search(" ".join(WORDS))
 
 
 query("scan.fts_unicode61", f"SELECT doc, round(score, 6) AS score FROM {_LEX}")(lambda v: lexical(v).select("doc", F.round("score", 6).alias("score")))
@@ -43,11 +44,8 @@ query("agg.fts_min_rank", f"SELECT doc, round(-score, 6) AS rank FROM {_MERGED}"
 query("set.lane_union", f"SELECT doc FROM {_MERGED}")(lambda v: ft.merged(v.texts, "doc_id", "text", BY_LANE).select("doc"))
 query("win.topk_fts", f"SELECT doc, round(score, 6) AS score FROM {_LEX} ORDER BY round(score, 9) DESC, doc LIMIT 20")(lambda v: rt.best(lexical(v).withColumn("score", F.round("score", 9)), 20).select("doc", F.round("score", 6).alias("score")))
 query("sec.fts_search_ids", f"SELECT doc FROM {_LEX} ORDER BY round(score, 9) DESC, doc LIMIT 10")(lambda v: rt.best(lexical(v).withColumn("score", F.round("score", 9)), 10).select("doc"))
-query("sink.index_fts", f"""SELECT lane, count(*) AS postings, count(DISTINCT term) AS terms, CAST(sum(tf) AS BIGINT) AS occurrences FROM (
-    SELECT 'word' AS lane, doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({SEARCHED['word']}) AS term FROM documents) GROUP BY ALL) GROUP BY lane""")(
-    lambda v: ft.postings(v.documents, "doc_id", "text", ("word",)).groupBy("lane").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("occurrences")))
-query("fts.phrase", r"SELECT doc_id AS doc FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ', ' of the ')")(lambda v: ft.phrase(v.documents, "doc_id", "text", ["of", "the"]))
-query("fts.prefix", r"SELECT doc_id AS doc FROM documents WHERE len([t for t in regexp_extract_all(lower(text), '[\p{L}\p{N}]+') if starts_with(t, 'thin')]) > 0")(lambda v: ft.prefix(v.documents, "doc_id", "text", "thin"))
+query("fts.phrase", r"SELECT doc_id AS doc FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ', ' of the ')")(lambda v: index_of(v.documents, "doc_id", "text").search('"of the"').select("doc"))
+query("fts.prefix", r"SELECT doc_id AS doc FROM documents WHERE len([t for t in regexp_extract_all(lower(text), '[\p{L}\p{N}]+') if starts_with(t, 'thin')]) > 0")(lambda v: index_of(v.documents, "doc_id", "text").search("thin*").select("doc"))
 
 REC = "pow(2.0, -(1706745600 - created_at) / 604800.0)"
 query("fn.recency", f"SELECT evidence_id, round({REC}, 6) AS recency FROM evidence")(lambda v: v.evidence.select("evidence_id", F.round(rt.recency(AS_OF, F.col("created_at")), 6).alias("recency")))

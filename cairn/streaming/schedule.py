@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -158,3 +159,43 @@ def plain_ticks(commands: list[tuple[str, str, int | None, int]], clock: list[in
 def _row(plan: Plan, now: int, longest: int) -> tuple:
     due, missed, failures = plan.tick(now, longest)
     return due, now, missed, failures
+
+
+def replay(commands: DataFrame, until: int, longest: int = 3_600_000) -> DataFrame:
+    """``(instance, due, at, missed, failures)`` of a finished table of commands, as if the clock had stood at every moment up to ``until``: no tick is late.
+
+    Commands come sorted by instance and time; a task holds one plan.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, plan = None, None
+        for b in batches:
+            out: list[tuple] = []
+            for i, kind, interval, at in zip(*(b.column(c).to_pylist() for c in ("instance", "kind", "interval", "at")), strict=True):
+                if i != name:
+                    out += _until(name, plan, until, longest)
+                    name, plan = i, None
+                if at > until:
+                    continue
+                out += _until(name, plan, at - 1, longest)
+                plan = command(plan, kind, interval, at, longest)
+            yield _ticks(out)
+        yield _ticks(_until(name, plan, until, longest))
+
+    named = commands.select(F.col("instance").cast("string").alias("instance"), "kind", F.col("interval").cast("bigint").alias("interval"), F.col("at").cast("bigint").alias("at")).where("instance IS NOT NULL AND at IS NOT NULL AND kind IS NOT NULL")
+    return named.repartition("instance").sortWithinPartitions("instance", "at", "kind").mapInArrow(run, TICK)
+
+
+def _until(name: str | None, plan: Plan | None, until: int, longest: int) -> list[tuple]:
+    out = []
+    while plan is not None and plan.due <= until:
+        now = plan.due
+        due, missed, failures = plan.tick(now, longest)
+        out.append((name, due, now, missed, failures))
+    return out
+
+
+def _ticks(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["instance", "due", "at", "missed", "failures"])
