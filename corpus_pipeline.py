@@ -10,7 +10,8 @@
 All stages but the last return the columns of ``documents``. A stage's output is written to
 the shared folder, and the next one reads it from there: a lost executor repeats tasks of
 one stage, never the stages before it. What a stage wrote for itself is deleted when a later
-stage starts on documents that don't come from it.
+stage starts and nobody holds what the earlier one returned any more (a frame made from it
+doesn't count: keep the stage's own). The shards of the last stage are its result and stay.
 
 Nulls, empty and repeated rows: no text or no letter is no language, so such a row goes in stage
 1; to the other stages an empty text is a text, and null counts as empty. Repeated rows are near
@@ -20,6 +21,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.llm import decontaminate, language, mixing, simhash, token_shards
@@ -35,17 +38,22 @@ def _whole(docs: DataFrame, *own: str) -> DataFrame:
     return docs.select(*own, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
 
 
-_SPENT: list[Scratch] = []
+_SPENT: list[tuple[Scratch, weakref.ref]] = []
 
 
-def _own(spark: SparkSession, docs: DataFrame, job: str) -> Scratch:
-    """A stage's own tables; those of stages before it go, unless ``docs`` still reads them."""
+def _sweep(docs: DataFrame) -> None:
+    """Tables of an earlier stage go once nobody holds what it returned and ``docs`` doesn't read them."""
     read = docs.inputFiles()
-    for old in [s for s in _SPENT if not any(s.root.rsplit("/", 1)[-1] in f for f in read)]:
-        old.discard()
-        _SPENT.remove(old)
-    _SPENT.append(Scratch(spark, job))
-    return _SPENT[-1]
+    for old, held in list(_SPENT):
+        if held() is None and not any(old.root.rsplit("/", 1)[-1] in f for f in read):
+            old.discard()
+            _SPENT.remove((old, held))
+
+
+def _until_read(out: DataFrame, scratch: Scratch) -> DataFrame:
+    """What a stage returns: as long as somebody holds it, its tables stay."""
+    _SPENT.append((scratch, weakref.ref(out)))
+    return out
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,25 +65,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of near copies (five words, similarity 0.8), that of the smallest id; repeated rows and rows without an id are copies like any other."""
-    rows, stays = simhash.near_copies(docs, _own(spark, docs, "near-dedup"))
-    return rows.join(stays, "row", "left_semi").select("doc.*")
+    _sweep(docs)
+    scratch = Scratch(spark, "near-dedup")
+    rows, stays = simhash.near_copies(docs, scratch)
+    return _until_read(rows.join(stays, "row", "left_semi").select("doc.*"), scratch)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
-    _own(spark, docs, "decontaminate")
+    _sweep(docs)
     seen = decontaminate.scan_documents(_whole(docs, "text"), table(spark, sf_dir, "benchmark"), carry=("doc",))
     return seen.where(~F.col("contaminated")).select("doc.*")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of sources that are below their target weight, by whole scheduled blocks."""
+    _sweep(docs)
     return mixing.mix_sources(_whole(docs, "doc_id", "source"), carry=["doc"]).select("doc.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences of all documents, by slot of the training order, from the shards as written."""
-    return token_shards.materialise(token_shards.training_order(docs, carry=["doc_id", "lang", "source"]), _own(spark, docs, "token-shards"))
+    _sweep(docs)
+    # the shards are the result: they stay
+    return token_shards.materialise(token_shards.training_order(docs, carry=["doc_id", "lang", "source"]), Scratch(spark, "token-shards"))
 
 
 STAGES = [("language", language_stage), ("near_dedup", near_dedup_stage), ("decontaminate", decontaminate_stage), ("mix", mix_stage), ("tokens", token_stage)]
