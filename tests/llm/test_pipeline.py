@@ -67,3 +67,19 @@ def test_run_decodes_to_documents_that_all_stages_kept(spark, sf_dir):
     copies = ids.count(end)
     if copies == 1:
         assert tool.decode(ids[:-1]) == texts[one]
+
+
+def test_two_runs_in_one_session(spark, sf_dir):
+    """The first result is read last."""
+    first, second = cp.run(spark, sf_dir), cp.run(spark, sf_dir)
+    assert second.count() == first.count() > 0
+    assert sorted(r["slot"] for r in first.select("slot").collect()) == list(range(first.count()))
+
+
+def test_stages_alone_delete_nothing_that_is_held(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = cp.near_dedup_stage(spark, docs, sf_dir)
+    cp.decontaminate_stage(spark, docs, sf_dir)
+    again = cp.near_dedup_stage(spark, docs, sf_dir)
+    cp.token_stage(spark, docs, sf_dir)
+    assert kept.count() == again.count() > 0
