@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cairn import registry
-from cairn.plans import cultural_queries, engine_queries, evidence_queries, extra_queries, governance_queries, graph_queries, memory_queries, search_queries, stateful_queries, text_queries  # noqa: F401  registers its queries
+from cairn.plans import cultural_queries, engine_queries, evidence_queries, extra_queries, governance_queries, graph_queries, judging_queries, memory_queries, search_queries, stateful_queries, text_queries  # noqa: F401  registers its queries
 
 
 def queries() -> dict:

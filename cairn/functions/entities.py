@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cairn.operators.relational import spread
+
 # The shapes of identifiers, in order of precedence.
 
 
@@ -73,9 +75,11 @@ def typed_entities(texts: DataFrame, id_column: str = "doc_id") -> DataFrame:
     def of(place: int, family: Family) -> Column:
         return F.transform(found(F.col("text"), family.name), lambda c: F.struct(F.lit(place).alias("place"), F.lit(family.name).alias("family"), c.alias("content"), F.lit(family.confidence).alias("confidence")))
 
-    each = F.concat(*map(of, range(len(FAMILIES)), FAMILIES))
-    rows = texts.select(id_column, F.explode(each).alias("e")).select(id_column, "e.*")
-    return rows.groupBy(id_column, "content").agg(F.min(F.struct("place", "family", "confidence")).alias("first")).select(id_column, "content", "first.*")
+    # by content, then family: of equal contents the first one stays, and no text's entities leave its row
+    each = F.array_sort(F.transform(F.concat(*map(of, range(len(FAMILIES)), FAMILIES)), lambda e: F.struct(e["content"].alias("content"), e["place"].alias("place"), e["family"].alias("family"), e["confidence"].alias("confidence"))))
+    rows = spread(texts.select(id_column, "text")).select(id_column, each.alias("e"))
+    first = F.filter("e", lambda x, i: (i == 0) | (F.get("e", i - 1)["content"] != x["content"]))
+    return rows.select(id_column, F.explode(first).alias("e")).select(id_column, "e.*")
 
 
 def ambiguous(text: Column) -> Column:

@@ -6,6 +6,7 @@ All are built-in expressions, so that they stay inside generated code.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -47,23 +48,40 @@ def whole_word(words: list[str]) -> str:
 
 def is_noise(text: Column) -> Column:
     """Nothing, a short text without a digit, or a greeting."""
-    low = F.lower(F.trim(text))
+    return _noise(F.lower(F.trim(text)))
+
+
+def _noise(low: Column) -> Column:
     return (low == "") | ((F.length(low) < MIN_SIGNAL) & ~low.rlike("[0-9]")) | low.isin(NOISE_TOKENS + NOISE_PHRASES)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, in which the value is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _class(low: Column, words: list[str], value: int) -> Column:
-    """value if the first keyword of the list is there, one less if a negation is near it, else null."""
+    """value if the first keyword of the list is there, one less if a negation is near it, else null.
+
+    The text is searched once; what stands there is then read from the few characters behind the place.
+    """
     pattern = whole_word(words)
-    found = F.regexp_extract(low, pattern, 2)
-    at = F.regexp_instr(low, F.lit(pattern)) + F.length(F.regexp_extract(low, pattern, 1))
-    around = F.concat(low.substr(F.greatest(at - NEGATION_WINDOW, F.lit(1)), F.least(F.lit(NEGATION_WINDOW), at - 1)), F.lit(" | "), low.substr(at + F.length(found), F.lit(NEGATION_WINDOW)))
-    return F.when(low.rlike(pattern), F.when(around.rlike(whole_word(NEGATIONS)), value - 1).otherwise(value))
+    reach = max(map(len, words)) + 2  # a keyword and what stands on both sides
+
+    def judge(place: Column) -> Column:
+        head = low.substr(place, F.lit(reach))
+        size = F.length(F.regexp_extract(head, pattern, 2))
+        at = place + F.length(F.regexp_extract(head, pattern, 1))
+        around = F.concat(low.substr(F.greatest(at - NEGATION_WINDOW, F.lit(1)), F.least(F.lit(NEGATION_WINDOW), at - 1)), F.lit(" | "), low.substr(at + size, F.lit(NEGATION_WINDOW)))
+        return F.when(place > 0, F.when(around.rlike(whole_word(NEGATIONS)), value - 1).otherwise(value))
+
+    return once(F.regexp_instr(low, F.lit(pattern)), judge)
 
 
 def importance(text: Column) -> Column:
     """3 critical, 2 important, 1 useful, 0 noise. Windows for negation are in characters."""
-    low = F.lower(F.trim(text))
-    return F.when(is_noise(text), 0).otherwise(F.coalesce(_class(low, CRITICAL_KEYWORDS, 3), _class(low, IMPORTANT_KEYWORDS, 2), F.lit(1)))
+    judge = lambda low: F.coalesce(_class(low, CRITICAL_KEYWORDS, 3), _class(low, IMPORTANT_KEYWORDS, 2), F.lit(1))
+    return once(F.lower(F.trim(text)), lambda low: F.when(_noise(low), 0).otherwise(judge(low)))
 
 
 def negated(text: Column) -> Column:
@@ -140,9 +158,14 @@ def snippet(text: Column, most: int = 160) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
+def raw_sentences(text: Column) -> Column:
+    """Sentences as they stand, each with what ends it."""
+    return F.regexp_extract_all(text, F.lit(f"[^{SENTENCE_END}]*[{SENTENCE_END}]|[^{SENTENCE_END}]+$"), 0)
+
+
 def sentences(text: Column) -> Column:
     """``(text, terminator)`` of each sentence, without empty ones."""
-    raw = F.regexp_extract_all(text, F.lit(f"[^{SENTENCE_END}]*[{SENTENCE_END}]|[^{SENTENCE_END}]+$"), 0)
+    raw = raw_sentences(text)
     cut = F.transform(raw, lambda s: F.struct(F.trim(F.regexp_replace(s, f"[{SENTENCE_END}]$", "")).alias("text"), F.regexp_extract(s, f"[{SENTENCE_END}]$", 0).alias("terminator")))
     return F.filter(cut, lambda s: s["text"] != "")
 

@@ -6,11 +6,10 @@ none. A question goes before a decision, a decision before a task, a task before
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions import lookup as lk, text as tx
+from cairn.operators.relational import spread
 
 # Words that tell decisions and tasks, and verbs that open a task, by language.
 DECISIONS = {
@@ -43,19 +42,30 @@ VERBS = {
 SURE = {"question": 0.7, "decision": 0.75, "task": 0.7, "fact": 0.5}
 
 
-def _of(table: dict[str, list[str]], language: Column) -> Column:
-    words = F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "map<string,array<string>>")
-    return F.coalesce(words[language], words["en"])
+def _said(low: Column, table: dict[str, list[str]], language: Column) -> Column:
+    """Whether one of a language's words is there: one pattern for each language, chosen by its tag."""
+    out = None
+    for tag, words in table.items():
+        if words and tag != "en":
+            hit = low.rlike(tx.any_of(words))
+            out = F.when(language == tag, hit) if out is None else out.when(language == tag, hit)
+    return out.otherwise(low.rlike(tx.any_of(table["en"])))
 
 
-def kind(sentence: Column, terminator: Column, language: Column) -> Column:
-    """question, decision, task or fact; null if it is none of these."""
-    low = F.lower(sentence)
-    has = lambda table: F.exists(_of(table, language), lambda w: F.contains(low, w))
+def _opens(low: Column, language: Column) -> Column:
+    """Whether a sentence begins with a verb of its language that opens a task."""
     first = tx.first_token(low)
-    opens = F.array_contains(_of(VERBS, language), first) | ((language == "ar") & lk.in_table(first, VERBS["ar"], lk.ARABIC_CLITICS))
+    out = F.when(language == "ar", lk.in_table(first, VERBS["ar"], lk.ARABIC_CLITICS))
+    for tag, words in VERBS.items():
+        if tag not in ("en", "ar"):
+            out = out.when(language == tag, first.isin(words) if words else F.lit(False))
+    return out.otherwise(first.isin(VERBS["en"]))
+
+
+def kind(sentence: Column, low: Column, terminator: Column, language: Column) -> Column:
+    """question, decision, task or fact; null if it is none of these. low: the sentence in lower case."""
     return (
-        F.when(terminator.isin("?", "？", "؟"), "question").when(has(DECISIONS), "decision").when(has(TASKS) | opens, "task")
+        F.when(terminator.isin("?", "？", "؟"), "question").when(_said(low, DECISIONS, language), "decision").when(_said(low, TASKS, language) | _opens(low, language), "task")
         .when((F.octet_length(sentence) >= 6) & tx.fact_shaped(sentence), "fact")
     )
 
@@ -65,8 +75,13 @@ def observations(texts: DataFrame, id_column: str = "doc_id", language: str = "l
 
     A null text has none; a null language, or one without a lexicon, is read as English.
     """
-    rows = texts.select(id_column, F.substring_index(F.lower(F.coalesce(language, F.lit("en"))), "-", 1).alias("tag"), F.explode(tx.sentences(F.col("text"))).alias("s"))
-    found = rows.select(id_column, kind(F.col("s.text"), F.col("s.terminator"), F.col("tag")).alias("kind"), F.col("s.text").alias("content")).where("kind is not null")
+    tag = F.substring_index(F.lower(F.coalesce(language, F.lit("en"))), "-", 1)
+    rows = spread(texts.select(id_column, tag.alias("tag"), "text")).select(id_column, "tag", F.explode(tx.raw_sentences(F.col("text"))).alias("raw"))
+    # each step is a column of its own, so that nothing is worked out twice
+    rows = rows.select(id_column, "tag", "raw", F.regexp_extract("raw", f"[{tx.SENTENCE_END}]$", 0).alias("end"))
+    rows = rows.select(id_column, "tag", "end", F.trim(F.expr("left(raw, length(raw) - length(end))")).alias("content")).where("content <> ''")
+    rows = rows.select(id_column, "tag", "end", "content", F.lower("content").alias("low"))
+    found = rows.select(id_column, kind(F.col("content"), F.col("low"), F.col("end"), F.col("tag")).alias("kind"), "content").where("kind is not null")
     sure = F.create_map(*[x for k, v in SURE.items() for x in (F.lit(k), F.lit(v))])
     return found.select(id_column, "kind", "content", sure[F.col("kind")].alias("confidence"))
 

@@ -74,3 +74,14 @@ def numbered(frame: DataFrame, order: list[str], scratch: Scratch, name: str = "
 def count_where(name: str, condition: Column) -> Column:
     """A counter of the rows that meet a condition."""
     return F.count_if(F.coalesce(condition, F.lit(False))).alias(name)
+
+
+def spread(frame: DataFrame, share: int = 16 << 20) -> DataFrame:
+    """Rows for work that is dear for each of them: an input too small for a share of bytes on each core is dealt out to all cores first.
+
+    A file's row group is read by one task, so a small table would be worked on by one core.
+    A larger one stays where it is read; nothing of it is shuffled.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return frame.repartition(cores) if int(str(size)) < share * cores else frame

@@ -56,11 +56,6 @@ def expanded(spark):
     return groups.join(groups.withColumnRenamed("term", "other"), "g").groupBy("term").agg(F.array_sort(F.collect_set("other")).alias("all"))
 
 
-query("set.synonyms", f"SELECT a.term, array_to_string(list_sort(list(DISTINCT b.term)), '|') AS synonyms FROM ({_GROUPS}) a JOIN ({_GROUPS}) b ON a.g = b.g GROUP BY a.term")(lambda v: expanded(v.spark).select("term", F.array_join("all", "|").alias("synonyms")))
-query("set.are_synonyms", f"SELECT DISTINCT a.term AS a, b.term AS b FROM ({_GROUPS}) a JOIN ({_GROUPS}) b ON a.g = b.g WHERE a.term < b.term")(
-    lambda v: expanded(v.spark).select(F.col("term").alias("a"), F.explode("all").alias("b")).where("a < b"))
-query("set.fts_expand", f"""SELECT a.term, array_to_string(['"' || x || '"' for x in list_sort(list(DISTINCT b.term))], ' OR ') AS query FROM ({_GROUPS}) a JOIN ({_GROUPS}) b ON a.g = b.g GROUP BY a.term""")(
-    lambda v: expanded(v.spark).select("term", F.array_join(F.transform("all", tx.escape_query), " OR ").alias("query")))
 INTERROGATIVES = {"en": ["who", "what", "when", "where", "why", "how", "which"], "de": ["wer", "was", "wann", "wo", "warum", "wie"], "fr": ["qui", "que", "quand", "où", "pourquoi", "comment"], "es": ["quién", "qué", "cuándo", "dónde", "por", "cómo"]}
 query("txt.interrogatives", "SELECT doc_id, CASE lang " + " ".join(f"WHEN '{k}' THEN lower(regexp_extract(text, '\\p{{L}}+')) IN {_in(w)}" for k, w in INTERROGATIVES.items()) + " ELSE false END AS asks FROM documents")(
     lambda v: v.documents.select("doc_id", F.coalesce(F.array_contains(F.from_json(F.lit(json.dumps(INTERROGATIVES)), "map<string,array<string>>")[F.col("lang")], F.lower(tx.first_token(F.col("text")))), F.lit(False)).alias("asks")))
@@ -87,11 +82,6 @@ query("win.missing_entities", r"SELECT doc_id, array_to_string(list_sort(list_di
     lambda v: v.texts.select("doc_id", F.array_join(F.slice(F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), 0), lambda t: t.rlike("[0-9]") & (F.length(t) >= 5)))), 1, 15), "|").alias("missing")))
 _DOMAIN = {"finance": ["iban", "isin", "swift_bic", "lei", "ticker"], "health": ["icd10", "ndc"], "legal": ["patent", "case_number"], "commerce": ["sku", "serial", "asin", "purchase_order", "invoice"], "contact": ["phone", "ip"], "quantity": ["currency", "measurement"]}
 _PAIRS = [(f, d) for d, fs in _DOMAIN.items() for f in fs]
-query("sec.id_domain", "SELECT family, domain FROM (VALUES " + ", ".join(f"('{f}', '{d}')" for f, d in _PAIRS) + ") t(family, domain)")(
-    lambda v: v.spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(_DOMAIN)), "map<string,array<string>>")).alias("domain", "families")).select(F.explode("families").alias("family"), "domain"))
-query("sec.heuristic_refine", "SELECT doc_id, place, CASE WHEN substr(label, 3) = 'ORG' AND place % 2 = 0 THEN 'product' ELSE lower(substr(label, 3)) END AS kind FROM labels_bio WHERE label <> 'O'")(
-    lambda v: v.labels_bio.where("label <> 'O'").select("doc_id", "place", F.when((F.substring("label", 3, 9) == "ORG") & (F.col("place") % 2 == 0), "product").otherwise(F.lower(F.substring("label", 3, 9))).alias("kind")))
-query("sec.apply_refinement", "SELECT id, CASE WHEN confidence >= 0.7 THEN 'refined' ELSE kind END AS kind FROM proposals")(lambda v: v.proposals.select("id", F.when(F.col("confidence") >= 0.7, "refined").otherwise(F.col("kind")).alias("kind")))
 
 # ---- the rest of the thin operators
 

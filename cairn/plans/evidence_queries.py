@@ -95,8 +95,6 @@ query("sink.record_tombstone", "SELECT scope_id, min(forgotten_at) AS forgotten_
 query("sec.epoch_tombstone", "SELECT scope_id, epoch_id, min(forgotten_at) AS forgotten_at FROM epoch_tombstones GROUP BY 1, 2")(
     lambda v: ev.record_tombstones(v.epoch_tombstones, v.epoch_tombstones, ("scope_id", "epoch_id")))
 query("sink.audit_append", "SELECT row_number() OVER (ORDER BY moment, id) AS sequence, id FROM audit")(lambda v: numbered(v.audit, ["moment", "id"], Scratch(v.spark, "sequence")).select("sequence", "id"))
-query("sink.audit_pg_append", "SELECT id, min(actor) AS actor FROM (SELECT id, actor FROM audit UNION ALL SELECT id, actor FROM audit WHERE id % 3 = 0) GROUP BY id")(
-    lambda v: v.audit.select("id", "actor").union(v.audit.where("id % 3 = 0").select("id", "actor")).dropDuplicates(["id"]))
 
 # ---- filters on evidence
 

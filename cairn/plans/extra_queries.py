@@ -44,8 +44,6 @@ query("lc.tenant_no_passive_decay", "SELECT id, observation_type <> 'purchase' A
 query("sec.mem_add_observation", "SELECT id, state FROM memory UNION ALL SELECT 'obs-' || CAST(id AS VARCHAR), 'candidate' FROM observations")(
     lambda v: v.memory.select("id", "state").union(v.observations.select(F.concat(F.lit("obs-"), F.col("id").cast("string")), F.lit("candidate"))))
 query("sec.admit_document", "SELECT document_id FROM approved_docs UNION SELECT document_id FROM citations")(lambda v: v.approved_docs.select("document_id").union(v.citations.select("document_id")).distinct())
-query("sec.prompt_build", "SELECT scope_id, md5('Summarise:' || chr(10) || string_agg(body, chr(10) ORDER BY occurred_at, id)) AS digest FROM observations GROUP BY scope_id")(
-    lambda v: v.observations.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "id", "body"))).alias("o")).select("scope_id", F.md5(F.concat(F.lit("Summarise:\n"), F.array_join(F.transform("o", lambda x: x["body"]), "\n"))).alias("digest")))
 query("sec.metrics_snapshot", "SELECT 'evidence' AS metric, count(*) AS value FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'nodes', count(*) FROM nodes")(
     lambda v: v.documents.agg(F.lit("evidence").alias("metric"), F.count("*").alias("value")).union(v.events.agg(F.lit("events"), F.count("*"))).union(v.nodes.agg(F.lit("nodes"), F.count("*"))))
 query("agg.obs_eval")(lambda v: obs_eval(v))
@@ -62,7 +60,6 @@ query("nest.json_pretty", """SELECT event_id, '{' || chr(10) || '  "k": ' || reg
 query("scan.fetched_content", r"""SELECT page_id, 'text/html' AS mime, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
     trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS body, url AS source_url FROM pages""")(
     lambda v: v.pages.select("page_id", documents.fetched(F.col("html"), F.col("url")).alias("f")).select("page_id", "f.*"))
-query("sink.save_memory_blob", "SELECT scope_id, observation_type, count(*) AS objects FROM memory GROUP BY 1, 2")(lambda v: v.memory.groupBy("scope_id", "observation_type").agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "state")))).alias("blob")).select("scope_id", "observation_type", F.size(F.from_json("blob", "array<struct<id:string,state:string>>")).cast("bigint").alias("objects")))
 
 
 def tx_window():

@@ -66,8 +66,6 @@ query("graph.permission_check", f"""WITH RECURSIVE gives AS ({_GIVES}), held(obj
     SELECT t.object_id, t.subject_type, t.subject_id, t.subject_relation FROM tuples t JOIN gives g ON g.held = t.relation AND g.given = 'editor' WHERE t.object_type = 'scope'
     UNION SELECT h.object_id, t.subject_type, t.subject_id, t.subject_relation FROM held h JOIN tuples t ON t.object_type = h.type AND t.object_id = h.id JOIN gives g ON g.held = t.relation AND g.given = h.relation)
     SELECT DISTINCT object_id, id AS subject_id FROM held WHERE relation IS NULL AND type = 'user'""")(lambda v: gov.reachable(v.tuples, "scope", "editor", Scratch(v.spark, "permissions")))
-query("graph.permission_closure", f"SELECT held, given FROM ({_GIVES})")(lambda v: v.spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(h).alias("held"), F.lit(g).alias("given")) for h, gs in gov.IMPLIES.items() for g in gs])).alias("p")).select("p.*"))
-query("sec.ns_implies", f"SELECT held FROM ({_GIVES}) WHERE given = 'member'")(lambda v: v.spark.range(1).select(F.explode(F.array(*map(F.lit, gov.covering("member")))).alias("held")))
 query("sec.tuple_insert", "SELECT DISTINCT object_type, object_id, relation, subject_type, subject_id, subject_relation FROM tuples")(lambda v: v.tuples.union(v.tuples).distinct())
 query("sec.tuple_contains", "SELECT object_id, count(*) > 0 AS present FROM tuples WHERE object_type = 'group' AND relation = 'member' AND subject_type = 'user' AND subject_id = 'user7' GROUP BY object_id")(
     lambda v: where_equal(v.tuples, object_type="group", relation="member", subject_type="user", subject_id="user7").groupBy("object_id").agg((F.count("*") > 0).alias("present")))
@@ -87,14 +85,11 @@ query("join.acl_revoke", "SELECT object_id, subject_id FROM tuples t WHERE NOT E
     lambda v: v.tuples.join(v.audit.where("action = 'error'").select(F.col("actor").alias("subject_id")).distinct(), "subject_id", "left_anti").select("object_id", "subject_id"))
 query("join.acl_sync", "SELECT scope_id, actor, action FROM audit WHERE action IN ('signup', 'error') QUALIFY row_number() OVER (PARTITION BY scope_id, actor ORDER BY moment DESC, id DESC) = 1")(
     lambda v: gov.last_change(v.audit.where("action IN ('signup', 'error')"), ["scope_id", "actor"], ["moment", "id"]).select("scope_id", "actor", "action"))
-query("lc.tenant_states", "SELECT a AS from_state, b AS to_state, (a = 'active' AND b IN ('suspended', 'deleted')) OR (a = 'suspended' AND b IN ('active', 'deleted')) AS legal FROM (VALUES ('active'), ('suspended'), ('deleted')) x(a), (VALUES ('active'), ('suspended'), ('deleted')) y(b)")(
-    lambda v: v.spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("from_state"), F.lit(b).alias("to_state")) for a in ("active", "suspended", "deleted") for b in ("active", "suspended", "deleted")])).alias("p")).select("p.*").withColumn("legal", ((F.col("from_state") == "active") & F.col("to_state").isin("suspended", "deleted")) | ((F.col("from_state") == "suspended") & F.col("to_state").isin("active", "deleted"))))
 query("sec.tenant_suspend", "SELECT tenant_id, CASE WHEN arg_max(action, (moment, id)) = 'error' THEN 'suspended' ELSE 'active' END AS status, min(moment) FILTER (WHERE action = 'error') AS first_suspended FROM audit WHERE action IN ('error', 'signup') GROUP BY tenant_id")(
     lambda v: gov.tenant_status(v.audit.where("action IN ('error', 'signup')").select("tenant_id", F.when(F.col("action") == "error", "suspend").otherwise("resume").alias("kind"), "moment", "id")))
 query("sec.tenant_members", "SELECT DISTINCT tenant_id, actor FROM audit WHERE tenant_id = '2'")(lambda v: where_equal(v.audit, tenant_id="2").select("tenant_id", "actor").distinct())
 query("sec.tenant_role", "SELECT actor, arg_max(action, (moment, id)) AS role FROM audit GROUP BY actor")(lambda v: latest(v.audit.select("actor", F.col("action").alias("role"), "moment", "id"), ["actor"], ["moment", "id"]).select("actor", "role"))
 query("sec.tenant_list", "SELECT tenant_id, min(moment) AS created_at FROM audit GROUP BY tenant_id")(lambda v: v.audit.groupBy("tenant_id").agg(F.min("moment").alias("created_at")))
-query("sec.scim_role_parse", "SELECT DISTINCT object_id, split_part(object_id, 'n', 1) AS prefix FROM tuples WHERE object_type = 'group'")(lambda v: where_equal(v.tuples, object_type="group").select("object_id", F.substring_index("object_id", "n", 1).alias("prefix")).distinct())
 
 # ---- replicas
 
@@ -169,9 +164,6 @@ query("fn.quota_normalise", "SELECT id, CASE WHEN status - 300 <= 0 THEN 60 ELSE
 query("fn.sync_backoff", "SELECT id, least(30 * pow(2, id % 9), 3600) AS delay FROM requests")(lambda v: v.requests.select("id", F.least(30 * F.pow(F.lit(2.0), F.col("id") % 9), F.lit(3600.0)).alias("delay")))
 query("sec.audit_record", "SELECT sequence, id, action FROM audit WHERE action = 'purchase'")(lambda v: where_equal(v.audit, action="purchase").select("sequence", "id", "action"))
 query("sec.storage_soft_cap", "SELECT scope_id, sum(size_bytes) > 100000 AS over FROM evidence GROUP BY scope_id")(lambda v: v.evidence.groupBy("scope_id").agg((F.sum("size_bytes") > 100000).alias("over")))
-query("sec.sim_verify", "SELECT scenario_id, bool_and(passed) AS verified FROM turns GROUP BY scenario_id")(lambda v: v.turns.groupBy("scenario_id").agg(F.bool_and("passed").alias("verified")))
 query("sec.sim_isolation", "SELECT scope_id, count(*) AS leaks FROM evidence e JOIN (SELECT content_hash, arg_min(scope_id, (created_at, evidence_id)) AS home FROM evidence GROUP BY 1) h USING (content_hash) WHERE scope_id <> home GROUP BY scope_id")(
     lambda v: gov.leaks(v.evidence))
-query("sec.sim_forget", "SELECT count(*) AS hits FROM evidence WHERE scope_id IN (SELECT scope_id FROM forgotten) AND scope_id NOT IN (SELECT scope_id FROM forgotten)")(lambda v: without(v.evidence.join(v.forgotten.select("scope_id"), "scope_id", "left_semi"), v.forgotten, ["scope_id"]).agg(F.count("*").alias("hits")))
-query("sec.perf_gate", "SELECT route, avg(seconds) > 1.1 * 0.5 AS regressed FROM requests GROUP BY route")(lambda v: v.requests.groupBy("route").agg((F.avg("seconds") > 1.1 * 0.5).alias("regressed")))
 query("sec.provider_key", "SELECT DISTINCT split_part(split_part(source_url, '://', 2), '/', 1) AS host FROM citations")(lambda v: v.citations.select(F.substring_index(F.substring_index("source_url", "://", -1), "/", 1).alias("host")).distinct())

@@ -107,9 +107,6 @@ query("graph.adjudicate", f"""WITH e AS {_CASE}, d AS (SELECT id, min(t) AS t FR
     SELECT d.id, CASE WHEN r.t IS NOT NULL THEN 'resolved' WHEN u.t IS NOT NULL THEN 'under_review' ELSE 'detected' END AS state, n - 1 - CASE WHEN r.t IS NULL THEN 0 ELSE 1 END - CASE WHEN u.t IS NULL THEN 0 ELSE 1 END AS refused
     FROM d LEFT JOIN r ON r.id = d.id LEFT JOIN u ON u.id = d.id JOIN (SELECT id, count(*) AS n FROM e GROUP BY id) c ON c.id = d.id""")(
     lambda v: gr.adjudicate(v.audit.select(F.col("actor").alias("id"), F.when(F.col("action") == "signup", "detect").when(F.col("action") == "click", "review").when(F.col("action") == "purchase", "resolve").alias("kind"), F.struct("moment", "id").alias("t")).where("kind is not null")))
-query("sec.adj_detect", "SELECT actor, min(moment) AS detected_at FROM audit GROUP BY actor")(lambda v: v.audit.groupBy("actor").agg(F.min("moment").alias("detected_at")))
-query("sec.adj_review", "SELECT id, lag(action) OVER (PARTITION BY actor ORDER BY moment, id) = 'view' AND action = 'click' AS legal FROM audit")(
-    lambda v: v.audit.select("id", ((F.lag("action").over(gr.Window.partitionBy("actor").orderBy("moment", "id")) == "view") & (F.col("action") == "click")).alias("legal")))
 
 # ---- planning
 
@@ -124,7 +121,6 @@ def planned(v):
 
 query("txt.plan", f"SELECT doc_id, class, {_CHAIN} AS chain FROM (SELECT doc_id, {QCLASS} AS class FROM texts)")(planned)
 query("txt.explain", f"SELECT DISTINCT class, 'class ' || class || ': ' || {_CHAIN} AS rationale FROM (SELECT {QCLASS} AS class FROM texts)")(lambda v: planned(v).select("class", F.concat(F.lit("class "), "class", F.lit(": "), "chain").alias("rationale")).distinct())
-query("fn.route_cost", "SELECT mode, cost FROM (VALUES ('summary', 0), ('fts', 1), ('semantic_vector', 2), ('graph_traversal', 3), ('raw_evidence', 4)) t(mode, cost)")(lambda v: v.spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(c).alias("cost")) for m, c in tx.COST.items()])).alias("p")).select("p.*"))
 
 
 def traces(v):
@@ -138,8 +134,6 @@ query("agg.pattern_best", f"SELECT class, chain FROM {_PATTERN} QUALIFY row_numb
 query("sec.plan_execute", f"SELECT actor AS id, class, list_position(steps, 'purchase') AS answered_at FROM {_TRACE} WHERE list_contains(steps, 'purchase')")(
     lambda v: traces(v).select("id", "class", F.array_position(F.transform("steps", lambda s: s["ok"]), True).alias("answered_at")).where("answered_at > 0"))
 query("sec.trace_record", f"SELECT actor AS id, len(steps) AS attempts FROM {_TRACE}")(lambda v: traces(v).select("id", F.size("steps").cast("bigint").alias("attempts")))
-query("flt.promotion", "SELECT id, CASE WHEN sensitivity IN ('noise', 'useful') THEN 'below_importance_floor' WHEN corroboration_count < 3 THEN 'insufficient_corroboration' WHEN CAST(scope_id AS BIGINT) % 10 > 6 THEN 'batch_too_noisy' ELSE 'promoted' END AS reason FROM memory")(
-    lambda v: v.memory.select("id", F.when(F.col("sensitivity").isin("noise", "useful"), "below_importance_floor").when(F.col("corroboration_count") < 3, "insufficient_corroboration").when(F.col("scope_id").cast("bigint") % 10 > 6, "batch_too_noisy").otherwise("promoted").alias("reason")))
 
 # ---- synthesis
 
@@ -198,5 +192,3 @@ query("sec.render_prompt_rows", "SELECT scope_id, md5(string_agg('- ' || body, c
     lambda v: v.observations.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("body", "id"))).alias("o")).select("scope_id", F.md5(F.array_join(F.transform("o", lambda x: F.concat(F.lit("- "), x["body"])), "\n")).alias("digest")))
 query("txt.router_score", "SELECT id, 2 * len([t for t in ['germany', 'nation'] if contains(lower(label), t)]) + len([t for t in ['germany', 'nation'] if contains(lower(definition), t)]) AS score FROM nodes")(
     lambda v: v.nodes.select("id", (2 * F.size(F.filter(F.array(F.lit("germany"), F.lit("nation")), lambda t: F.contains(F.lower("label"), t))) + F.size(F.filter(F.array(F.lit("germany"), F.lit("nation")), lambda t: F.contains(F.lower("definition"), t)))).cast("bigint").alias("score")))
-query("win.community_route", "SELECT id FROM nodes WHERE contains(lower(label), 'nation') OR contains(lower(definition), 'nation') ORDER BY CASE WHEN contains(lower(label), 'nation') THEN 2 ELSE 0 END + CASE WHEN contains(lower(definition), 'nation') THEN 1 ELSE 0 END DESC, id LIMIT 5")(
-    lambda v: v.nodes.withColumn("s", F.when(F.lower("label").contains("nation"), 2).otherwise(0) + F.when(F.lower("definition").contains("nation"), 1).otherwise(0)).where("s > 0").orderBy(F.desc("s"), "id").limit(5).select("id"))

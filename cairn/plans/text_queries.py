@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import entities as ent, text as tx
 from cairn.operators import extraction as exr
+from cairn.operators.relational import spread
 from cairn.registry import query
 
 
@@ -38,7 +39,7 @@ def _class(words: list[str], value: int) -> str:
 
 
 IMPORTANCE = f"CASE WHEN {NOISE} THEN 0 ELSE coalesce({_class(tx.CRITICAL_KEYWORDS, 3)}, {_class(tx.IMPORTANT_KEYWORDS, 2)}, 1) END"
-query("txt.importance", f"SELECT doc_id, {IMPORTANCE} AS importance FROM texts")(lambda v: v.texts.select("doc_id", tx.importance(T()).alias("importance")))
+query("txt.importance", f"SELECT doc_id, {IMPORTANCE} AS importance FROM texts")(lambda v: spread(v.texts).select("doc_id", tx.importance(T()).alias("importance")))
 query("txt.is_noise", f"SELECT doc_id, {NOISE} AS noise FROM texts")(lambda v: v.texts.select("doc_id", tx.is_noise(T()).alias("noise")))
 query("txt.whole_word", f"SELECT doc_id, regexp_extract({LOW}, {_q(tx.whole_word(tx.CRITICAL_KEYWORDS + tx.IMPORTANT_KEYWORDS))}, 2) AS keyword FROM texts")(
     lambda v: v.texts.select("doc_id", F.regexp_extract(F.lower(F.trim(T())), tx.whole_word(tx.CRITICAL_KEYWORDS + tx.IMPORTANT_KEYWORDS), 2).alias("keyword")))
