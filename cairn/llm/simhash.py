@@ -304,6 +304,108 @@ def likely_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return list(zip(a[picked].tolist(), b[picked].tolist(), strict=True))
 
 
+def _tiles(members: DataFrame, piece: int, chunk: int) -> DataFrame:
+    """``members`` (key, row, part, ...) dealt into tiles (key, p, r) of at most about ``piece + chunk`` rows.
+
+    In each key the largest part needs no comparison within itself: the others' rows, ``ask``, meet all
+    rows. A row is once in its own piece for each chunk of those that ask, and one that asks
+    is once in its chunk for each piece.
+    """
+    sizes = members.groupBy("key", "part").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    cut = members.join(keys.select("key", "main", F.ceil(F.col("n") / piece).cast("int").alias("ps"), F.ceil((F.col("n") - F.col("most")) / chunk).cast("int").alias("rs")), "key")
+    at = lambda seed, n: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(n)).cast("int")
+    own = F.transform(F.sequence(F.lit(0), F.col("rs") - 1), lambda r: F.struct(at(1, "ps").alias("p"), r.alias("r"), F.lit(False).alias("ask")))
+    asks = F.when(F.col("part") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda p: F.struct(p.alias("p"), at(2, "rs").alias("r"), F.lit(True).alias("ask")))).otherwise(F.array().cast("array<struct<p:int,r:int,ask:boolean>>"))
+    return cut.select(*members.columns, F.explode(F.concat(own, asks)).alias("t")).select(*members.columns, "t.*")
+
+
+def _apart(fps: np.ndarray, sizes: np.ndarray, parts: np.ndarray, ask: np.ndarray, radius: int, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a tile (one that asks, one of its own) of different parts whose fingerprints are near and whose sets' sizes allow the similarity."""
+    q, o = np.flatnonzero(ask), np.flatnonzero(~ask)
+    for at in range(0, len(q), 256):
+        some = q[at : at + 256]
+        near = np.bitwise_count(fps[some][:, None] ^ fps[o][None, :]) <= radius
+        near &= parts[some][:, None] != parts[o][None, :]
+        small, large = np.minimum(sizes[some][:, None], sizes[o][None, :]), np.maximum(sizes[some][:, None], sizes[o][None, :])
+        near &= small >= similar * large
+        a, b = np.nonzero(near)
+        yield some[a], o[b]
+
+
+def missed(members: DataFrame, sets: DataFrame, scratch: Scratch, similar: float, radius: int, piece: int = 2048) -> DataFrame:
+    """``(a, b)``: links between points of one key that aren't in one part yet.
+
+    members: (key, row, fp, part, size of the set). Rows that have a near one of another part are found
+    by fingerprints alone; only these are brought together with their sets. A pair is checked once its
+    parts are apart, the nearest first; links that a tile finds join its parts at once.
+    """
+    order = ["key", "p", "r", "ask", "row"]
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def by_tile(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
+        """``use`` with the columns of each whole tile; rows come in order of tiles."""
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            key, p, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "p", "r"))
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(p) != 0) | (np.diff(r) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if hi == lo:
+                    continue
+                now = (key[lo], p[lo], r[lo])
+                if held and now != last:
+                    yield from use(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                last = now
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from use(pa.Table.from_batches(held).combine_chunks())
+
+    def columns(t: pa.Table) -> tuple[np.ndarray, ...]:
+        return tuple(t.column(c).to_numpy() for c in ("row", "fp", "size", "part", "ask"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def use(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            row, fp, size, part, ask = columns(t)
+            hit = np.zeros(len(row), bool)
+            for a, b in _apart(fp.view(np.uint64), size, part, ask, radius, similar):
+                hit[a] = hit[b] = True
+            if hit.any():
+                rows = np.unique(row[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t.column("key")[0].as_py())), pa.array(rows)], names=["key", "row"])
+
+        return by_tile(batches, use)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def use(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            row, fp, size, part, ask = columns(t)
+            own, links = t.column("sh").to_pylist(), []
+            _, label = np.unique(part, return_inverse=True)
+            for a, b in _apart(fp.view(np.uint64), size, part, ask, radius, similar):
+                for i in np.argsort(np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)), kind="stable").tolist():
+                    x, y = int(a[i]), int(b[i])
+                    if label[x] != label[y] and jaccard(own[x], own[y]) >= similar:
+                        label[label == label[y]] = label[x]
+                        links.append((min(row[x], row[y]), max(row[x], row[y])))
+            if links:
+                found = np.array(links, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        return by_tile(batches, use)
+
+    def dealt(rows: DataFrame, piece: int, chunk: int, *more: str) -> DataFrame:
+        tiles = _tiles(rows, piece, chunk).select(*order, "fp", "part", "size", *more)
+        return tiles.repartition(parts, "key", "p", "r").sortWithinPartitions(*order)
+
+    held = scratch.keep(members, "members")
+    hits = scratch.keep(dealt(held, piece, piece).mapInArrow(find, "key bigint, row bigint").distinct(), "apart")
+    if hits.isEmpty():
+        return scratch.spark.createDataFrame([], "a bigint, b bigint")
+    with_sets = held.join(hits, ["key", "row"]).join(sets.join(hits.select("row").distinct(), "row", "left_semi"), "row")
+    return scratch.keep(dealt(with_sets, max(1, piece // 4), max(1, piece // 4), "sh").mapInArrow(check, "a bigint, b bigint").distinct(), "missed")
+
+
 def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: float = 0.8, radius: int = 24, lot: int = 4096) -> tuple[DataFrame, DataFrame]:
     """``(rows, stays)``: the rows of ``docs`` as a struct ``doc`` with a number ``row``, and the numbers of those that stay, one of each component.
 
@@ -315,8 +417,11 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: fl
     probability 1 - 0.2**6; searched by vantage-point trees in each part within ``radius`` bits (two such
     texts differ in 9.7 on average, with repeated words in up to 17 of those seen); and each
     link is checked exactly.
-    Rows with equal sets are one point. A part of more than ``lot`` points is cut by the
-    other min-hashes of its points, once for each.
+    Rows with equal sets are one point. A first search looks for the nearest of each point in parts
+    of at most ``lot`` points (a larger one is cut by the other min-hashes of its points, once for
+    each) and checks what it finds; that brings most copies together. A second one (``missed``)
+    then takes all points of each whole part again, and checks every pair of it that is near and
+    not together yet, so that no link is lost that any part has.
     """
     carried = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
 
@@ -378,6 +483,10 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: fl
 
     links = scratch.keep(pairs.select("a", "b", alike("sa", "sb").alias("j")).where(F.col("j") >= similar).select("a", "b"), "links")
     parts_of = connected_components(links, "a", "b", scratch)
+    members = each.join(parts_of.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "fp", F.coalesce("component", "row").alias("part"))
+    more = missed(members.join(classes.select(F.col("rep").alias("row"), (F.col("bytes") / 4).cast("int").alias("size")), "row"), rows.select("row", "sh"), scratch, similar, radius)
+    if not more.isEmpty():
+        parts_of = connected_components(links.unionByName(more), "a", "b", scratch)
     best = classes.join(parts_of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
     kept = best.groupBy("group").agg(F.min("first").alias("first"))
     # one row of each group stays; all the others of all its classes go

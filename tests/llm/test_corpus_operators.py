@@ -143,6 +143,35 @@ def brute_near(rows, similar=0.8):
     return [find(x) for x in range(len(rows))]
 
 
+@pytest.mark.parametrize("n, words, lot", [(30, 100, 4096), (200, 100, 4096), (600, 100, 4096), (250, 60, 4096), (300, 100, 64)])
+def test_large_groups_of_near_copies_lose_no_link(spark, n, words, lot):
+    """One text, n copies with up to six words replaced: many pairs are near by their fingerprints and too far apart by their sets."""
+    rng = np.random.default_rng(n)
+    text = [f"w{i}" for i in rng.integers(0, 10_000, words)]
+    rows = []
+    for k in range(n):
+        copy = list(text)
+        for at in rng.choice(words, int(rng.integers(0, 7)), replace=False):
+            copy[at] = f"x{rng.integers(10_000)}"
+        rows.append((k, " ".join(copy)))
+    frame, stays = sim.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), Scratch(spark, "t"), lot=lot)
+    kept = sorted(r["doc_id"] for r in frame.join(stays, "row", "left_semi").select("doc.doc_id").collect())
+    assert kept == sorted(set(brute_near(rows)))
+
+
+def test_tiles_bring_all_pairs_of_different_parts_together(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, int(row), int(rng.choice([1, 1, 1, 2, 3, row]))) for k in (1, 2) for row in range(90)] + [(3, 1, 1), (3, 2, 1)]
+    tiles = sim._tiles(spark.createDataFrame(rows, "key bigint, row bigint, part bigint"), 16, 8).collect()
+    met, of = set(), {}
+    for t in tiles:
+        of.setdefault((t["key"], t["p"], t["r"]), []).append(t)
+    for (k, _, _), own in of.items():
+        met |= {(k, *sorted((a["row"], b["row"]))) for a in own if a["ask"] for b in own if not b["ask"] and a["part"] != b["part"]}
+    assert met == {(k, a, b) for k, a, x in rows for j, b, y in rows if k == j and a < b and x != y}
+    assert max(len(x) for x in of.values()) < 90
+
+
 @pytest.mark.parametrize("lot", [4096, 3])
 def test_near_copies_equal_brute_force(spark, lot):
     rng = np.random.default_rng(8)
