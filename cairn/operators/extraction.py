@@ -6,6 +6,8 @@ none. A question goes before a decision, a decision before a task, a task before
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions import lookup as lk, text as tx
@@ -38,6 +40,10 @@ VERBS = {
     "ja": [], "zh": [],
     "ar": ["اكتب", "أرسل", "جدول", "راجع", "انشر", "أصلح", "وزع", "تحقق", "حضر", "حدث", "ادمج"],
 }
+# Words that are no names although they may begin in upper case; a caller may give those of other languages.
+STOP_WORDS = ["the", "a", "an", "and", "or", "but", "if", "then", "this", "that", "these", "those", "it", "he", "she", "we", "you", "they", "i", "is", "are", "was", "were", "be", "to", "of", "in", "on", "at", "for", "with", "by", "from", "as", "not"]
+# Kinds of entities in the order in which they are looked for, and how sure each is.
+ENTITIES = {"mention": 0.85, "name": 0.55, "cjk_term": 0.5, "cjk_person": 0.6, "cjk_organisation": 0.65, "url": 0.9, "email": 0.9, "date": 0.6, "number": 0.7}
 # How sure an observation of each kind is.
 SURE = {"question": 0.7, "decision": 0.75, "task": 0.7, "fact": 0.5}
 
@@ -52,25 +58,60 @@ def _said(low: Column, table: dict[str, list[str]], language: Column) -> Column:
     return out.otherwise(low.rlike(tx.any_of(table["en"])))
 
 
-def _opens(low: Column, language: Column) -> Column:
+def _opens(low: Column, verbs: dict[str, list[str]], language: Column) -> Column:
     """Whether a sentence begins with a verb of its language that opens a task."""
     first = tx.first_token(low)
-    out = F.when(language == "ar", lk.in_table(first, VERBS["ar"], lk.ARABIC_CLITICS))
-    for tag, words in VERBS.items():
+    pair = tx.first_bigram(low)  # a language may say with two words what others say with one
+    out = F.when(language == "ar", lk.in_table(first, verbs.get("ar", []), lk.ARABIC_CLITICS))
+    for tag, words in verbs.items():
         if tag not in ("en", "ar"):
-            out = out.when(language == tag, first.isin(words) if words else F.lit(False))
-    return out.otherwise(first.isin(VERBS["en"]))
+            one, two = [w for w in words if " " not in w], [w for w in words if " " in w]
+            hit = first.isin(one) if one else F.lit(False)
+            out = out.when(language == tag, hit | F.coalesce(pair.isin(two), F.lit(False)) if two else hit)
+    return out.otherwise(first.isin(verbs["en"]))
 
 
-def kind(sentence: Column, low: Column, terminator: Column, language: Column) -> Column:
+def kind(sentence: Column, low: Column, terminator: Column, language: Column, lexicon: Lexicon) -> Column:
     """question, decision, task or fact; null if it is none of these. low: the sentence in lower case."""
     return (
-        F.when(terminator.isin("?", "？", "؟"), "question").when(_said(low, DECISIONS, language), "decision").when(_said(low, TASKS, language) | _opens(low, language), "task")
+        F.when(terminator.isin("?", "？", "؟"), "question").when(_said(low, lexicon.decisions, language), "decision").when(_said(low, lexicon.tasks, language) | _opens(low, lexicon.verbs, language), "task")
         .when((F.octet_length(sentence) >= 6) & tx.fact_shaped(sentence), "fact")
     )
 
 
-def observations(texts: DataFrame, id_column: str = "doc_id", language: str = "language_tag") -> DataFrame:
+@dataclass(frozen=True)
+class Lexicon:
+    """Words of languages by tag; a caller may add languages of their own, and English must be among them."""
+
+    decisions: dict[str, list[str]]
+    tasks: dict[str, list[str]]
+    verbs: dict[str, list[str]]
+
+    def __post_init__(self):
+        if not all("en" in table for table in (self.decisions, self.tasks, self.verbs)):
+            raise ValueError("a lexicon has English words for texts of other languages")
+
+    def adding(self, tag: str, decisions: list[str], tasks: list[str], verbs: list[str] = ()) -> Lexicon:
+        return Lexicon({**self.decisions, tag: decisions}, {**self.tasks, tag: tasks}, {**self.verbs, tag: list(verbs)})
+
+
+LEXICON = Lexicon(DECISIONS, TASKS, VERBS)
+
+
+def entities(texts: DataFrame, id_column: str = "doc_id", kinds: tuple[str, ...] = tuple(ENTITIES), stop: list[str] = STOP_WORDS) -> DataFrame:
+    """``(id, kind, content, confidence)``: what a whole text names, each content once, as the first kind that finds it. A null text has none."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    finds = {
+        "mention": lambda: tx.mentions(text), "name": lambda: F.filter(tx.capitalised(text, []), lambda w: ~F.lower(w).isin(stop)), **{f"cjk_{k}": (lambda k=k: F.transform(F.filter(lk.cjk_nouns(text), lambda n: n["kind"] == k), lambda n: n["content"])) for k in ("term", "person", "organisation")}, "url": lambda: tx.urls(text),
+        "email": lambda: tx.emails(text), "date": lambda: F.concat(tx.day_or_month(text), tx.quarters(text)), "number": lambda: tx.amounts(text),
+    }
+    of = lambda kind: F.transform(finds[kind](), lambda c: F.struct(c.alias("content"), F.lit(list(ENTITIES).index(kind)).alias("place"), F.lit(kind).alias("kind"), F.lit(ENTITIES[kind]).alias("confidence")))
+    rows = spread(texts.select(id_column, "text")).select(id_column, F.array_sort(F.concat(*map(of, kinds))).alias("e"))
+    first = F.filter("e", lambda x, i: (i == 0) | (F.get("e", i - 1)["content"] != x["content"]))
+    return rows.select(id_column, F.explode(first).alias("e")).select(id_column, "e.kind", "e.content", "e.confidence")
+
+
+def observations(texts: DataFrame, id_column: str = "doc_id", language: str = "language_tag", lexicon: Lexicon = LEXICON) -> DataFrame:
     """``(id, kind, content, confidence)``, one row for each sentence that is an observation.
 
     A null text has none; a null language, or one without a lexicon, is read as English.
@@ -81,7 +122,7 @@ def observations(texts: DataFrame, id_column: str = "doc_id", language: str = "l
     rows = rows.select(id_column, "tag", "raw", F.regexp_extract("raw", f"[{tx.SENTENCE_END}]$", 0).alias("end"))
     rows = rows.select(id_column, "tag", "end", F.trim(F.expr("left(raw, length(raw) - length(end))")).alias("content")).where("content <> ''")
     rows = rows.select(id_column, "tag", "end", "content", F.lower("content").alias("low"))
-    found = rows.select(id_column, kind(F.col("content"), F.col("low"), F.col("end"), F.col("tag")).alias("kind"), "content").where("kind is not null")
+    found = rows.select(id_column, kind(F.col("content"), F.col("low"), F.col("end"), F.col("tag"), lexicon).alias("kind"), "content").where("kind is not null")
     sure = F.create_map(*[x for k, v in SURE.items() for x in (F.lit(k), F.lit(v))])
     return found.select(id_column, "kind", "content", sure[F.col("kind")].alias("confidence"))
 

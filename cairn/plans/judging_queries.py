@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions import entities as ent, text as tx
-from cairn.operators import governance as gov, graph as gr, judging as jd, postings as ix
+from cairn.operators import extraction as exr, governance as gov, graph as gr, judging as jd, postings as ix
 from cairn.plans.cultural_queries import _DOMAIN, _GROUPS, _PAIRS, expanded
 from cairn.plans.durable import Scratch
 from cairn.plans.graph_queries import _PARTS, _parts
@@ -91,6 +91,12 @@ query("sec.apply_refinement", f"SELECT k, CASE WHEN {_SURE} >= 0.8 THEN {_KIND}
 query("sec.id_domain", "SELECT domain, family, count(*) AS found FROM (SELECT arg_min(family, place) AS family FROM (" + _EACH + ") GROUP BY doc_id, content) JOIN (VALUES " + ", ".join(f"('{f}', '{d}')" for f, d in _PAIRS) + ") t(family, domain) USING (family) GROUP BY ALL")(
     lambda v: ent.typed_entities(v.texts).withColumn("domain", F.create_map(*[x for d, fs in _DOMAIN.items() for f in fs for x in (F.lit(f), F.lit(d))])[F.col("family")]).where("domain IS NOT NULL").groupBy("domain", "family").agg(F.count("*").alias("found")))
 
+_FOUND = r"""SELECT doc_id, 0 AS place, 'mention' AS kind, 0.85 AS confidence, unnest(regexp_extract_all(text, '@[A-Za-z0-9_]+')) AS content FROM texts
+    UNION ALL SELECT doc_id, 3, 'url', 0.9, u FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, 'https?://[^\s,;)\]]*')), '[.!?\"'']+$', '') AS u FROM texts) WHERE length(u) > 8
+    UNION ALL SELECT doc_id, 4, 'email', 0.9, w FROM (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_split_to_array(text, '[\s,;<>]')), '^[.!?\"''()]+', ''), '[.!?\"''()]+$', '') AS w FROM texts) WHERE regexp_matches(w, '^[A-Za-z0-9._+\-]+@[A-Za-z0-9\-]*\.[A-Za-z0-9.\-]*$')
+    UNION ALL SELECT doc_id, 6, 'number', 0.7, unnest(regexp_extract_all(text, '\$[0-9,.]+[kKmMbB]?')) FROM texts"""
+query("txt.extract_entities", f"SELECT doc_id, arg_min(kind, place) AS kind, content, CAST(arg_min(confidence, place) AS DOUBLE) AS confidence FROM ({_FOUND}) GROUP BY doc_id, content")(lambda v: exr.entities(v.texts, kinds=("mention", "url", "email", "number")))
+
 # ---- prompts and routing
 
 SYSTEMS = {"channel": "Recap the channel.", "domain": "Find the themes.", "tenant": "State the policies."}

@@ -110,3 +110,23 @@ def test_components_with_hubs(spark):
             root[max(a, b)] = min(a, b)
     got = connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b", Scratch(spark, "t"))
     assert {r["node"]: r["component"] for r in got.collect()} == {x: find(x) for x in root}
+
+
+def test_entities_once_each_as_the_first_kind(spark):
+    rows = [(1, "Ask @bob and @bob, Bob or Anna at https://x.example/a. The cost is $5M on Monday, Q3 2026 (anna@example.com)."), (2, None), (3, ""), (4, "プロジェクト")]
+    got = sorted((r["doc_id"], r["kind"], r["content"], r["confidence"]) for r in ex.entities(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    of = lambda kind: [c for d, k, c, _ in got if d == 1 and k == kind]
+    assert of("mention") == ["@bob", "@example"] and of("url") == ["https://x.example/a"] and of("email") == ["anna@example.com"] and of("number") == ["$5M"]
+    # a day is a name by its letter first, and stays what it was found as
+    assert {"Anna", "Bob", "Monday"} <= set(of("name")) and "The" not in of("name") and not of("date") == ["Monday"]
+    assert [(k, c) for d, k, c, _ in got if d == 4] == [("cjk_term", "プロジェクト")]
+    assert not [g for g in got if g[0] in (2, 3)] and len({(d, c) for d, _, c, _ in got}) == len(got)
+
+
+def test_lexicon_of_another_language(spark):
+    texts = spark.createDataFrame([(1, "Foi decidido ontem. Segue a ata agora. Faz favor de ler tudo", "pt-BR"), (2, "It was decided. Please do", "xx")], "doc_id int, text string, language_tag string")
+    mine = ex.LEXICON.adding("pt", ["decidido"], ["tarefa"], ["faz favor"])
+    got = sorted((r["doc_id"], r["kind"], r["content"]) for r in ex.observations(texts, lexicon=mine).collect())
+    assert got == [(1, "decision", "Foi decidido ontem"), (1, "fact", "Segue a ata agora"), (1, "task", "Faz favor de ler tudo"), (2, "decision", "It was decided"), (2, "task", "Please do")]
+    with pytest.raises(ValueError):
+        ex.Lexicon({}, {}, {})
