@@ -304,6 +304,25 @@ def likely_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return list(zip(a[picked].tolist(), b[picked].tolist(), strict=True))
 
 
+#: Ids that may be sent to all tasks: 8 MB.
+_FEW = 1_000_000
+#: The least members of a set that are looked at first, and how far the share among them may be below the similarity:
+#: five standard deviations at 0.8, so that a pair of that similarity is passed over with probability 0.0000003.
+_HEAD, _DOUBT = 64, 0.25
+#: Bits in which two texts may differ to be checked by the second search: two of similarity 0.8 differ in more with probability 0.00005.
+_NEAR = 21
+
+
+def head_share(x: np.ndarray, y: np.ndarray) -> float:
+    """What the least members of two sets say of the similarity of the sets; exact if these have no others."""
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.sort(np.concatenate([x, y]))
+    same = both[1:][both[1:] == both[:-1]]  # members are distinct within a set
+    least = np.unique(both)[:_HEAD]
+    return float((same <= least[-1]).sum() / len(least))
+
+
 def _tiles(members: DataFrame, piece: int, chunk: int) -> DataFrame:
     """``members`` (key, row, part, ...) dealt into tiles (key, p, r) of at most about ``piece + chunk`` rows.
 
@@ -336,9 +355,9 @@ def _apart(fps: np.ndarray, sizes: np.ndarray, parts: np.ndarray, ask: np.ndarra
 def missed(members: DataFrame, sets: DataFrame, scratch: Scratch, similar: float, radius: int, piece: int = 2048) -> DataFrame:
     """``(a, b)``: links between points of one key that aren't in one part yet.
 
-    members: (key, row, fp, part, size of the set). Rows that have a near one of another part are found
+    members: (key, i, row, fp, part, size of the set), i the place of the key among a row's min-hashes; sets: (row, keys, sh). Rows that have a near one of another part are found
     by fingerprints alone; only these are brought together with their sets. A pair is checked once its
-    parts are apart, the nearest first; links that a tile finds join its parts at once.
+    parts are apart and the least members of their sets don't tell them apart, the nearest first; links that a tile finds join its parts at once.
     """
     order = ["key", "p", "r", "ask", "row"]
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -377,6 +396,24 @@ def missed(members: DataFrame, sets: DataFrame, scratch: Scratch, similar: float
 
         return by_tile(batches, use)
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def use(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            row, fp, size, part, ask = columns(t)
+            heads = [np.frombuffer(x, "<u4") for x in t.column("sh").to_pylist()]
+            hit = np.zeros(len(row), bool)
+            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(row), -1)
+            for a, b in _apart(fp.view(np.uint64), size, part, ask, radius, similar):
+                # a pair is looked at where it meets first
+                here = ~(keys[a, : t.column("i")[0].as_py()] == keys[b, : t.column("i")[0].as_py()]).any(1)
+                for x, y in zip(a[here].tolist(), b[here].tolist(), strict=True):
+                    if not (hit[x] and hit[y]) and head_share(heads[x], heads[y]) >= similar - _DOUBT:
+                        hit[x] = hit[y] = True
+            if hit.any():
+                rows = np.unique(row[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t.column("key")[0].as_py())), pa.array(rows)], names=["key", "row"])
+
+        return by_tile(batches, use)
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def use(t: pa.Table) -> Iterator[pa.RecordBatch]:
             row, fp, size, part, ask = columns(t)
@@ -402,8 +439,16 @@ def missed(members: DataFrame, sets: DataFrame, scratch: Scratch, similar: float
     hits = scratch.keep(dealt(held, piece, piece).mapInArrow(find, "key bigint, row bigint").distinct(), "apart")
     if hits.isEmpty():
         return scratch.spark.createDataFrame([], "a bigint, b bigint")
-    with_sets = held.join(hits, ["key", "row"]).join(sets.join(hits.select("row").distinct(), "row", "left_semi"), "row")
-    return scratch.keep(dealt(with_sets, max(1, piece // 4), max(1, piece // 4), "sh").mapInArrow(check, "a bigint, b bigint").distinct(), "missed")
+    ids = hits.select("row").distinct()
+    # few ids go to the sets (8 bytes each), so that no other set is moved; many meet them in a shuffle
+    few = ids.count() <= _FEW
+    own = scratch.keep(sets.join(F.broadcast(ids) if few else ids, "row", "left_semi"), "sets")
+    asked = held.join(hits, ["key", "row"])
+    # most pairs are told apart by the least members of their sets
+    heads = asked.join(own.select("row", "keys", F.expr(f"substring(sh, 1, {4 * _HEAD})").alias("sh")), "row")
+    close = scratch.keep(dealt(heads, piece, piece, "i", "keys", "sh").mapInArrow(compare, "key bigint, row bigint").distinct(), "close")
+    whole = asked.join(close, ["key", "row"]).join(own.select("row", "sh"), "row")
+    return scratch.keep(dealt(whole, max(1, piece // 4), max(1, piece // 4), "sh").mapInArrow(check, "a bigint, b bigint").distinct(), "missed")
 
 
 def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: float = 0.8, radius: int = 24, lot: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -420,8 +465,8 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: fl
     Rows with equal sets are one point. A first search looks for the nearest of each point in parts
     of at most ``lot`` points (a larger one is cut by the other min-hashes of its points, once for
     each) and checks what it finds; that brings most copies together. A second one (``missed``)
-    then takes all points of each whole part again, and checks every pair of it that is near and
-    not together yet, so that no link is lost that any part has.
+    then takes all points of each whole part again, and checks every pair of it that is within 21
+    bits and not together yet, so that no such link is lost that any part has.
     """
     carried = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
 
@@ -483,8 +528,8 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: fl
 
     links = scratch.keep(pairs.select("a", "b", alike("sa", "sb").alias("j")).where(F.col("j") >= similar).select("a", "b"), "links")
     parts_of = connected_components(links, "a", "b", scratch)
-    members = each.join(parts_of.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "fp", F.coalesce("component", "row").alias("part"))
-    more = missed(members.join(classes.select(F.col("rep").alias("row"), (F.col("bytes") / 4).cast("int").alias("size")), "row"), rows.select("row", "sh"), scratch, similar, radius)
+    members = each.join(parts_of.withColumnRenamed("node", "row"), "row", "left").select("key", "i", "row", "fp", F.coalesce("component", "row").alias("part"))
+    more = missed(members.join(classes.select(F.col("rep").alias("row"), (F.col("bytes") / 4).cast("int").alias("size")), "row"), rows.select("row", "sh", "keys"), scratch, similar, min(radius, _NEAR))
     if not more.isEmpty():
         parts_of = connected_components(links.unionByName(more), "a", "b", scratch)
     best = classes.join(parts_of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))

@@ -159,6 +159,18 @@ def test_large_groups_of_near_copies_lose_no_link(spark, n, words, lot):
     assert kept == sorted(set(brute_near(rows)))
 
 
+def test_heads_of_sets_tell_their_similarity():
+    rng = np.random.default_rng(1)
+    for size, shared in [(5, 3), (64, 60), (900, 800), (900, 300), (4000, 3600), (1, 0)]:
+        every = rng.choice(1 << 32, 2 * size - shared, replace=False).astype("<u4")
+        a, b = np.sort(every[:size]), np.sort(every[size - shared :])
+        share = sim.head_share(a[: sim._HEAD], b[: sim._HEAD])
+        exact = shared / (2 * size - shared)
+        assert share == exact if 2 * size - shared <= sim._HEAD else abs(share - exact) < 0.2
+    none = np.zeros(0, "<u4")
+    assert sim.head_share(none, none) == 1.0 and sim.head_share(none, a) == 0.0
+
+
 def test_tiles_bring_all_pairs_of_different_parts_together(spark):
     rng = np.random.default_rng(6)
     rows = [(k, int(row), int(rng.choice([1, 1, 1, 2, 3, row]))) for k in (1, 2) for row in range(90)] + [(3, 1, 1), (3, 2, 1)]
