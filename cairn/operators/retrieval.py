@@ -10,8 +10,10 @@ WEIGHTS = {"fts": 0.6, "recency": 0.3, "vector": 0.1}
 RECENCY_HALF_LIFE = 7 * 86_400
 
 
-def recency(as_of: int, created_at: Column, half_life: float = RECENCY_HALF_LIFE) -> Column:
-    return F.pow(F.lit(2.0), -F.greatest(as_of - created_at, F.lit(0)) / half_life)
+def recency(as_of: int, created_at: Column, half_life: float = RECENCY_HALF_LIFE, ahead: bool = False) -> Column:
+    """1 now, half of it after each half-life. What is dated after ``as_of`` counts as now; ahead: it goes on growing beyond 1."""
+    age = as_of - created_at
+    return F.pow(F.lit(2.0), -(age if ahead else F.greatest(age, F.lit(0))) / half_life)
 
 
 def fts_projection(score: Column, literal: bool = False) -> Column:
@@ -31,16 +33,16 @@ def sim_to_score(similarity: Column) -> Column:
     return F.least(F.greatest((similarity + 1) / 2, F.lit(0.0)), F.lit(1.0))
 
 
-def hybrid(lexical: DataFrame, newest: DataFrame, vectors: DataFrame, times: DataFrame, as_of: int, weights: dict[str, float] | None = None) -> DataFrame:
+def hybrid(lexical: DataFrame, newest: DataFrame, vectors: DataFrame, times: DataFrame, as_of: int, weights: dict[str, float] | None = None, ahead: bool = False) -> DataFrame:
     """``(doc, fts, recency, vector, score)`` of all candidates.
 
     lexical: (doc, score); newest: (doc); vectors: (doc, vector); times: (doc, created_at).
-    Candidates are the union of the first two; vectors only score them.
+    Candidates are the union of the first two; vectors only score them. ahead: as in ``recency``.
     """
     w = weights or WEIGHTS
     hits = lexical.select("doc", fts_projection(F.col("score")).alias("fts"))
     found = hits.join(newest.select("doc").distinct(), "doc", "full")
-    scored = found.join(times, "doc", "left").join(vectors, "doc", "left").select("doc", F.coalesce("fts", F.lit(0.0)).alias("fts"), F.coalesce(recency(as_of, F.col("created_at")), F.lit(0.0)).alias("recency"), F.coalesce("vector", F.lit(0.0)).alias("vector"))
+    scored = found.join(times, "doc", "left").join(vectors, "doc", "left").select("doc", F.coalesce("fts", F.lit(0.0)).alias("fts"), F.coalesce(recency(as_of, F.col("created_at"), ahead=ahead), F.lit(0.0)).alias("recency"), F.coalesce("vector", F.lit(0.0)).alias("vector"))
     return scored.withColumn("score", w["fts"] * F.col("fts") + w["recency"] * F.col("recency") + w["vector"] * F.col("vector"))
 
 
