@@ -13,6 +13,9 @@ from pyspark.sql import Column, functions as F
 # Code points of scripts that are written without spaces.
 UNSEGMENTED = r"\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{31F0}-\x{31FF}\x{FF65}-\x{FF9F}\x{2E80}-\x{2EFF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2EE5F}\x{30000}-\x{33479}\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{19E0}-\x{19FF}\x{A9E0}-\x{A9FF}\x{AA60}-\x{AA7F}"
 
+#: Any character from where those scripts begin: texts without one are told by one comparison a character.
+WIDE = r"[^\x{0}-\x{DFF}]"
+
 # The importance lexicon.
 NOISE_TOKENS = ["hi", "hello", "hey", "yo", "sup", "ok", "okay", "k", "kk", "thanks", "thx", "ty", "+1", "-1", "lol", "lmao", "rofl", "nice", "great", "cool", "yes", "no", "yep", "nope", "sure", "fine", "👍", "🎉", "❤️", "🚀", "✅", "💯"]
 NOISE_PHRASES = ["good morning", "good afternoon", "good evening", "good night", "have a good one", "have a great day", "thanks!", "thank you", "thank you!", "you're welcome"]
@@ -91,12 +94,21 @@ def negated(text: Column) -> Column:
 
 
 def has_unsegmented(text: Column) -> Column:
-    return text.rlike(f"[{UNSEGMENTED}]")
+    return text.rlike(WIDE) & text.rlike(f"[{UNSEGMENTED}]")
 
 
 def unsegmented_only(text: Column) -> Column:
     """The characters of unsegmented scripts, in order."""
-    return F.regexp_replace(text, f"[^{UNSEGMENTED}]", "")
+    return F.when(text.rlike(WIDE), _unsegmented_only(text)).otherwise(F.substring(text, 1, 0))
+
+
+def _unsegmented_only(text: Column) -> Column:
+    return F.regexp_replace(text, rf"[\x{{0}}-\x{{DFF}}]++|[^{UNSEGMENTED}]++", "")
+
+
+def searched_unsegmented(text: Column) -> Column:
+    """``unsegmented_only`` of a text without recall-lane stop words."""
+    return F.when(text.rlike(WIDE), _unsegmented_only(_strip(text))).otherwise(F.substring(text, 1, 0))
 
 
 def ngrams(text: Column, n: int) -> Column:
@@ -130,7 +142,11 @@ def script_counts(text: Column) -> Column:
 
 def strip_stopwords(text: Column) -> Column:
     """Recall-lane stop words become spaces; longer ones first."""
-    return F.regexp_replace(text, any_of(RECALL_STOPWORDS), " ")
+    return F.when(text.rlike(WIDE), _strip(text)).otherwise(text)
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"(?={WIDE})(?:{any_of(RECALL_STOPWORDS)})", " ")
 
 
 def tokens(text: Column) -> Column:

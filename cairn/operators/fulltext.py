@@ -26,8 +26,7 @@ SIZE = {"trigram": 3, "bigram": 2}
 
 def characters(text: Column, lane: str) -> Column:
     """The characters that a lane's terms are runs of."""
-    bare = tx.strip_stopwords(text)
-    return F.lower(bare) if lane == "trigram" else tx.unsegmented_only(bare)
+    return F.lower(tx.strip_stopwords(text)) if lane == "trigram" else tx.searched_unsegmented(text)
 
 
 def terms_of(text: Column, lane: str) -> Column:

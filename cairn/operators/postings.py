@@ -7,7 +7,8 @@ the row groups that can hold it. A folder with too much for one task is spread o
 (Spark rebalances by the sizes it has measured), so a word of all documents is no burden.
 
 Texts are cut into terms once, in generated code; a document's terms are then grouped within its
-row, so one exchange of postings is all that is shuffled. Each build, and each append, is one
+row, a bounded number of terms at a time, so one exchange of postings is all that is shuffled beside the texts
+themselves, which are dealt out to all cores first. Each build, and each append, is one
 version of a ``Store``: readers see all of it or none. Statistics are rows of the same version.
 
 A search reads the postings of its terms, groups them by document, and works phrases, nearness
@@ -32,10 +33,14 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from cairn.functions import querytext as qt, text as tx
 from cairn.operators import fulltext as ft
+from cairn.operators.relational import spread
+from cairn.plans.durable import setting
 from cairn.sources.versions import Store
 
 BUCKETS = 64
 KEY = 2
+#: Rows that reach a Python worker at once, and terms that it groups at once (or one document's, if these are more).
+ROWS, TERMS = 500, 1 << 18
 POSTINGS, STATS = "postings", "stats"
 
 
@@ -87,29 +92,43 @@ def _lists(starts: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
+def _parts(rows: pa.RecordBatch, most: int = TERMS) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many terms, or of one row that has more."""
+    total = np.cumsum(rows.column("n").to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < rows.num_rows:
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, "right")))
+        yield rows.slice(start, end - start)
+        start = end
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
-    """(lane, doc, words, chars) as (lane, term, doc, dl, positions): one row for each term of a document."""
+    """(lane, doc, words, chars, n) as (lane, term, doc, dl, positions): one row for each term of a document."""
     kind = rows.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lane in pc.unique(whole.column("lane")).to_pylist():
-                b = whole.filter(pc.equal(whole.column("lane"), lane))
+        for part in (part for whole in batches for part in _parts(whole)):
+            for lane in pc.unique(part.column("lane")).to_pylist():
+                b = part.filter(pc.equal(part.column("lane"), lane))
                 terms, owner, dl, positions = _of_words(b.column("words")) if lane == "word" else _of_characters(b.column("chars").to_pylist(), ft.SIZE[lane])
                 yield pa.RecordBatch.from_arrays([pa.array([lane] * len(terms), pa.string()), terms, b.column("doc").take(pa.array(owner)), pa.array(dl.astype(np.int32)), positions], names=["lane", "term", "doc", "dl", "positions"])
 
-    return rows.select("lane", "doc", "words", "chars").mapInArrow(run, f"lane string, term string, doc {kind}, dl int, positions array<int>")
+    return rows.select("lane", "doc", "words", "chars", "n").mapInArrow(run, f"lane string, term string, doc {kind}, dl int, positions array<int>")
 
 
 def _texts(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...]) -> DataFrame:
     """(lane, doc, words, chars, n): a text's words, or its characters, and how many terms these make; the lanes of characters hold only documents with scripts that don't separate words."""
-    parts = []
-    for lane in lanes:
-        rows = docs if lane == "word" else docs.where(tx.has_unsegmented(F.col(text)))
-        own = rows.select(F.lit(lane).alias("lane"), F.col(doc).alias("doc"), (tx.tokens(F.col(text)) if lane == "word" else F.lit(None).cast("array<string>")).alias("words"), (F.lit(None).cast("string") if lane == "word" else ft.characters(F.col(text), lane)).alias("chars"))
-        count = F.when(F.col("words").isNotNull(), F.size("words")).otherwise(0) if lane == "word" else F.greatest(F.coalesce(F.length("chars"), F.lit(0)) - ft.SIZE[lane] + 1, F.lit(0))
-        parts.append(own.withColumn("n", count))
-    return reduce(DataFrame.unionByName, parts)
+    rows = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")))
+    rows = rows.select("doc", "text", tx.has_unsegmented(F.col("text")).alias("wide")) if lanes != ("word",) else rows
+
+    def own(lane: str) -> Column:
+        if lane == "word":
+            return F.struct(F.lit(lane).alias("lane"), tx.tokens(F.col("text")).alias("words"), F.lit(None).cast("string").alias("chars"))
+        return F.when(F.col("wide"), F.struct(F.lit(lane).alias("lane"), F.lit(None).cast("array<string>").alias("words"), ft.characters(F.col("text"), lane).alias("chars")))
+
+    each = rows.select("doc", F.explode(F.array_compact(F.array(*map(own, lanes)))).alias("t")).select("t.lane", "doc", "t.words", "t.chars")
+    size = reduce(lambda a, b: F.when(F.col("lane") == b, F.greatest(F.coalesce(F.length("chars"), F.lit(0)) - ft.SIZE[b] + 1, F.lit(0))).otherwise(a), ft.SIZE, F.coalesce(F.array_size("words"), F.lit(0)))
+    return each.withColumn("n", size)
 
 
 def rows_of(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...] = tuple(ft.LANES), buckets: int = BUCKETS, seen: Observation | None = None) -> DataFrame:
@@ -132,7 +151,8 @@ def write(store: Store, docs: DataFrame, doc: str, text: str, append: bool = Fal
         return docs.sparkSession.createDataFrame([(x, int(got[f"docs_{x}"] or 0), int(got[f"length_{x}"] or 0)) for x in lanes], "lane string, docs bigint, length bigint")
 
     rows = rows_of(docs, doc, text, lanes, buckets, seen)
-    return store.commit({POSTINGS: rows, STATS: stats}, append=append, partition_by={POSTINGS: ["lane", "bucket"]}, note=f"buckets={buckets}")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS)):
+        return store.commit({POSTINGS: rows, STATS: stats}, append=append, partition_by={POSTINGS: ["lane", "bucket"]}, note=f"buckets={buckets}")
 
 
 def remove(store: Store, docs: DataFrame) -> int:

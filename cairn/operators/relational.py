@@ -77,11 +77,11 @@ def count_where(name: str, condition: Column) -> Column:
 
 
 def spread(frame: DataFrame, share: int = 16 << 20) -> DataFrame:
-    """Rows for work that is dear for each of them: an input too small for a share of bytes on each core is dealt out to all cores first.
+    """Rows for work that is dear for each of them: dealt out by a hash to all cores, in shares of about so many bytes.
 
-    A file's row group is read by one task, so a small table would be worked on by one core.
-    A larger one stays where it is read; nothing of it is shuffled.
+    A file's row group is read by one task, however large it is, so a table in few of them would be
+    worked on by few cores. A hash needs no sort, and a repeated task deals the same rows the same way.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return frame.repartition(cores) if int(str(size)) < share * cores else frame
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(max(cores, min(size // share, 64 * cores)), *frame.columns)

@@ -5,13 +5,16 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import TABLES, rows_of, sql_rows
 
 from cairn import catalog
-from cairn.operators import retrieval as rt
+from cairn.functions import text as tx
+from cairn.operators import postings as ix, retrieval as rt
+from cairn.operators.relational import spread
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +43,49 @@ def test_times_after_the_moment_count_as_in_the_sql(spark, later, name):
 def test_a_time_to_come_counts_as_now_unless_told_otherwise(spark):
     got = spark.range(1).select(rt.recency(100, F.lit(107), 7).alias("now"), rt.recency(100, F.lit(107), 7, ahead=True).alias("ahead"), rt.recency(100, F.lit(93), 7, ahead=True).alias("past")).first()
     assert tuple(got) == (1.0, 2.0, 0.5)
+
+
+# ---- the stored index
+
+
+def test_an_index_groups_a_bounded_number_of_terms_at_once():
+    counts = [3, 0, 4, 20, 1, 1, 9, 2, 0]
+    rows = pa.RecordBatch.from_pydict({"i": list(range(len(counts))), "n": pa.array(counts, pa.int32())})
+    parts = list(ix._parts(rows, 8))
+    assert [i for p in parts for i in p.column("i").to_pylist()] == list(range(len(counts)))
+    assert all(sum(p.column("n").to_pylist()) <= 8 or p.num_rows == 1 for p in parts) and len(parts) == 5
+
+
+def test_a_worker_gets_few_rows_of_an_index_and_the_setting_comes_back(spark, tmp_path, monkeypatch):
+    from cairn.sources.versions import Store
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    commit = Store.commit
+    monkeypatch.setattr(Store, "commit", lambda *a, **k: (seen.append(spark.conf.get(name)), commit(*a, **k))[1])
+    docs = spark.createDataFrame([(i, f"red fish {i} 会議") for i in range(40)], "id int, text string")
+    store = Store(spark, f"file://{tmp_path}/index")
+    ix.write(store, docs, "id", "text")
+    assert seen == [str(ix.ROWS)] and spark.conf.get(name) == before
+    assert ix.Index(store).search("fish 7").select("doc").collect() == [(7,)] and ix.Index(store).search("会議", "bigram").count() == 40
+
+
+def test_a_table_in_one_row_group_is_worked_on_by_all_cores(spark, tmp_path):
+    at = str(tmp_path / "t.parquet")
+    duckdb.execute(f"copy (select i as id, md5(i::varchar) as text from range(20000) t(i)) to '{at}'")
+    rows = spark.read.parquet(at)
+    sizes = spread(rows, share=1 << 10).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 20000 / 2
+    assert spread(rows, share=1 << 10).exceptAll(rows).count() == 0
+
+
+def test_texts_without_wide_characters_are_told_apart_as_before(spark):
+    texts = ["", None, "plain", "é ñ ß", "\u0dff", "\u0e00x", "a会議b です", "で会の議", "𠀀x", "😀", "a\nท b", "ｶﾀ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    t = F.col("text")
+    stop, none = tx.any_of(tx.RECALL_STOPWORDS), f"[^{tx.UNSEGMENTED}]"
+    bare = F.regexp_replace(t, stop, " ")
+    plain = [F.regexp_replace(t, none, ""), bare, F.regexp_replace(bare, none, ""), t.rlike(f"[{tx.UNSEGMENTED}]")]
+    fast = [tx.unsegmented_only(t), tx.strip_stopwords(t), tx.searched_unsegmented(t), tx.has_unsegmented(t)]
+    for r in rows.select(*[F.struct(a.alias("a"), b.alias("b")).alias(f"c{k}") for k, (a, b) in enumerate(zip(plain, fast, strict=True))]).collect():
+        assert all(c["a"] == c["b"] for c in r), r
