@@ -55,9 +55,17 @@ def find_by_reference(refs: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def cross_references(refs: DataFrame, ids: DataFrame) -> DataFrame:
-    """For each of the given rows, the others that share a reference. Only the given rows' references drive the join."""
-    own = refs.join(ids.select("evidence_id"), "evidence_id", "left_semi").select(F.col("evidence_id").alias("of"), "ref_key", "ref_value").distinct()
-    return own.join(refs.select("evidence_id", "ref_key", "ref_value"), ["ref_key", "ref_value"]).where("of <> evidence_id").select("of", "evidence_id").distinct()
+    """For each of the given rows, the others that share a reference. Only the given rows' references drive the join.
+
+    Rows know all their references, and a pair is made at the least one that both have: it comes once, so
+    pairs, which may be far more than rows, go out as they are made, and are neither kept nor sorted.
+    """
+    known = refs.where("evidence_id IS NOT NULL AND ref_key IS NOT NULL AND ref_value IS NOT NULL").groupBy("evidence_id").agg(F.collect_set(F.struct("ref_key", "ref_value")).alias("known"))
+    each = known.select("evidence_id", "known", F.explode("known").alias("ref")).select("evidence_id", "known", "ref.ref_key", "ref.ref_value")
+    own = each.join(ids.select("evidence_id").distinct(), "evidence_id", "left_semi").select(F.col("evidence_id").alias("of"), F.col("known").alias("of_known"), "ref_key", "ref_value")
+    first = F.array_min(F.array_intersect("of_known", "known"))
+    pairs = own.join(each, ["ref_key", "ref_value"]).where("of <> evidence_id")
+    return pairs.where(first == F.struct("ref_key", "ref_value")).select("of", "evidence_id")
 
 
 def add_references(refs: DataFrame, new: DataFrame) -> DataFrame:

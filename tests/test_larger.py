@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tests.conftest import TABLES, rows_of, sql_rows
 
 from cairn import catalog
-from cairn.functions import text as tx
-from cairn.operators import postings as ix, retrieval as rt
+from cairn.functions import plugins, text as tx
+from cairn.operators import evidence as ev, postings as ix, retrieval as rt
 from cairn.operators.relational import spread
+from cairn.streaming import changelog as cl
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +90,17 @@ def test_texts_without_wide_characters_are_told_apart_as_before(spark):
     fast = [tx.unsegmented_only(t), tx.strip_stopwords(t), tx.searched_unsegmented(t), tx.has_unsegmented(t)]
     for r in rows.select(*[F.struct(a.alias("a"), b.alias("b")).alias(f"c{k}") for k, (a, b) in enumerate(zip(plain, fast, strict=True))]).collect():
         assert all(c["a"] == c["b"] for c in r), r
+
+
+# ---- evaluation, references, keywords, change logs
+
+
+def test_pairs_of_references_come_once_and_are_not_kept(spark):
+    rows = [(i, key, str(i % m)) for i in range(60) for key, m in (("user", 3), ("k", 4), ("z", 60))] + [(1, "user", "1"), (7, None, "0"), (8, "user", None)]
+    refs = spark.createDataFrame(rows, "evidence_id int, ref_key string, ref_value string")
+    ids = spark.createDataFrame([(0,), (7,), (7,), (99,)], "evidence_id int")
+    found = ev.cross_references(refs, ids)
+    want = sorted((a, b) for a in (0, 7) for b in range(60) if a != b and (a % 3 == b % 3 or a % 4 == b % 4))
+    assert sorted(map(tuple, found.collect())) == want
+    top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Aggregate" in line for line in top[: next(i for i, line in enumerate(top) if "Join Inner" in line)])
