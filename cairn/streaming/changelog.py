@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyarrow import fs as afs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -35,6 +37,8 @@ from cairn.sources.versions import Store
 EVENT = "log string, place bigint, kind string, document_id string, scope_id string, occurred_at bigint, title string"
 _FIELDS = [("kind", str), ("document_id", str), ("scope_id", str), ("occurred_at", int), ("title", str)]
 _BLOCK = 1 << 16
+_ROWS = 4096
+_ARROW = pa.schema([("log", pa.string()), ("place", pa.int64()), *[(name, pa.string() if kind is str else pa.int64()) for name, kind in _FIELDS]])
 
 
 class Stretch(InputPartition):
@@ -118,6 +122,13 @@ def lines(path: str, part: Stretch) -> Iterator[tuple[int, bytes]]:
                 at += len(line) + 1
 
 
+def rows(path: str, part: Stretch) -> Iterator[pa.RecordBatch]:
+    """The events of a stretch, in batches."""
+    found = (event(part.log, place, line) for place, line in lines(path, part) if line.strip())
+    while lot := list(islice(found, _ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lot, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+
+
 def event(log: str, place: int, line: bytes) -> tuple:
     try:
         got = json.loads(line)
@@ -152,8 +163,8 @@ class ChangelogStream(DataSourceStreamReader):
             out += [Stretch(log, a, min(a + self.stretch, to), a == begin) for a in range(begin, to, self.stretch)]
         return out
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
-        return (event(partition.log, place, line) for place, line in lines(self.path, partition) if line.strip())
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        return rows(self.path, partition)
 
     def commit(self, end: dict) -> None:
         self._at = dict(end)
@@ -167,8 +178,8 @@ class ChangelogBatch(DataSourceReader):
         ends = {log: last_line_end(self.path, log, 0, size) for log, size in _sizes(self.path).items()}
         return [Stretch(log, a, min(a + self.stretch, to), a == 0) for log, to in sorted(ends.items()) for a in range(0, to, self.stretch)]
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
-        return (event(partition.log, place, line) for place, line in lines(self.path, partition) if line.strip())
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        return rows(self.path, partition)
 
 
 class Changelog(DataSource):
@@ -205,6 +216,8 @@ def ingest(store: Store, events: DataFrame, batch: int, fetch: Callable[[], Fetc
     done = store.version()
     if done is not None and RUNS in done.tables and not store.read(RUNS).where(F.col("batch") >= batch).isEmpty():
         return False
+    # read once: logs are taken apart line by line
+    events = store.scratch.keep(events.select("kind", "document_id", "scope_id", "occurred_at", "title", "log", "place"), f"events-{batch}")
     kept = events.where(F.col("kind").isin(KINDS) & F.col("document_id").isNotNull() & F.col("scope_id").isNotNull())
     body = kept.where("kind <> 'permission_changed'")
     last = latest(body.select("scope_id", "document_id", "kind", "title", F.coalesce("occurred_at", F.lit(0)).alias("occurred_at"), "log", "place"), ["scope_id", "document_id"], ["occurred_at", "log", "place"])
@@ -219,6 +232,7 @@ def ingest(store: Store, events: DataFrame, batch: int, fetch: Callable[[], Fetc
     told = got.agg(F.count("*").alias("fetched"), F.count_if(F.coalesce(F.col("body") != "", F.lit(False))).alias("ingested")).first()
     run = counts.select(F.lit(batch).cast("bigint").alias("batch"), "*", F.lit(told["fetched"]).cast("bigint").alias("fetched"), F.lit(told["ingested"]).cast("bigint").alias("ingested"), F.lit(told["fetched"] - told["ingested"]).cast("bigint").alias("skipped"))
     store.commit({EVIDENCE: new, TOMBSTONES: gone, TRIGGERS: asks, RUNS: run}, append=True, note=f"batch {batch}")
+    store.scratch.drop(events)
     return True
 
 

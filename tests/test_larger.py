@@ -104,3 +104,12 @@ def test_pairs_of_references_come_once_and_are_not_kept(spark):
     assert sorted(map(tuple, found.collect())) == want
     top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("Aggregate" in line for line in top[: next(i for i, line in enumerate(top) if "Join Inner" in line)])
+
+
+def test_a_stretch_is_read_in_batches(tmp_path, monkeypatch):
+    monkeypatch.setattr(cl, "_ROWS", 4)
+    (tmp_path / "a").write_bytes(b"".join(b'{"kind":"created","document_id":"%d","occurred_at":%d}\n' % (i, i) for i in range(9)) + b"no json\n\n")
+    part = cl.ChangelogBatch(str(tmp_path), 1 << 20).partitions()
+    got = list(cl.rows(str(tmp_path), part[0]))
+    assert [b.num_rows for b in got] == [4, 4, 2]
+    assert [r["document_id"] for b in got for r in b.to_pylist()] == [*map(str, range(9)), None]
