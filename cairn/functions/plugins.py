@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 
+from cairn.functions.text import once
+
 EmbedBatch = Callable[[list[str]], np.ndarray]
 
 
@@ -130,22 +132,18 @@ def evaluate(produced: DataFrame, expected: DataFrame) -> DataFrame:
     """``(kind, tp, fp, fn)``: in each case, an expected item is matched by at most one produced item of its kind that contains it, in upper or lower case.
 
     produced, expected: (case_id, kind, content). Items are matched one by one in order of
-    content, so a case is one group; cases are small.
+    content, so a case's items of a kind are one group; cases are small. Only what contains an expected item is matched.
     """
-
-    def run(keys: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for kind in sorted({*a["kind"], *b["kind"]}):
-            left = sorted(a[a["kind"] == kind]["content"])
-            want = sorted(b[b["kind"] == kind]["content"])
-            tp = 0
-            for w in want:
-                hit = next((x for x in left if w.lower() in x.lower()), None)
-                if hit is not None:
-                    left.remove(hit)
-                    tp += 1
-            rows.append((kind, tp, len(left), len(want) - tp))
-        return pd.DataFrame(rows, columns=["kind", "tp", "fp", "fn"])
-
-    each = produced.groupBy("case_id").cogroup(expected.groupBy("case_id")).applyInPandas(run, "kind string, tp bigint, fp bigint, fn bigint")
-    return each.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    of = lambda rows, made: rows.select("case_id", "kind", F.when(F.lit(made), F.col("content")).alias("made"), F.when(F.lit(not made), F.col("content")).alias("want"))
+    groups = of(produced, True).unionByName(of(expected, False)).groupBy("case_id", "kind").agg(F.collect_list("made").alias("made"), F.array_sort(F.collect_list("want")).alias("want"))
+    low = groups.select("kind", F.size("made").alias("n"), F.size("want").alias("wants"), F.transform("want", F.lower).alias("want"), F.when(F.size("want") > 0, F.col("made")).alias("made"))
+    near = F.filter(F.transform(F.array_sort("made"), F.lower), lambda x: F.exists("want", lambda w: x.contains(w)))
+    none = F.struct(F.array().cast("array<string>").alias("left"), F.lit(0).alias("tp"))
+
+    def match(state, want):
+        hit = lambda i: F.when(i > 0, F.struct(F.concat(F.slice(state["left"], F.lit(1), (i - 1).cast("int")), F.slice(state["left"], (i + 1).cast("int"), F.size(state["left"]))).alias("left"), (state["tp"] + 1).alias("tp"))).otherwise(state)
+        return once(F.array_position(F.transform(state["left"], lambda x: x.contains(want)), True), hit)
+
+    start = F.struct(F.coalesce(near, none["left"]).alias("left"), none["tp"].alias("tp"))
+    each = low.select("kind", "n", "wants", F.aggregate("want", start, match)["tp"].alias("tp"))
+    return each.groupBy("kind").agg(F.sum("tp").alias("tp"), F.sum(F.col("n") - F.col("tp")).alias("fp"), F.sum(F.col("wants") - F.col("tp")).alias("fn"))

@@ -113,3 +113,11 @@ def test_a_stretch_is_read_in_batches(tmp_path, monkeypatch):
     got = list(cl.rows(str(tmp_path), part[0]))
     assert [b.num_rows for b in got] == [4, 4, 2]
     assert [r["document_id"] for b in got for r in b.to_pylist()] == [*map(str, range(9)), None]
+
+
+def test_evaluation_takes_items_in_order_without_python(spark):
+    made = spark.createDataFrame([(1, "a", "XY"), (1, "a", "xyz"), (1, "a", "q"), (2, "a", "xy"), (2, "b", "n")], "case_id int, kind string, content string")
+    want = spark.createDataFrame([(1, "a", "x"), (1, "a", "yz"), (1, "a", "Y"), (3, "b", "n")], "case_id int, kind string, content string")
+    found = plugins.evaluate(made, want)
+    assert {r["kind"]: (r["tp"], r["fp"], r["fn"]) for r in found.collect()} == {"a": (2, 2, 1), "b": (0, 1, 1)}
+    assert "Python" not in found._jdf.queryExecution().toString() and "Pandas" not in found._jdf.queryExecution().toString()
