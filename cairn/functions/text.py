@@ -87,10 +87,21 @@ def importance(text: Column) -> Column:
     return once(F.lower(F.trim(text)), lambda low: F.when(_noise(low), 0).otherwise(judge(low)))
 
 
+def judged(text: Column) -> Column:
+    """``(importance, negated)``: what a text is worth, and whether a negation stands near its first keyword. A text is searched once for each class."""
+
+    def both(low: Column) -> Column:
+        critical = lambda use: once(_class(low, CRITICAL_KEYWORDS, 3), use)
+        other = lambda use: once(_class(low, IMPORTANT_KEYWORDS, 2), use)
+        of = lambda value, least: F.struct(F.when(_noise(low), 0).otherwise(F.coalesce(value, F.lit(1))).alias("importance"), F.coalesce(value == least, F.lit(False)).alias("negated"))
+        return critical(lambda c: F.when(c.isNotNull(), of(c, 2)).otherwise(other(lambda i: of(i, 1))))
+
+    return once(F.lower(F.trim(text)), both)
+
+
 def negated(text: Column) -> Column:
     """Whether a negation stands near the first keyword."""
-    low = F.lower(F.trim(text))
-    return F.coalesce(_class(low, CRITICAL_KEYWORDS, 3) == 2, _class(low, IMPORTANT_KEYWORDS, 2) == 1, F.lit(False))
+    return judged(text)["negated"]
 
 
 def has_unsegmented(text: Column) -> Column:

@@ -43,9 +43,9 @@ query("txt.importance", f"SELECT doc_id, {IMPORTANCE} AS importance FROM texts")
 query("txt.is_noise", f"SELECT doc_id, {NOISE} AS noise FROM texts")(lambda v: v.texts.select("doc_id", tx.is_noise(T()).alias("noise")))
 query("txt.whole_word", f"SELECT doc_id, regexp_extract({LOW}, {_q(tx.whole_word(tx.CRITICAL_KEYWORDS + tx.IMPORTANT_KEYWORDS))}, 2) AS keyword FROM texts")(
     lambda v: v.texts.select("doc_id", F.regexp_extract(F.lower(F.trim(T())), tx.whole_word(tx.CRITICAL_KEYWORDS + tx.IMPORTANT_KEYWORDS), 2).alias("keyword")))
-query("txt.negation_nearby", f"SELECT doc_id, coalesce(({_class(tx.CRITICAL_KEYWORDS, 3)}) = 2, ({_class(tx.IMPORTANT_KEYWORDS, 2)}) = 1, false) AS negated FROM texts")(lambda v: v.texts.select("doc_id", tx.negated(T()).alias("negated")))
+query("txt.negation_nearby", f"SELECT doc_id, coalesce(({_class(tx.CRITICAL_KEYWORDS, 3)}) = 2, ({_class(tx.IMPORTANT_KEYWORDS, 2)}) = 1, false) AS negated FROM texts")(lambda v: spread(v.texts).select("doc_id", tx.negated(T()).alias("negated")))
 query("txt.negation_apply", f"SELECT {IMPORTANCE} AS importance, coalesce(({_class(tx.CRITICAL_KEYWORDS, 3)}) = 2, ({_class(tx.IMPORTANT_KEYWORDS, 2)}) = 1, false) AS negated, count(*) AS n FROM texts GROUP BY 1, 2")(
-    lambda v: v.texts.groupBy(tx.importance(T()).alias("importance"), tx.negated(T()).alias("negated")).agg(F.count("*").alias("n")))
+    lambda v: spread(v.texts).select(tx.judged(T()).alias("j")).groupBy("j.importance", "j.negated").agg(F.count("*").alias("n")))
 query("flt.pipeline_floor", f"SELECT doc_id FROM texts WHERE {IMPORTANCE} >= 2")(lambda v: v.texts.where(tx.importance(T()) >= 2).select("doc_id"))
 CJK, NOT_CJK = _q(f"[{tx.UNSEGMENTED}]"), _q(f"[^{tx.UNSEGMENTED}]")
 KEPT = f"regexp_replace(text, {NOT_CJK}, '', 'g')"

@@ -121,3 +121,11 @@ def test_evaluation_takes_items_in_order_without_python(spark):
     found = plugins.evaluate(made, want)
     assert {r["kind"]: (r["tp"], r["fp"], r["fn"]) for r in found.collect()} == {"a": (2, 2, 1), "b": (0, 1, 1)}
     assert "Python" not in found._jdf.queryExecution().toString() and "Pandas" not in found._jdf.queryExecution().toString()
+
+
+def test_importance_and_negation_are_judged_at_once(spark):
+    texts = [None, "", "ok", "policy was not signed", "launch cancelled", "launch, and not the policy", "policy. launch cancelled", "no keyword at all", "x" * 50 + " policy " + "y" * 40 + " not"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(tx.judged(F.col("text")).alias("j"), tx.importance(F.col("text")).alias("importance"))
+    got = [(r["j"]["importance"], r["j"]["negated"]) for r in rows.collect()]
+    assert [g[0] for g in got] == [r["importance"] for r in rows.collect()]
+    assert [g[1] for g in got] == [False, False, False, True, True, True, True, False, False]
