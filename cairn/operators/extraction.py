@@ -119,7 +119,7 @@ def observations(texts: DataFrame, id_column: str = "doc_id", language: str = "l
     tag = F.substring_index(F.lower(F.coalesce(language, F.lit("en"))), "-", 1)
     rows = spread(texts.select(id_column, tag.alias("tag"), "text")).select(id_column, "tag", F.explode(tx.raw_sentences(F.col("text"))).alias("raw"))
     # each step is a column of its own, so that nothing is worked out twice
-    rows = rows.select(id_column, "tag", "raw", F.regexp_extract("raw", f"[{tx.SENTENCE_END}]$", 0).alias("end"))
+    rows = rows.select(id_column, "tag", "raw", F.regexp_extract(F.right("raw", F.lit(1)), f"[{tx.SENTENCE_END}]", 0).alias("end"))
     rows = rows.select(id_column, "tag", "end", F.trim(F.expr("left(raw, length(raw) - length(end))")).alias("content")).where("content <> ''")
     rows = rows.select(id_column, "tag", "end", "content", F.lower("content").alias("low"))
     found = rows.select(id_column, kind(F.col("content"), F.col("low"), F.col("end"), F.col("tag"), lexicon).alias("kind"), "content").where("kind is not null")
