@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from cairn.functions import text as tx
+from cairn.operators.relational import spread
 from cairn.plans.durable import Scratch
 
 K1, B = 1.2, 0.75
@@ -42,7 +43,7 @@ def _searched(text: Column, lane: str) -> Column:
 
 def _count(searched: Column, term: str, lane: str) -> Column:
     """How often a term stands there; runs of characters may overlap."""
-    return F.size(F.filter(searched, lambda x: x == term)) if lane == "word" else F.regexp_count(searched, F.lit(rf"(?=\Q{term}\E)"))
+    return F.size(F.filter(searched, lambda x: x == term)) if lane == "word" else F.when(searched.contains(term), F.regexp_count(searched, F.lit(rf"(?=\Q{term}\E)"))).otherwise(0)
 
 
 def _length(searched: Column, lane: str) -> Column:
@@ -72,7 +73,8 @@ def search(docs: DataFrame, doc: str, text: str, terms: list[str], lane: str = "
     The texts are read once: counts of the terms in the documents that have them all are
     written, and what is counted over all documents on the way becomes part of the scores.
     """
-    counted = docs.select(F.col(doc).alias("doc"), _searched(F.col(text), lane).alias("t"))
+    dealt = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")))
+    counted = dealt.select("doc", _searched(F.col("text"), lane).alias("t"))
     counted = counted.select("doc", _length(F.col("t"), lane).alias("dl"), *[_count(F.col("t"), t, lane).alias(f"tf{i}") for i, t in enumerate(terms)])
     seen = Observation()
     all_docs = counted.observe(seen, F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])

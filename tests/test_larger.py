@@ -129,3 +129,15 @@ def test_importance_and_negation_are_judged_at_once(spark):
     got = [(r["j"]["importance"], r["j"]["negated"]) for r in rows.collect()]
     assert [g[0] for g in got] == [r["importance"] for r in rows.collect()]
     assert [g[1] for g in got] == [False, False, False, True, True, True, True, False, False]
+
+
+def test_a_search_without_an_index_uses_all_cores_and_counts_overlaps(spark, tmp_path):
+    from cairn.operators import fulltext as ft
+
+    at = str(tmp_path / "t.parquet")
+    duckdb.execute(f"copy (select i as id, case when i % 5 = 0 then '会会会 x' else 'plain' end as text from range(4000) t(i)) to '{at}'")
+    tasks = spark.sparkContext.defaultParallelism
+    got = ft.search(spark.read.parquet(at), "id", "text", ["会会"], "bigram")
+    assert got.count() == 800 and len(got.inputFiles()) >= tasks
+    one = spark.createDataFrame([("会会会",), ("plain",), ("",)], "t string").select(ft._count(F.col("t"), "会会", "bigram").alias("n"))
+    assert [r["n"] for r in one.collect()] == [2, 0, 0]
