@@ -25,13 +25,13 @@ empty table gives an empty result. A component is numbered by its smallest ``doc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from cairn.llm.batches import map_texts
@@ -261,10 +261,15 @@ def near_components(fps: DataFrame, scratch: Scratch, radius: int = 3, sample: i
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], np.uint64)
 
 
+def members_of(hashes: np.ndarray) -> np.ndarray:
+    """A shingle set: the sorted distinct upper halves of the shingles' hashes."""
+    return np.unique((hashes >> np.uint64(32)).astype("<u4"))
+
+
 def sketch(text: str | None, shingle: int = 5) -> tuple[int, list[int], bytes]:
-    """``(fingerprint, min-hashes, shingle set)`` of a text; the set is the sorted distinct upper halves of the shingles' hashes."""
+    """``(fingerprint, min-hashes, shingle set)`` of a text."""
     hashes = shingle_hashes(text, shingle)
-    own = np.unique((hashes >> np.uint64(32)).astype("<u4"))
+    own = members_of(hashes)
     if not len(own):
         return 0, [], b""
     x = own.astype(np.uint64)[:, None] + _SEEDS[None, :]
@@ -304,7 +309,7 @@ def likely_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return list(zip(a[picked].tolist(), b[picked].tolist(), strict=True))
 
 
-#: Ids that may be sent to all tasks: 8 MB.
+#: Words of 64 marks that may be sent to all tasks: 16 MB, for up to 64 million rows.
 _FEW = 1_000_000
 #: The least members of a set that are looked at first, and how far the share among them may be below the similarity:
 #: five standard deviations at 0.8, so that a pair of that similarity is passed over with probability 0.0000003.
@@ -323,14 +328,28 @@ def head_share(x: np.ndarray, y: np.ndarray) -> float:
     return float((same <= least[-1]).sum() / len(least))
 
 
-def _tiles(members: DataFrame, piece: int, chunk: int) -> DataFrame:
-    """``members`` (key, row, part, ...) dealt into tiles (key, p, r) of at most about ``piece + chunk`` rows.
+def _among(rows: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``rows`` whose number ``row`` is one of ``ids``.
+
+    A mark for each row goes to where the rows are, 64 to a word, so that no text is moved. Of
+    rows too many for that, rows and ids meet in a shuffle.
+    """
+    words = ids.groupBy(F.shiftright("row", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(row & 63))")).alias("marks"))
+    words = scratch.keep(words, "marks")
+    if words.count() > _FEW:
+        return rows.join(ids, "row", "left_semi")
+    marked = rows.withColumn("word", F.shiftright("row", 6)).join(F.broadcast(words), "word")
+    return marked.where(F.expr("shiftright(marks, int(row & 63)) & 1 = 1")).select(*rows.columns)
+
+
+def _tiles(members: DataFrame, piece: int, chunk: int, weight: Column | None = None) -> DataFrame:
+    """``members`` (key, row, part, ...) dealt into tiles (key, p, r) of at most about ``piece + chunk`` rows, or of that ``weight``.
 
     In each key the largest part needs no comparison within itself: the others' rows, ``ask``, meet all
     rows. A row is once in its own piece for each chunk of those that ask, and one that asks
-    is once in its chunk for each piece.
+    is once in its chunk for each piece: up to ``piece`` rows a key, that is twice at most.
     """
-    sizes = members.groupBy("key", "part").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("key", "part").agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
     keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     cut = members.join(keys.select("key", "main", F.ceil(F.col("n") / piece).cast("int").alias("ps"), F.ceil((F.col("n") - F.col("most")) / chunk).cast("int").alias("rs")), "key")
     at = lambda seed, n: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(n)).cast("int")
@@ -344,18 +363,16 @@ def _apart(fps: np.ndarray, sizes: np.ndarray, parts: np.ndarray, ask: np.ndarra
     q, o = np.flatnonzero(ask), np.flatnonzero(~ask)
     for at in range(0, len(q), 256):
         some = q[at : at + 256]
-        near = np.bitwise_count(fps[some][:, None] ^ fps[o][None, :]) <= radius
-        near &= parts[some][:, None] != parts[o][None, :]
-        small, large = np.minimum(sizes[some][:, None], sizes[o][None, :]), np.maximum(sizes[some][:, None], sizes[o][None, :])
-        near &= small >= similar * large
-        a, b = np.nonzero(near)
-        yield some[a], o[b]
+        a, b = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[o][None, :]) <= radius)
+        a, b = some[a], o[b]
+        fit = (parts[a] != parts[b]) & (np.minimum(sizes[a], sizes[b]) >= similar * np.maximum(sizes[a], sizes[b]))
+        yield a[fit], b[fit]
 
 
-def missed(members: DataFrame, sets: DataFrame, scratch: Scratch, similar: float, radius: int, piece: int = 2048) -> DataFrame:
+def missed(members: DataFrame, sets_of: Callable[..., DataFrame], scratch: Scratch, similar: float, radius: int, piece: int = 4096) -> DataFrame:
     """``(a, b)``: links between points of one key that aren't in one part yet.
 
-    members: (key, i, row, fp, part, size of the set), i the place of the key among a row's min-hashes; sets: (row, keys, sh). Rows that have a near one of another part are found
+    members: (key, i, row, fp, part, size of the set), i the place of the key among a row's min-hashes; sets_of: for ids, (row, keys, sh). Rows that have a near one of another part are found
     by fingerprints alone; only these are brought together with their sets. A pair is checked once its
     parts are apart and the least members of their sets don't tell them apart, the nearest first; links that a tile finds join its parts at once.
     """
@@ -404,7 +421,8 @@ def missed(members: DataFrame, sets: DataFrame, scratch: Scratch, similar: float
             keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(row), -1)
             for a, b in _apart(fp.view(np.uint64), size, part, ask, radius, similar):
                 # a pair is looked at where it meets first
-                here = ~(keys[a, : t.column("i")[0].as_py()] == keys[b, : t.column("i")[0].as_py()]).any(1)
+                here = ~(hit[a] & hit[b])
+                here[here] = ~(keys[a[here], : t.column("i")[0].as_py()] == keys[b[here], : t.column("i")[0].as_py()]).any(1)
                 for x, y in zip(a[here].tolist(), b[here].tolist(), strict=True):
                     if not (hit[x] and hit[y]) and head_share(heads[x], heads[y]) >= similar - _DOUBT:
                         hit[x] = hit[y] = True
@@ -420,6 +438,8 @@ def missed(members: DataFrame, sets: DataFrame, scratch: Scratch, similar: float
             own, links = t.column("sh").to_pylist(), []
             _, label = np.unique(part, return_inverse=True)
             for a, b in _apart(fp.view(np.uint64), size, part, ask, radius, similar):
+                open_ = label[a] != label[b]
+                a, b = a[open_], b[open_]
                 for i in np.argsort(np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)), kind="stable").tolist():
                     x, y = int(a[i]), int(b[i])
                     if label[x] != label[y] and jaccard(own[x], own[y]) >= similar:
@@ -431,24 +451,23 @@ def missed(members: DataFrame, sets: DataFrame, scratch: Scratch, similar: float
 
         return by_tile(batches, use)
 
-    def dealt(rows: DataFrame, piece: int, chunk: int, *more: str) -> DataFrame:
-        tiles = _tiles(rows, piece, chunk).select(*order, "fp", "part", "size", *more)
+    def dealt(rows: DataFrame, *more: str, weight: Column | None = None) -> DataFrame:
+        tiles = _tiles(rows, piece, piece, weight).select(*order, "fp", "part", "size", *more)
         return tiles.repartition(parts, "key", "p", "r").sortWithinPartitions(*order)
 
     held = scratch.keep(members, "members")
-    hits = scratch.keep(dealt(held, piece, piece).mapInArrow(find, "key bigint, row bigint").distinct(), "apart")
+    hits = scratch.keep(dealt(held).mapInArrow(find, "key bigint, row bigint").distinct(), "apart")
     if hits.isEmpty():
         return scratch.spark.createDataFrame([], "a bigint, b bigint")
-    ids = hits.select("row").distinct()
-    # few ids go to the sets (8 bytes each), so that no other set is moved; many meet them in a shuffle
-    few = ids.count() <= _FEW
-    own = scratch.keep(sets.join(F.broadcast(ids) if few else ids, "row", "left_semi"), "sets")
+    own = sets_of(hits.select("row").distinct(), "keys")
     asked = held.join(hits, ["key", "row"])
     # most pairs are told apart by the least members of their sets
     heads = asked.join(own.select("row", "keys", F.expr(f"substring(sh, 1, {4 * _HEAD})").alias("sh")), "row")
-    close = scratch.keep(dealt(heads, piece, piece, "i", "keys", "sh").mapInArrow(compare, "key bigint, row bigint").distinct(), "close")
+    close = scratch.keep(dealt(heads, "i", "keys", "sh").mapInArrow(compare, "key bigint, row bigint").distinct(), "close")
     whole = asked.join(close, ["key", "row"]).join(own.select("row", "sh"), "row")
-    return scratch.keep(dealt(whole, max(1, piece // 4), max(1, piece // 4), "sh").mapInArrow(check, "a bigint, b bigint").distinct(), "missed")
+    # sets of usual length weigh as rows, longer ones as they need memory: a tile has 16 MB
+    heavy = F.greatest(F.lit(1), F.ceil(F.col("size") / 512))
+    return scratch.keep(dealt(whole, "sh", weight=heavy).mapInArrow(check, "a bigint, b bigint").distinct(), "missed")
 
 
 def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: float = 0.8, radius: int = 24, lot: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -473,13 +492,22 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: fl
     def make():
         return lambda texts: list(zip(*(sketch(t, shingle) for t in texts), strict=True)) or [[]] * 3
 
-    rows = scratch.keep(map_texts(carried, "text", ["doc"], "fp bigint, keys array<bigint>, sh binary", make).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    def shingle_sets():
+        return lambda texts: [[members_of(shingle_hashes(t, shingle)).tobytes() for t in texts]]
+
+    # a set is as large as its text, and few are asked for: these are made again
+    drawn = map_texts(carried, "text", ["doc"], "fp bigint, keys array<bigint>, sh binary", make).withColumn("row", F.monotonically_increasing_id())
+    rows = scratch.keep(drawn.select("row", "doc", "fp", "keys", F.xxhash64("sh").alias("hash"), F.octet_length("sh").alias("bytes")), "sketches", compression="zstd")
+
+    def sets_of(ids: DataFrame, *more: str) -> DataFrame:
+        own = _among(rows.select("row", *more, F.col("doc.text").alias("text")), ids, scratch)
+        return scratch.keep(map_texts(own, "text", ["row", *more], "sh binary", shingle_sets), "sets")
+
     if "doc_id" in docs.columns:
         first = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row")
     else:
         first = F.struct("row")
-    same = ["fp", F.xxhash64("sh").alias("hash"), F.octet_length("sh").alias("bytes")]
-    narrow = rows.select("row", *same, first.alias("first"))
+    narrow = rows.select("row", "fp", "hash", "bytes", first.alias("first"))
     # equal sets are one class, of any number of rows: one point of the search
     classes = scratch.keep(narrow.groupBy("fp", "hash", "bytes").agg(F.min("first").alias("first"), F.min("row").alias("rep")), "classes")
     points = rows.select("row", "fp", "keys").join(classes.select(F.col("rep").alias("row")), "row")
@@ -519,7 +547,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: fl
     dealt = blocks.select("block", "row", "fp").repartition(parts, "block").sortWithinPartitions("block", "row")
     likely = scratch.keep(dealt.mapInArrow(search, "a bigint, b bigint").distinct(), "likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = rows.select("row", "sh").join(ends, "row", "left_semi")
+    sets = sets_of(ends)
     pairs = likely.join(sets.select(F.col("row").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("sh").alias("sb")), "b")
 
     @pandas_udf("double")
@@ -527,9 +555,10 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: fl
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     links = scratch.keep(pairs.select("a", "b", alike("sa", "sb").alias("j")).where(F.col("j") >= similar).select("a", "b"), "links")
+    scratch.drop(sets)
     parts_of = connected_components(links, "a", "b", scratch)
     members = each.join(parts_of.withColumnRenamed("node", "row"), "row", "left").select("key", "i", "row", "fp", F.coalesce("component", "row").alias("part"))
-    more = missed(members.join(classes.select(F.col("rep").alias("row"), (F.col("bytes") / 4).cast("int").alias("size")), "row"), rows.select("row", "sh", "keys"), scratch, similar, min(radius, _NEAR))
+    more = missed(members.join(classes.select(F.col("rep").alias("row"), (F.col("bytes") / 4).cast("int").alias("size")), "row"), sets_of, scratch, similar, min(radius, _NEAR))
     if not more.isEmpty():
         parts_of = connected_components(links.unionByName(more), "a", "b", scratch)
     best = classes.join(parts_of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
@@ -539,6 +568,11 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: fl
     return rows.select("row", "doc"), stays
 
 
+def stay(rows: DataFrame, stays: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents that stay, of what ``near_copies`` returns."""
+    return _among(rows, stays, scratch).select("doc.*")
+
+
 def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "simhash")

@@ -68,7 +68,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     _sweep(docs)
     scratch = Scratch(spark, "near-dedup")
     rows, stays = simhash.near_copies(docs, scratch)
-    return _until_read(rows.join(stays, "row", "left_semi").select("doc.*"), scratch)
+    return _until_read(simhash.stay(rows, stays, scratch), scratch)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,6 +184,35 @@ def test_tiles_bring_all_pairs_of_different_parts_together(spark):
     assert max(len(x) for x in of.values()) < 90
 
 
+def test_tiles_of_weighty_rows_are_smaller_and_a_key_of_one_piece_has_a_row_twice(spark):
+    rows = [(k, row, row, 1 if k == 1 else 4) for k in (1, 2) for row in range(64)]
+    frame = spark.createDataFrame(rows, "key bigint, row bigint, part bigint, size bigint")
+    made = {r["key"]: (r["p"], r["n"]) for r in sim._tiles(frame, 64, 64, F.col("size")).groupBy("key").agg(F.countDistinct("p", "r").alias("p"), F.count("*").alias("n")).collect()}
+    assert made[1] == (1, 64 + 63) and made[2] == (16, 64 * 4 + 63 * 4)
+
+
+def test_near_copies_move_no_text(spark, monkeypatch):
+    """Neither the documents nor all shingle sets are shuffled, and no set is written that nobody asks for."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(i, F.expr("id div 1")), F.lit(5000))))).alias("text"))
+    docs = docs.union(docs.where("doc_id < 4").select((F.col("doc_id") + 1000).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text")))
+    kept, scratch = {}, Scratch(spark, "t")
+    monkeypatch.setattr(scratch, "keep", lambda frame, name="step", **o: kept.setdefault(f"{name}{len(kept)}", Scratch.keep(scratch, frame, name, **o)))
+    monkeypatch.setattr(scratch, "drop", lambda frame: None)
+    out = sim.stay(*sim.near_copies(docs, scratch), scratch)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(400))
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "sh" not in kept["sketches0"].columns
+    assert next(f for n, f in kept.items() if n.startswith("sets")).count() == 8
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_rows_among_many_ids(spark, monkeypatch, few):
+    monkeypatch.setattr(sim, "_FEW", few)
+    rows = spark.createDataFrame([(i, "t") for i in (0, 1, 62, 63, 64, 65, (1 << 33) + 63, (5 << 33))], "row bigint, text string")
+    ids = spark.createDataFrame([(i,) for i in (0, 63, 64, (1 << 33) + 63, 1 << 33)], "row bigint")
+    assert sorted(r["row"] for r in sim._among(rows, ids, Scratch(spark, "t")).collect()) == [0, 63, 64, (1 << 33) + 63]
+
+
 @pytest.mark.parametrize("lot", [4096, 3])
 def test_near_copies_equal_brute_force(spark, lot):
     rng = np.random.default_rng(8)
