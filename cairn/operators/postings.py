@@ -8,7 +8,9 @@ the row groups that can hold it. A folder with too much for one task is spread o
 
 Texts are cut into terms once, in generated code; a document's terms are then grouped within its
 row, a bounded number of terms at a time, so one exchange of postings is all that is shuffled beside the texts
-themselves, which are dealt out to all cores first. Each build, and each append, is one
+themselves, which are dealt out to all cores first. A large table's texts are read and indexed in a few
+parts, and a large index's buckets rewritten in a few, one after the other, so no more than a
+part's rows is ever shuffled at once. Each build, and each append, is one
 version of a ``Store``: readers see all of it or none. Statistics are rows of the same version.
 
 A search reads the postings of its terms, groups them by document, and works phrases, nearness
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from cairn.functions import querytext as qt, text as tx
 from cairn.operators import fulltext as ft
-from cairn.operators.relational import spread
+from cairn.operators.relational import SHARE, bytes_of, spread
 from cairn.plans.durable import setting
 from cairn.sources.versions import Store
 
@@ -41,7 +43,11 @@ BUCKETS = 64
 KEY = 2
 #: Rows that reach a Python worker at once, and terms that it groups at once (or one document's, if these are more).
 ROWS, TERMS = 500, 1 << 18
+#: Bytes of files for which a job is done in one more part, and parts at most: each part of a build reads all texts again, one of a removal only its buckets.
+PART, TEXT_PARTS, BUCKET_PARTS = 64 << 20, 4, 8
 POSTINGS, STATS = "postings", "stats"
+#: While it is written, a plan without postings stays as it is: what is counted on the way would go with it.
+_COUNTED = ("spark.sql.adaptive.optimizer.excludedRules", "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation")
 
 
 def bucket(term: Column, buckets: int = BUCKETS) -> Column:
@@ -116,9 +122,14 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.select("lane", "doc", "words", "chars", "n").mapInArrow(run, f"lane string, term string, doc {kind}, dl int, positions array<int>")
 
 
-def _texts(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...]) -> DataFrame:
+def _parts_for(size: int, most: int) -> int:
+    """One for a frame of unknown size, which might be dear to make again."""
+    return max(1, min(-(-size // PART), most)) if size < 1 << 62 else 1
+
+
+def _texts(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...], share: int = SHARE) -> DataFrame:
     """(lane, doc, words, chars, n): a text's words, or its characters, and how many terms these make; the lanes of characters hold only documents with scripts that don't separate words."""
-    rows = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")))
+    rows = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), share)
     rows = rows.select("doc", "text", tx.has_unsegmented(F.col("text")).alias("wide")) if lanes != ("word",) else rows
 
     def own(lane: str) -> Column:
@@ -131,39 +142,68 @@ def _texts(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...]) -> Data
     return each.withColumn("n", size)
 
 
-def rows_of(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...] = tuple(ft.LANES), buckets: int = BUCKETS, seen: Observation | None = None) -> DataFrame:
+def rows_of(docs: DataFrame, doc: str, text: str, lanes: tuple[str, ...] = tuple(ft.LANES), buckets: int = BUCKETS, seen: Observation | None = None, share: int = SHARE) -> DataFrame:
     """``(term, doc, dl, positions, lane, bucket)`` of all documents, each folder's rows together and in order. seen: counts documents and terms of each lane on the way."""
-    texts = _texts(docs, doc, text, lanes)
+    texts = _texts(docs, doc, text, lanes, share)
     if seen is not None:
         own = lambda lane: F.col("lane") == lane
         texts = texts.observe(seen, *[F.count_if(own(x)).alias(f"docs_{x}") for x in lanes], *[F.sum(F.when(own(x), F.col("n"))).alias(f"length_{x}") for x in lanes])
-    found = _grouped(texts).withColumn("bucket", bucket(F.col("term"), buckets))
-    spread = found.hint("rebalance", F.col("lane"), F.col("bucket"))
-    return spread.sortWithinPartitions("lane", "bucket", "term", "doc").select("term", "doc", "dl", "positions", "lane", "bucket")
+    return _foldered(_grouped(texts).withColumn("bucket", bucket(F.col("term"), buckets)))
+
+
+def _foldered(rows: DataFrame) -> DataFrame:
+    """Postings as they are written: each folder's together and in order."""
+    return rows.hint("rebalance", F.col("lane"), F.col("bucket")).sortWithinPartitions("lane", "bucket", "term", "doc").select("term", "doc", "dl", "positions", "lane", "bucket")
 
 
 def write(store: Store, docs: DataFrame, doc: str, text: str, append: bool = False, lanes: tuple[str, ...] = tuple(ft.LANES), buckets: int = BUCKETS) -> int:
     """Index ``docs``, in place of what the store has or behind it; the new version's number."""
-    seen = Observation()
+    n = _parts_for(bytes_of(docs), TEXT_PARTS)
+    parts = [docs.where(F.pmod(F.xxhash64(doc), F.lit(n)) == i) for i in range(n)] if n > 1 else [docs]
+    seen = [Observation() for _ in parts]
 
     def stats() -> DataFrame:
-        got = Counter() if docs.isEmpty() else seen.get  # a plan without rows may count nothing
-        return docs.sparkSession.createDataFrame([(x, int(got[f"docs_{x}"] or 0), int(got[f"length_{x}"] or 0)) for x in lanes], "lane string, docs bigint, length bigint")
-
-    rows = rows_of(docs, doc, text, lanes, buckets, seen)
-    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS)):
+        got = Counter()
+        for part, own in zip(parts, seen, strict=True):
+            got.update({} if part.isEmpty() else {k: int(x or 0) for k, x in own.get.items()})  # a plan without rows may count nothing
+        return docs.sparkSession.createDataFrame([(x, got[f"docs_{x}"], got[f"length_{x}"]) for x in lanes], "lane string, docs bigint, length bigint")
+
+    # a part's share of the bytes that Spark takes it to have, which are those of all
+    rows = [rows_of(part, doc, text, lanes, buckets, own, n * SHARE) for part, own in zip(parts, seen, strict=True)]
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS)), setting(docs.sparkSession, *_COUNTED):
         return store.commit({POSTINGS: rows, STATS: stats}, append=append, partition_by={POSTINGS: ["lane", "bucket"]}, note=f"buckets={buckets}")
 
 
 def remove(store: Store, docs: DataFrame) -> int:
-    """A version without the documents (column ``doc``): postings are rewritten, statistics reduced."""
+    """A version without the documents (column ``doc``): postings are rewritten, statistics reduced.
+
+    What is removed is counted on the way: a document's first term stands at 0, and its positions are
+    as many as its terms. Older versions hold the documents until the store's next vacuum.
+    """
     index = Index(store)
-    gone = docs.select("doc").distinct()
-    kept = index.postings.join(gone, "doc", "left_anti").select(*index.postings.columns)
-    lost = index.postings.join(gone, "doc", "left_semi").select("lane", "doc", "dl").distinct().groupBy("lane").agg((-F.count("*")).alias("docs"), (-F.sum("dl")).alias("length"))
-    stats = store.read(STATS).unionByName(lost).groupBy("lane").agg(F.sum("docs").alias("docs"), F.sum("length").alias("length"))
-    spread = kept.hint("rebalance", F.col("lane"), F.col("bucket")).sortWithinPartitions("lane", "bucket", "term", "doc")
-    return store.commit({POSTINGS: spread, STATS: stats}, partition_by={POSTINGS: ["lane", "bucket"]}, note=store.version().note)
+    # read back, so that Spark knows how few the ids may be
+    gone = store.scratch.keep(docs.select("doc").distinct(), "gone")
+    n = _parts_for(sum(size for folder in store.version().tables[POSTINGS]["folders"] for size in store.files(f"{store.root}/{folder}").values()), BUCKET_PARTS)
+    parts = [index.postings.where(F.col("bucket") % n == i) for i in range(n)] if n > 1 else [index.postings]
+    lanes, lost = sorted(index.stats), [Observation() for _ in parts]
+
+    def without(rows: DataFrame, seen: Observation) -> DataFrame:
+        own = lambda lane: F.col("gone") & (F.col("lane") == lane)
+        marked = rows.join(gone.withColumn("gone", F.lit(True)), "doc", "left")
+        counted = marked.observe(seen, *[F.count_if(own(x) & (F.get("positions", F.lit(0)) == 0)).alias(f"docs_{x}") for x in lanes], *[F.sum(F.when(own(x), F.size("positions"))).alias(f"length_{x}") for x in lanes])
+        return _foldered(counted.where("gone IS NULL"))
+
+    def stats() -> DataFrame:
+        got = Counter()
+        for part, seen in zip(parts, lost, strict=True):
+            got.update({} if part.isEmpty() else {k: int(x or 0) for k, x in seen.get.items()})
+        less = store.spark.createDataFrame([(x, -got[f"docs_{x}"], -got[f"length_{x}"]) for x in lanes], "lane string, docs bigint, length bigint")
+        return store.read(STATS).unionByName(less).groupBy("lane").agg(F.sum("docs").alias("docs"), F.sum("length").alias("length"))
+
+    with setting(store.spark, *_COUNTED):
+        number = store.commit({POSTINGS: [without(rows, seen) for rows, seen in zip(parts, lost, strict=True)], STATS: stats}, partition_by={POSTINGS: ["lane", "bucket"]}, note=store.version().note)
+    store.scratch.drop(gone)
+    return number
 
 
 _STOPWORDS = regex.compile(tx.any_of(tx.RECALL_STOPWORDS))

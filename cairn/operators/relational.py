@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.plans.durable import Scratch
 
+#: Bytes of texts for one task.
+SHARE = 16 << 20
+
 
 def where_equal(frame: DataFrame, **values: object) -> DataFrame:
     """Rows whose columns equal the values; an equality filter reaches the scan."""
@@ -76,12 +79,16 @@ def count_where(name: str, condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False))).alias(name)
 
 
-def spread(frame: DataFrame, share: int = 16 << 20) -> DataFrame:
+def bytes_of(frame: DataFrame) -> int:
+    """What Spark takes a frame to be before it runs: for a table, its files."""
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(frame: DataFrame, share: int = SHARE) -> DataFrame:
     """Rows for work that is dear for each of them: dealt out by a hash to all cores, in shares of about so many bytes.
 
     A file's row group is read by one task, however large it is, so a table in few of them would be
     worked on by few cores. A hash needs no sort, and a repeated task deals the same rows the same way.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return frame.repartition(max(cores, min(size // share, 64 * cores)), *frame.columns)
+    return frame.repartition(max(cores, min(bytes_of(frame) // share, 64 * cores)), *frame.columns)

@@ -39,13 +39,14 @@ query("sec.sim_verify", f"""WITH h AS {_HITS}, s AS (SELECT t.turn_id, t.importa
 
 def forget_checks(v) -> DataFrame:
     """Forgotten scopes are written out of the files and of an index; then all scopes are looked into."""
-    store = new_store(v.spark, "forget")
-    store.commit({"evidence": v.evidence.select("evidence_id", "scope_id", "body")})
-    vacuum_report(store, "evidence", "scope_id", F.octet_length("body"), v.forgotten)
     index = new_store(v.spark, "forget-index")
     ix.write(index, v.documents, "doc_id", "text", lanes=("word",))
     of = v.documents.select(F.col("doc_id").alias("doc"), F.col("source").alias("scope_id"))
     ix.remove(index, of.join(v.forgotten.select("scope_id"), "scope_id", "left_semi").select("doc"))
+    index.vacuum()  # the version before still holds them
+    store = new_store(v.spark, "forget")
+    store.commit({"evidence": v.evidence.select("evidence_id", "scope_id", "body")})
+    vacuum_report(store, "evidence", "scope_id", F.octet_length("body"), v.forgotten)
     hits = ix.Index(index).search("the OR la OR der").join(of, "doc").select("scope_id")
     return jd.verify_forget(v.evidence.select("scope_id"), store.read("evidence").select("scope_id"), hits, v.forgotten)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 import pytest
@@ -147,3 +148,58 @@ def test_empty_table(spark, docs):
     assert ix.Index(store).search("fish").count() == 0
     ix.write(store, docs, "id", "text", append=True)
     assert ix.Index(store).search("fish").count() == 6
+
+
+# ---- builds and removals in parts
+
+
+def shuffled(spark):
+    """Shuffle files on this machine."""
+    at = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {name for root in at for _, _, names in os.walk(root) for name in names if name.startswith("shuffle_")}
+
+
+@pytest.fixture
+def table(spark, docs, tmp_path):
+    docs.drop("bucket").write.parquet(f"{tmp_path}/docs")
+    return spark.read.parquet(f"{tmp_path}/docs")
+
+
+def test_parts_are_one_index(spark, table, tmp_path, monkeypatch):
+    """A small PART cuts this table into as many parts as there may be, some of them without a term."""
+    def made(name):
+        store = Store(spark, f"file://{tmp_path}/{name}")
+        ix.write(store, table, "id", "text", buckets=8)
+        told = [(len(store.version().tables["postings"]["folders"]), sorted(map(tuple, store.read("stats").collect())))]
+        for gone in ("id IN (1, 4, 9)", "id < 99"):
+            ix.remove(store, table.where(gone).select(F.col("id").alias("doc")))
+            told.append((len(store.version().tables["postings"]["folders"]), sorted(map(tuple, store.read("stats").collect()))))
+        return told, [sorted(map(str, store.read("postings", n).collect())) for n in store.numbers()]
+
+    one, rows = made("one")
+    monkeypatch.setattr(ix, "PART", 1)
+    parts, cut = made("parts")
+    assert cut == rows and [len(r) > 0 for r in rows] == [True, True, False]
+    assert [p[1] for p in parts] == [p[1] for p in one] and [p[0] for p in one] == [1, 1, 1]
+    assert [p[0] for p in parts] == [ix.TEXT_PARTS, ix.BUCKET_PARTS, ix.BUCKET_PARTS]
+    # without 1, 4 and 9 it is the index of the rest, but for the documents without terms, which aren't known
+    rest = Store(spark, f"file://{tmp_path}/rest")
+    ix.write(rest, table.where("id NOT IN (1, 9)"), "id", "text", buckets=8)
+    assert sorted(map(str, rest.read("postings").collect())) == cut[1] and sorted(map(tuple, rest.read("stats").collect())) == parts[1][1]
+
+
+def test_what_a_part_shuffles_is_gone_before_the_next(spark, table, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "PART", 1, raising=False)
+    store, seen, write = Store(spark, f"file://{tmp_path}/index"), [], Store._write
+    before = shuffled(spark)
+    monkeypatch.setattr(Store, "_write", lambda self, name, *a: (write(self, name, *a), seen.append((name, len(shuffled(spark) - before))))[0])
+    ix.write(store, table, "id", "text", buckets=8)
+    ix.remove(store, table.where("id > 5").select(F.col("id").alias("doc")))
+    assert [n for name, n in seen if name == "postings"] == [0, 0]
+
+
+def test_documents_without_a_term(spark, table, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/index")
+    ix.write(store, table.where("id IN (4, 5)"), "id", "text")
+    assert sorted(map(tuple, store.read("stats").collect())) == [("bigram", 0, 0), ("trigram", 0, 0), ("word", 2, 0)]
+    assert ix.Index(store).search("fish").count() == 0

@@ -5,8 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from cairn import catalog
 from cairn.operators import judging as jd
 from cairn.operators.relational import spread
+from cairn.plans import judging_queries
 
 
 def asserted(frame, key):
@@ -93,3 +95,14 @@ def test_small_inputs_are_spread(spark):
     small = spark.range(10, numPartitions=1).selectExpr("id", "'x' AS text")
     assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(small, share=0).rdd.getNumPartitions() == 1
+
+
+def test_no_file_holds_what_was_forgotten(spark, sf_dir, monkeypatch):
+    """Neither the evidence nor the index, in any version of theirs that is left."""
+    stores, make = {}, judging_queries.new_store
+    monkeypatch.setattr(judging_queries, "new_store", lambda s, job: stores.setdefault(job, make(s, job)))
+    catalog.queries()["sec_sim_forget"](spark, sf_dir)
+    told = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), F.col("source").isin([f"src{n}" for n in range(3, 25, 7)]).alias("gone"))
+    every = {name: spark.read.parquet(*stores[job].files(f"{stores[job].root}/data/{name}")) for job, name in (("forget", "evidence"), ("forget-index", "postings"))}
+    for held in (every["evidence"].withColumnRenamed("evidence_id", "doc"), every["postings"]):
+        assert {r["gone"] for r in held.join(told, "doc").select("gone").distinct().collect()} == {False}
