@@ -89,6 +89,9 @@ def spread(frame: DataFrame, share: int = SHARE) -> DataFrame:
 
     A file's row group is read by one task, however large it is, so a table in few of them would be
     worked on by few cores. A hash needs no sort, and a repeated task deals the same rows the same way.
+    With a share of 0 they stay where they are read.
     """
+    if not share:
+        return frame
     cores = frame.sparkSession.sparkContext.defaultParallelism
     return frame.repartition(max(cores, min(bytes_of(frame) // share, 64 * cores)), *frame.columns)
